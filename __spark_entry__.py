@@ -186,7 +186,7 @@ def _comparable(df: DataFrame) -> DataFrame:
 
 
 def _query(report: Report) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: _comparable(report(testdata.tables(spark, sf_dir), CONFIG))
+    return lambda spark, sf_dir: _comparable(report(testdata.SampleTables(spark, sf_dir), CONFIG))
 
 
 def entry(spark: SparkSession) -> DataFrame:

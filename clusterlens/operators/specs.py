@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clusterlens.operators.joins import lookup_join
 from clusterlens.sources.tables import InputTables
 
 
@@ -12,9 +13,8 @@ def with_node_specs(clusters: DataFrame, t: InputTables, role: str, how: str = "
     An inner join drops clusters of an unknown type.
     """
     specs = t.node_types.select(
-        F.col("node_type").alias(f"{role}_type"),
+        F.col("node_type").alias(f"{role}_node_type"),
         F.col("core_count").alias(f"{role}_cores"),
         F.col("memory_mb").alias(f"{role}_memory_mb"),
     )
-    on = F.col(f"{role}_node_type") == F.col(f"{role}_type")
-    return clusters.join(t.dimension("node_types", specs), on, how).drop(f"{role}_type")
+    return lookup_join(clusters, specs, t, "node_types", f"{role}_node_type", how)

@@ -9,15 +9,6 @@ from pyspark.sql import types as T
 AMOUNTS = ("total_dbus", "total_cost_usd")
 
 
-def attach(records: DataFrame, per_cluster: DataFrame, how: str) -> DataFrame:
-    """Join one row per cluster to change records, of which one cluster may have very many.
-
-    The explicit repartitioning ends the stage that aggregated ``per_cluster``. Both sides of the join are then plain
-    shuffle outputs, which adaptive execution may split where a cluster is hot, or broadcast where they prove small.
-    """
-    return records.join(per_cluster.repartition("cluster_id"), "cluster_id", how)
-
-
 def amounts() -> list[Column]:
     """Output columns for clusters that may have no usage."""
     return [F.coalesce(F.col(name), F.lit(0)).alias(name) for name in AMOUNTS]

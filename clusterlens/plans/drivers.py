@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from clusterlens.config import AnalysisConfig
 from clusterlens.functions.drivers import driver_recommendation, memory_gb, oversized_driver, sizing_status
 from clusterlens.operators.inventory import live_clusters
+from clusterlens.operators.joins import splittable_join
 from clusterlens.operators.pricing import cluster_costs, round_costs
 from clusterlens.operators.specs import with_node_specs
-from clusterlens.operators.spend import amounts, attach, share_of_total, spend_by_group
+from clusterlens.operators.spend import amounts, share_of_total, spend_by_group
 from clusterlens.sources.tables import InputTables
 
 
@@ -30,7 +31,7 @@ def oversized_driver_detail(
     """Live cluster records with a driver above the limits, most expensive first."""
     costs = cluster_costs(t, cfg) if costs is None else costs
     cores, memory = F.col("driver_cores"), F.col("driver_memory_mb")
-    rows = attach(_oversized(t, cfg, latest_only), round_costs(costs), "left")
+    rows = splittable_join(_oversized(t, cfg, latest_only), round_costs(costs), "cluster_id", "left")
     if ordered:
         rows = rows.orderBy(
             F.col("total_cost_usd").desc_nulls_last(), cores.desc(), memory.desc(), "cluster_id", "change_time"

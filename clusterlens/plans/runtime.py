@@ -9,8 +9,9 @@ from clusterlens import labels
 from clusterlens.config import AnalysisConfig
 from clusterlens.functions.runtime import support_status, urgency
 from clusterlens.operators.inventory import live_clusters
+from clusterlens.operators.joins import splittable_join
 from clusterlens.operators.pricing import cluster_costs, round_costs
-from clusterlens.operators.spend import amounts, attach, share_of_total, spend_by_group
+from clusterlens.operators.spend import amounts, share_of_total, spend_by_group
 from clusterlens.operators.support import with_support
 from clusterlens.sources.tables import InputTables
 
@@ -34,7 +35,7 @@ def outdated_runtime_detail(
     records = with_support(live_clusters(t.clusters, cfg, latest_only=latest_only), t.lts, cfg)
     if only_outdated:
         records = records.where(status != labels.SUPPORTED)
-    rows = attach(records, round_costs(costs), "left")
+    rows = splittable_join(records, round_costs(costs), "cluster_id", "left")
     if ordered:
         rows = rows.orderBy(urgency(lts, days), F.col("total_cost_usd").desc_nulls_last(), "cluster_id", "change_time")
     return rows.select(

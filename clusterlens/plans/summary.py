@@ -10,6 +10,7 @@ from clusterlens.config import AnalysisConfig
 from clusterlens.functions.drivers import oversized_driver
 from clusterlens.functions.runtime import days_until, runtime_family
 from clusterlens.operators.inventory import live_clusters
+from clusterlens.operators.joins import lookup_join
 from clusterlens.operators.pricing import cluster_costs
 from clusterlens.operators.spend import AMOUNTS, times
 from clusterlens.plans.vm import too_old, with_generations
@@ -48,10 +49,10 @@ def _with_old_vm_hits(records: DataFrame, t: InputTables, cfg: AnalysisConfig) -
 
 
 def _with_driver_hits(records: DataFrame, t: InputTables, cfg: AnalysisConfig) -> DataFrame:
-    specs = t.node_types.groupBy(F.col("node_type").alias("spec_type")).agg(
+    specs = t.node_types.groupBy(F.col("node_type").alias("driver_node_type")).agg(
         F.count_if(oversized_driver(F.col("core_count"), F.col("memory_mb"), cfg)).alias("oversized_entries")
     )
-    joined = records.join(t.dimension("node_types", specs), F.col("driver_node_type") == F.col("spec_type"), "left")
+    joined = lookup_join(records, specs, t, "node_types", "driver_node_type", "left")
     return joined.withColumn("oversized_driver", F.coalesce(F.col("oversized_entries"), F.lit(0)))
 
 

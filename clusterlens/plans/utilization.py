@@ -20,8 +20,9 @@ from clusterlens.functions.utilization import (
     memory_recommendation,
 )
 from clusterlens.operators.inventory import live_clusters
+from clusterlens.operators.joins import splittable_join
 from clusterlens.operators.pricing import cluster_costs, round_costs
-from clusterlens.operators.spend import amounts, attach, share_of_total, times
+from clusterlens.operators.spend import amounts, share_of_total, times
 from clusterlens.operators.telemetry import worker_utilization
 from clusterlens.sources.tables import InputTables
 
@@ -38,7 +39,7 @@ def _detail(
     """Live records of the clusters found, with costs, most expensive first."""
     costs = cluster_costs(t, cfg) if costs is None else costs
     found = found.join(round_costs(costs), "cluster_id", "left")
-    rows = attach(live_clusters(t.clusters, cfg, latest_only=latest_only), found, "inner")
+    rows = splittable_join(live_clusters(t.clusters, cfg, latest_only=latest_only), found, "cluster_id", "inner")
     if ordered:
         rows = rows.orderBy(F.col("total_cost_usd").desc_nulls_last(), "cluster_id", "change_time")
     identity = ["account_id", "workspace_id", "cluster_id", "cluster_name", F.col("owned_by").alias("owner")]

@@ -17,9 +17,10 @@ from clusterlens.functions.vm import (
     vm_threshold,
 )
 from clusterlens.operators.inventory import live_clusters
+from clusterlens.operators.joins import splittable_join
 from clusterlens.operators.pricing import cluster_costs, round_costs
 from clusterlens.operators.specs import with_node_specs
-from clusterlens.operators.spend import amounts, attach, share_of_total, spend_by_group
+from clusterlens.operators.spend import amounts, share_of_total, spend_by_group
 from clusterlens.sources.tables import InputTables
 
 ROLES = ("driver", "worker")
@@ -54,7 +55,7 @@ def old_vm_detail(
     records = with_generations(live_clusters(t.clusters, cfg, latest_only=latest_only), cfg).where(too_old())
     for role in ROLES:
         records = with_node_specs(records, t, role)
-    rows = attach(records, round_costs(costs), "left")
+    rows = splittable_join(records, round_costs(costs), "cluster_id", "left")
     if ordered:
         oldest = F.least(*(known_generation(F.col(f"{role}_generation")) for role in ROLES))
         rows = rows.orderBy(oldest, F.col("total_cost_usd").desc_nulls_last(), "cluster_id", "change_time")

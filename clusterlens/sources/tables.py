@@ -33,9 +33,10 @@ LTS_SCHEDULE = (
     ("12.2", date(2023, 3, 1), date(2026, 3, 1), "3.3.2"),
 )
 
-# A dimension is broadcast only while both its rows and its key bytes stay within these bounds.
+# A dimension is broadcast only within these bounds: its rows, the bytes of its keys, and the rows of any one key.
 BROADCAST_MAX_ROWS = 500_000
 BROADCAST_MAX_KEY_BYTES = 32 * 1024 * 1024
+BROADCAST_MAX_ROWS_PER_KEY = 1_000
 
 _DIMENSION_KEYS = {"node_types": "node_type", "list_prices": "sku_name"}
 
@@ -49,10 +50,14 @@ def lts_support(spark: SparkSession) -> DataFrame:
 
 def fits_broadcast(dimension: DataFrame, key: str) -> bool:
     """Measure a dimension with one distributed aggregate over its key column."""
-    size = dimension.agg(
-        F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(F.octet_length(key)), F.lit(0)).alias("key_bytes")
-    ).first()
-    return size.n_rows <= BROADCAST_MAX_ROWS and size.key_bytes <= BROADCAST_MAX_KEY_BYTES
+    per_key = dimension.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
+    key_bytes = F.sum(F.coalesce(F.octet_length(key), F.lit(0)) * F.col("n_rows"))
+    size = per_key.agg(F.sum("n_rows").alias("n_rows"), F.max("n_rows").alias("peak"), key_bytes.alias("n_bytes")).first()
+    return (
+        (size.n_rows or 0) <= BROADCAST_MAX_ROWS
+        and (size.peak or 0) <= BROADCAST_MAX_ROWS_PER_KEY
+        and (size.n_bytes or 0) <= BROADCAST_MAX_KEY_BYTES
+    )
 
 
 @dataclass(frozen=True)
@@ -85,8 +90,3 @@ class InputTables:
         small = {name for name, key in _DIMENSION_KEYS.items() if fits_broadcast(getattr(self, name), key)}
         values = {f.name: getattr(self, f.name) for f in fields(self)}
         return InputTables(**{**values, "small": frozenset(small)})
-
-    def dimension(self, name: str, df: DataFrame | None = None) -> DataFrame:
-        """A dimension, or a frame with no more rows derived from it, to be broadcast if it was found small."""
-        df = getattr(self, name) if df is None else df
-        return F.broadcast(df) if name in self.small else df

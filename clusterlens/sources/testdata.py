@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from datetime import date, datetime
 from decimal import Decimal
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clusterlens import schemas
-from clusterlens.sources.tables import InputTables, lts_support
+from clusterlens.sources.tables import lts_support
 
 AS_OF = date(2026, 12, 1)
 
@@ -156,14 +157,37 @@ def list_prices(spark: SparkSession) -> DataFrame:
     return local.select([F.col(f.name).cast(f.dataType) for f in schemas.LIST_PRICES])
 
 
-def tables(spark: SparkSession, sf_dir: str) -> InputTables:
-    """The two dimensions are the short lists above, so their size is known without measuring."""
-    return InputTables(
-        clusters=clusters(spark, sf_dir),
-        node_types=node_types(spark),
-        node_timeline=node_timeline(spark, sf_dir),
-        usage=usage(spark, sf_dir),
-        list_prices=list_prices(spark),
-        lts=lts_support(spark),
-        small=frozenset({"node_types", "list_prices"}),
-    )
+class SampleTables:
+    """The inputs as ``InputTables`` holds them, each derived when first used.
+
+    The two dimensions are the short lists above, so their size is known without measuring.
+    """
+
+    small = frozenset({"node_types", "list_prices"})
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self._spark, self._sf_dir = spark, sf_dir
+
+    @cached_property
+    def clusters(self) -> DataFrame:
+        return clusters(self._spark, self._sf_dir)
+
+    @cached_property
+    def node_types(self) -> DataFrame:
+        return node_types(self._spark)
+
+    @cached_property
+    def node_timeline(self) -> DataFrame:
+        return node_timeline(self._spark, self._sf_dir)
+
+    @cached_property
+    def usage(self) -> DataFrame:
+        return usage(self._spark, self._sf_dir)
+
+    @cached_property
+    def list_prices(self) -> DataFrame:
+        return list_prices(self._spark)
+
+    @cached_property
+    def lts(self) -> DataFrame:
+        return lts_support(self._spark)

@@ -1,0 +1,97 @@
+"""Small input tables for tests."""
+
+from __future__ import annotations
+
+from datetime import date, datetime
+from decimal import Decimal
+
+from pyspark.sql import DataFrame, SparkSession
+
+from clusterlens import schemas
+from clusterlens.config import AnalysisConfig
+from clusterlens.sources.tables import InputTables, lts_support
+
+AS_OF = date(2026, 12, 1)
+CFG = AnalysisConfig(as_of=AS_OF)
+SMALL = frozenset({"node_types", "list_prices"})
+
+NODES = [("Standard_D4ds_v5", 4.0, 16384), ("Standard_D64ds_v5", 64.0, 262144), ("Standard_DS3_v2", 4.0, 14336)]
+
+
+def at(text: str | None) -> datetime | None:
+    """``MM-DD[ HH:MM]`` of 2026."""
+    return text and datetime.fromisoformat(f"2026-{text}")
+
+
+def cluster(cluster_id: str | None = "c-1", **values) -> dict:
+    row = {
+        "account_id": "acct",
+        "workspace_id": "ws-1",
+        "cluster_id": cluster_id,
+        "cluster_name": "name",
+        "owned_by": "owner",
+        "dbr_version": "17.3.x-scala2.13",
+        "driver_node_type": "Standard_D4ds_v5",
+        "worker_node_type": "Standard_D4ds_v5",
+        "worker_count": 2,
+        "cluster_source": "UI",
+        "change_time": at("11-20"),
+        "delete_time": None,
+    }
+    assert values.keys() <= row.keys()
+    return {**row, **values}
+
+
+def used(cluster_id: str | None, quantity: str = "1", sku: str = "S", begun: str = "11-20") -> dict:
+    return {
+        "sku_name": sku,
+        "usage_start_time": at(begun),
+        "usage_quantity": Decimal(quantity),
+        "usage_metadata": {"cluster_id": cluster_id},
+    }
+
+
+def price(start: str | None, end: str | None, amount: str | None = "1", sku: str = "S") -> dict:
+    return {
+        "sku_name": sku,
+        "price_start_time": at(start),
+        "price_end_time": at(end),
+        "pricing": {"default": amount and Decimal(amount)},
+    }
+
+
+def sample(cluster_id: str | None = "c-1", *, cpu=0.0, system=0.0, io=0.0, mem=0.0, swap=0.0, **values) -> dict:
+    row = {
+        "cluster_id": cluster_id,
+        "start_time": at("11-20"),
+        "driver": False,
+        "cpu_user_percent": cpu,
+        "cpu_system_percent": system,
+        "cpu_wait_percent": io,
+        "mem_used_percent": mem,
+        "mem_swap_percent": swap,
+    }
+    assert values.keys() <= row.keys()
+    return {**row, **values}
+
+
+def frame(spark: SparkSession, rows: list[dict], schema) -> DataFrame:
+    return spark.createDataFrame([tuple(row[name] for name in schema.fieldNames()) for row in rows], schema)
+
+
+def tables(spark, *, clusters=(), usage=(), prices=None, samples=(), nodes=NODES, small=SMALL) -> InputTables:
+    prices = [price("01-01", None)] if prices is None else prices
+    nodes = [dict(zip(schemas.NODE_TYPES.fieldNames(), node, strict=True)) for node in nodes]
+    return InputTables(
+        clusters=frame(spark, list(clusters), schemas.CLUSTERS),
+        node_types=frame(spark, nodes, schemas.NODE_TYPES),
+        node_timeline=frame(spark, list(samples), schemas.NODE_TIMELINE),
+        usage=frame(spark, list(usage), schemas.USAGE),
+        list_prices=frame(spark, prices, schemas.LIST_PRICES),
+        lts=lts_support(spark),
+        small=small,
+    )
+
+
+def values(df: DataFrame, *columns: str) -> list[tuple]:
+    return [tuple(row) for row in df.select(*columns).collect()]

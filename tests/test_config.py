@@ -1,0 +1,42 @@
+from datetime import date
+
+import pytest
+
+from clusterlens.config import AnalysisConfig
+
+
+def test_defaults():
+    cfg = AnalysisConfig(as_of=date(2026, 12, 1))
+    assert cfg.window_start == date(2026, 11, 1)
+    assert dict(cfg.vm_thresholds) == {"D": 5, "E": 5, "F": 2, "L": 3, "M": 2, "N": 1}
+    assert AnalysisConfig().as_of == date.today()
+
+
+def test_text_parameters():
+    cfg = AnalysisConfig.from_params(
+        {"as_of": "2026-12-01", "lookback_days": "7", "vm_threshold_D": "3", "vm_threshold_default": "4", "cpu_threshold": "50"}
+    )
+    assert (cfg.as_of, cfg.lookback_days, cfg.cpu_threshold) == (date(2026, 12, 1), 7, 50)
+    assert (cfg.vm_thresholds["D"], cfg.vm_thresholds["E"], cfg.vm_threshold_default) == (3, 5, 4)
+    assert AnalysisConfig.from_params({"workspace_filter": "ws-1", "output_schema": "s"}).workspace_filter == "ws-1"
+
+
+@pytest.mark.parametrize(
+    "bad",
+    [
+        {"lookback_days": 0},
+        {"cpu_threshold": 101},
+        {"driver_cpu_threshold": -1},
+        {"workspace_filter": ""},
+        {"vm_thresholds": {"DS": 1}},
+    ],
+)
+def test_rejects(bad):
+    with pytest.raises(ValueError):
+        AnalysisConfig(**bad)
+
+
+@pytest.mark.parametrize("name", ["vm_threshold_X", "nonsense", "vm_thresholds"])
+def test_rejects_unknown_parameters(name):
+    with pytest.raises(ValueError, match=name):
+        AnalysisConfig.from_params({name: "1"})

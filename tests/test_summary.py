@@ -1,0 +1,88 @@
+from dataclasses import replace
+from datetime import datetime, timedelta
+from decimal import Decimal
+
+import pytest
+
+from clusterlens.plans.summary import (
+    executive_summary,
+    summary_old_vm,
+    summary_oversized_driver,
+    summary_runtime_critical,
+    summary_runtime_warning,
+)
+from tests.frames import CFG, at, cluster, tables, used, values
+
+TOTALS = ("cluster_count", "total_dbus", "total_cost_usd")
+SINGLE = [summary_runtime_critical, summary_runtime_warning, summary_old_vm, summary_oversized_driver]
+
+
+@pytest.mark.parametrize(
+    ("days", "critical", "warning"),
+    [(-1, 1, 0), (0, 1, 0), (179, 1, 0), (180, 0, 1), (364, 0, 1), (365, 0, 1), (366, 0, 0)],
+)
+def test_boundaries(spark, days, critical, warning):
+    today = datetime(2027, 8, 19) - timedelta(days=days)
+    cfg = replace(CFG, as_of=today.date())
+    t = tables(spark, clusters=[cluster(dbr_version="15.4.x", change_time=today)])
+    assert values(summary_runtime_critical(t, cfg), "cluster_count") == [(critical,)]
+    assert values(summary_runtime_warning(t, cfg), "cluster_count") == [(warning,)]
+
+
+@pytest.fixture(scope="module", params=[frozenset({"list_prices", "node_types"}), frozenset()], ids=["broadcast", "shuffled"])
+def fleet(spark, request):
+    huge, old = "Standard_D64ds_v5", "Standard_DS3_v2"
+    return tables(
+        spark,
+        clusters=[
+            cluster("fine"),
+            cluster("two", dbr_version="15.1.x", driver_node_type=huge),
+            cluster("two", dbr_version="15.1.x", change_time=at("11-25")),
+            cluster("unknown", dbr_version=None, driver_node_type="Standard_X_v1", worker_node_type=None),
+            cluster("warned", dbr_version="15.4.x", worker_node_type=old),
+            cluster("expired", dbr_version="12.2.x"),
+            cluster(None, dbr_version="12.2.x"),
+        ],
+        usage=[used(c, q) for c, q in [("fine", "100"), ("two", "10.005"), ("warned", "3"), ("expired", "1")]],
+        small=request.param,
+    )
+
+
+def test_single_categories(fleet):
+    assert [values(report(fleet, CFG), *TOTALS) for report in SINGLE] == [
+        [(3, Decimal("21.01"), Decimal("21.01"))],
+        [(1, Decimal(3), Decimal(3))],
+        [(2, Decimal(3), Decimal(3))],
+        [(1, Decimal("10.01"), Decimal("10.01"))],
+    ]
+
+
+def test_executive_summary_is_the_categories_in_order(fleet):
+    rows = executive_summary(fleet, CFG)
+    assert rows.columns == ["Issue Category", "Affected Clusters", "Total DBUs", "Total Cost (USD)", "Recommendation"]
+    rows = [tuple(r) for r in rows.collect()]
+    assert rows == [tuple(report(fleet, CFG).first()) for report in SINGLE]
+    assert [(r[0], r[4]) for r in rows] == [
+        ("🔴 DBR Critical (Non-LTS or <6mo to EOS)", "Immediate upgrade to LTS required"),
+        ("🟠 DBR Warning (<1 year to EOS)", "Plan upgrade within 6 months"),
+        ("🔸 Older VM Generations (Below Threshold)", "Upgrade VMs to recommended generation"),
+        ("🔸 Oversized Driver Nodes", "Right-size driver configurations"),
+    ]
+
+
+def test_latest_records_only(fleet):
+    assert values(summary_runtime_critical(fleet, CFG, latest_only=True), *TOTALS) == [(3, Decimal("11.01"), Decimal("11.01"))]
+    assert values(summary_oversized_driver(fleet, CFG, latest_only=True), *TOTALS) == [(0, None, None)]
+
+
+@pytest.mark.parametrize("rows", [[], [cluster()]], ids=["no clusters", "no findings"])
+def test_without_hits_there_are_no_totals(spark, rows):
+    t = tables(spark, clusters=rows, usage=[used("c-1", "5")])
+    assert [tuple(r)[1:4] for r in executive_summary(t, CFG).collect()] == [(0, None, None)] * 4
+
+
+def test_a_type_listed_twice_counts_its_cost_twice(spark):
+    nodes = [("twin", 64.0, 1024), ("twin", 64.0, 1024), ("twin", 1.0, 1024)]
+    t = tables(spark, clusters=[cluster(driver_node_type="twin")], usage=[used("c-1", "5")], nodes=nodes)
+    assert values(summary_oversized_driver(t, CFG), *TOTALS) == [(1, Decimal(10), Decimal(10))]
+    assert [r[1] for r in executive_summary(t, CFG).collect()] == [0, 0, 0, 1]

@@ -1,0 +1,89 @@
+from dataclasses import replace
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from clusterlens.functions.vm import vm_generation, vm_series, vm_threshold
+from clusterlens.plans.vm import old_vm_detail, vm_distribution
+from tests.frames import CFG, cluster, tables, used, values
+
+
+def test_names_and_thresholds(spark):
+    rows = [
+        ("Standard_D4ds_v5", "D", 5, 5),
+        ("Standard_DS3_v2", "DS", 2, 5),
+        ("Standard_F8s_v2", "F", 2, 2),
+        ("Standard_L8s_v3", "L", 3, 3),
+        ("Standard_M64ms", "M", None, 2),
+        ("Standard_NC24ads_A100_v4", "NC", 4, 1),
+        ("Standard_E20_v5", "E", 5, 5),
+        ("Standard_B2_v99999999999", "B", None, 5),
+        ("m5.xlarge", "", None, 5),
+        ("", "", None, 5),
+        (None, None, None, 5),
+    ]
+    df = spark.createDataFrame([(n,) for n, *_ in rows], "n string")
+    n = F.col("n")
+    assert values(df.select("n", vm_series(n), vm_generation(n), vm_threshold(vm_series(n), CFG)), "*") == rows
+    none = replace(CFG, vm_thresholds={}, vm_threshold_default=4)
+    assert {r[0] for r in values(df.select(vm_threshold(vm_series(n), none)), "*")} == {4}
+
+
+@pytest.mark.parametrize("small", [frozenset({"list_prices", "node_types"}), frozenset()], ids=["broadcast", "shuffled"])
+def test_detail(spark, small):
+    old, new, unknown = "Standard_DS3_v2", "Standard_D4ds_v5", "Standard_D2_v3"
+    t = tables(
+        spark,
+        clusters=[
+            cluster("driver", driver_node_type=old),
+            cluster("worker", worker_node_type=unknown),
+            cluster("both", driver_node_type=old, worker_node_type=unknown),
+            cluster("none", driver_node_type=new, worker_node_type=None),
+            cluster("other-cloud", driver_node_type="m5.xlarge", worker_node_type="m4.large"),
+        ],
+        usage=[used("driver", "3")],
+        small=small,
+    )
+    df = old_vm_detail(t, CFG)
+    assert values(df, "cluster_id", "driver_vm_generation", "worker_vm_generation", "total_cost_usd") == [
+        ("driver", "2", "5", Decimal(3)),
+        ("both", "2", "3", Decimal(0)),
+        ("worker", "5", "3", Decimal(0)),
+    ]
+    assert values(df.where("cluster_id = 'both'"), "vm_status", "driver_cores", "driver_memory_gb", "worker_cores") == [
+        ("🔴 Below Recommended", 4.0, 14.0, None)
+    ]
+    lenient = replace(CFG, vm_thresholds={"D": 3})
+    assert values(old_vm_detail(t, lenient), "cluster_id") == [("driver",), ("both",)]
+    assert values(old_vm_detail(t, lenient), "driver_min_recommended") == [(3,), (3,)]
+
+
+def test_a_type_listed_twice_repeats_the_record(spark):
+    nodes = [("Standard_DS3_v2", 4.0, 14336), ("Standard_DS3_v2", 4.0, 14337)]
+    t = tables(spark, clusters=[cluster(driver_node_type="Standard_DS3_v2", worker_node_type=None)], nodes=nodes)
+    assert old_vm_detail(t, CFG).count() == 2
+
+
+def test_distribution(spark):
+    t = tables(
+        spark,
+        clusters=[
+            cluster("a", driver_node_type="Standard_D4ds_v5"),
+            cluster("a", driver_node_type="Standard_D4ds_v5"),
+            cluster("b", driver_node_type="Standard_D4ds_v3"),
+            cluster("c", driver_node_type="Standard_D4ds_v03"),
+            cluster("d", driver_node_type="Standard_D4ds_v99999999999"),
+            cluster("e", driver_node_type="m5.xlarge"),
+            cluster("f", driver_node_type=None),
+        ],
+        usage=[used("a", "1"), used("b", "2")],
+    )
+    rows = values(vm_distribution(t, CFG), "series", "vm_generation", "min_recommended", "cluster_count", "status", "pct_of_total_cost")
+    below, meets = "🔴 Below Threshold", "🟢 Meets Threshold"
+    assert rows == [
+        ("D", "v99999999999", "v5", 1, meets, Decimal(0)),
+        ("D", "v03", "v5", 1, below, Decimal(0)),
+        ("D", "v3", "v5", 1, below, Decimal(50)),
+        ("D", "v5", "v5", 1, meets, Decimal(50)),
+    ]
