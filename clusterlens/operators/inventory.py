@@ -6,6 +6,10 @@ from pyspark.sql import functions as F
 from clusterlens import schemas
 from clusterlens.config import ALL_WORKSPACES, AnalysisConfig
 
+# Last sort keys of the detail reports. They make the order repeatable, and let the records of one cluster, which agree
+# in every earlier key, be sorted in several tasks.
+RECORD_ORDER = ("cluster_id", "change_time", "dbr_version", "driver_node_type", "worker_node_type")
+
 
 def workspace_ids(clusters: DataFrame) -> DataFrame:
     return clusters.select("workspace_id").where(F.col("workspace_id").isNotNull()).distinct().orderBy("workspace_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clusterlens.config import AnalysisConfig
 from clusterlens.functions.drivers import driver_recommendation, memory_gb, oversized_driver, sizing_status
-from clusterlens.operators.inventory import live_clusters
+from clusterlens.operators.inventory import RECORD_ORDER, live_clusters
 from clusterlens.operators.joins import splittable_join
 from clusterlens.operators.pricing import cluster_costs, round_costs
 from clusterlens.operators.specs import with_node_specs
@@ -34,7 +34,7 @@ def oversized_driver_detail(
     rows = splittable_join(_oversized(t, cfg, latest_only), round_costs(costs), "cluster_id", "left")
     if ordered:
         rows = rows.orderBy(
-            F.col("total_cost_usd").desc_nulls_last(), cores.desc(), memory.desc(), "cluster_id", "change_time"
+            F.col("total_cost_usd").desc_nulls_last(), cores.desc(), memory.desc(), *RECORD_ORDER
         )
     return rows.select(
         "account_id",

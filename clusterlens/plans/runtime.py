@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clusterlens import labels
 from clusterlens.config import AnalysisConfig
 from clusterlens.functions.runtime import support_status, urgency
-from clusterlens.operators.inventory import live_clusters
+from clusterlens.operators.inventory import RECORD_ORDER, live_clusters
 from clusterlens.operators.joins import splittable_join
 from clusterlens.operators.pricing import cluster_costs, round_costs
 from clusterlens.operators.spend import amounts, share_of_total, spend_by_group
@@ -37,7 +37,7 @@ def outdated_runtime_detail(
         records = records.where(status != labels.SUPPORTED)
     rows = splittable_join(records, round_costs(costs), "cluster_id", "left")
     if ordered:
-        rows = rows.orderBy(urgency(lts, days), F.col("total_cost_usd").desc_nulls_last(), "cluster_id", "change_time")
+        rows = rows.orderBy(urgency(lts, days), F.col("total_cost_usd").desc_nulls_last(), *RECORD_ORDER)
     return rows.select(
         "account_id",
         "workspace_id",

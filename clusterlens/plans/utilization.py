@@ -19,7 +19,7 @@ from clusterlens.functions.utilization import (
     memory_bound,
     memory_recommendation,
 )
-from clusterlens.operators.inventory import live_clusters
+from clusterlens.operators.inventory import RECORD_ORDER, live_clusters
 from clusterlens.operators.joins import splittable_join
 from clusterlens.operators.pricing import cluster_costs, round_costs
 from clusterlens.operators.spend import amounts, share_of_total, times
@@ -41,7 +41,7 @@ def _detail(
     found = found.join(round_costs(costs), "cluster_id", "left")
     rows = splittable_join(live_clusters(t.clusters, cfg, latest_only=latest_only), found, "cluster_id", "inner")
     if ordered:
-        rows = rows.orderBy(F.col("total_cost_usd").desc_nulls_last(), "cluster_id", "change_time")
+        rows = rows.orderBy(F.col("total_cost_usd").desc_nulls_last(), *RECORD_ORDER)
     identity = ["account_id", "workspace_id", "cluster_id", "cluster_name", F.col("owned_by").alias("owner")]
     return rows.select(*identity, "dbr_version", *columns)
 

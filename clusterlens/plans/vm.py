@@ -16,7 +16,7 @@ from clusterlens.functions.vm import (
     vm_series,
     vm_threshold,
 )
-from clusterlens.operators.inventory import live_clusters
+from clusterlens.operators.inventory import RECORD_ORDER, live_clusters
 from clusterlens.operators.joins import splittable_join
 from clusterlens.operators.pricing import cluster_costs, round_costs
 from clusterlens.operators.specs import with_node_specs
@@ -58,7 +58,7 @@ def old_vm_detail(
     rows = splittable_join(records, round_costs(costs), "cluster_id", "left")
     if ordered:
         oldest = F.least(*(known_generation(F.col(f"{role}_generation")) for role in ROLES))
-        rows = rows.orderBy(oldest, F.col("total_cost_usd").desc_nulls_last(), "cluster_id", "change_time")
+        rows = rows.orderBy(oldest, F.col("total_cost_usd").desc_nulls_last(), *RECORD_ORDER)
 
     def generation_columns(role: str) -> list[Column]:
         shown = F.coalesce(F.col(f"{role}_generation").cast("string"), F.lit(labels.NO_GENERATION))

@@ -6,23 +6,30 @@ from pyspark.sql import functions as F
 from clusterlens.config import AnalysisConfig
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def save_report(report: DataFrame, name: str, cfg: AnalysisConfig) -> str:
     """Write a report into the partition of its date and return the table name.
 
-    The table lies in the configured catalog and schema. Saving again for the same date replaces that date only, so a
-    failed run can be repeated. Pass reports built with ``ordered=False``: a stored table needs no total order.
+    The table lies in the configured catalog and schema. Saving again for the same date replaces that date only, also by
+    an empty report, so a failed run can be repeated. Pass reports built with ``ordered=False``: a stored table needs no
+    total order.
     """
     if not cfg.output_schema:
         raise ValueError("output_schema is not configured")
-    table = ".".join(filter(None, (cfg.output_catalog, cfg.output_schema, name)))
+    parts = [cfg.output_catalog, *cfg.output_schema.split("."), name]
+    table = ".".join(_quoted(part) for part in parts if part)
     spark = report.sparkSession
-    snapshot = report.withColumn("as_of", F.lit(cfg.as_of))
-    if spark.catalog.tableExists(table):
-        stored = spark.table(table).columns
-        if set(stored) != set(snapshot.columns):
-            raise ValueError(f"columns of {table} differ from those of the report: {stored} / {snapshot.columns}")
-        writer = snapshot.select([F.col(f"`{c}`") for c in stored]).write
-        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
-    else:
-        snapshot.write.mode("error").partitionBy("as_of").saveAsTable(table)
+    if not spark.catalog.tableExists(table):
+        report.withColumn("as_of", F.lit(cfg.as_of)).write.mode("error").partitionBy("as_of").saveAsTable(table)
+        return table
+    stored = [column for column in spark.table(table).columns if column != "as_of"]
+    if set(stored) != set(report.columns):
+        raise ValueError(f"columns of {table} differ from those of the report: {stored} / {report.columns}")
+    spark.sql(
+        f"INSERT OVERWRITE TABLE {table} PARTITION (as_of = DATE '{cfg.as_of}') SELECT * FROM {{report}}",
+        report=report.select([F.col(_quoted(column)) for column in stored]),
+    )
     return table

@@ -21,6 +21,7 @@ def spark(tmp_path_factory):
         **{
             "spark.sql.warehouse.dir": str(scratch / "warehouse"),
             "spark.sql.shuffle.partitions": "4",
+            "spark.sql.maxMetadataStringLength": "5000",
             "spark.sql.dataFrameQueryContext.enabled": "false",
         },
     )

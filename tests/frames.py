@@ -5,7 +5,9 @@ from __future__ import annotations
 from datetime import date, datetime
 from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from clusterlens import schemas
 from clusterlens.config import AnalysisConfig
@@ -76,7 +78,7 @@ def sample(cluster_id: str | None = "c-1", *, cpu=0.0, system=0.0, io=0.0, mem=0
 
 
 def frame(spark: SparkSession, rows: list[dict], schema) -> DataFrame:
-    return spark.createDataFrame([tuple(row[name] for name in schema.fieldNames()) for row in rows], schema)
+    return spark.createDataFrame(pa.Table.from_pylist(rows, to_arrow_schema(schema)), schema)
 
 
 def tables(spark, *, clusters=(), usage=(), prices=None, samples=(), nodes=NODES, small=SMALL) -> InputTables:

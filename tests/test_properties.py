@@ -1,0 +1,65 @@
+"""Relations between reports on the smallest test data."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from __spark_entry__ import CONFIG
+from clusterlens.operators.inventory import live_clusters
+from clusterlens.operators.pricing import cluster_costs, priced_usage, recent_usage
+from clusterlens.operators.telemetry import worker_utilization
+from clusterlens.plans.full_run import COST_REPORTS, UTILIZATION_REPORTS, all_reports
+from clusterlens.sources.testdata import SampleTables
+
+
+@pytest.fixture(scope="module")
+def t(spark):
+    return SampleTables(spark, "/root/testdata/sf0.001")
+
+
+@pytest.fixture(scope="module")
+def reports(t):
+    return all_reports(t, CONFIG)
+
+
+def total(df, column="total_cost_usd"):
+    return df.agg(F.sum(column)).first()[0]
+
+
+def test_sizes(t):
+    assert (t.clusters.count(), t.usage.count(), t.node_timeline.count()) == (184, 6000, 1000)
+
+
+def test_pricing_keeps_every_usage_row(t):
+    assert priced_usage(t, CONFIG).count() == recent_usage(t.usage, CONFIG).count() == 3058
+
+
+def test_distribution_adds_up_to_the_joined_records(t, reports):
+    costs = cluster_costs(t, CONFIG)
+    joined = live_clusters(t.clusters, CONFIG).join(costs, "cluster_id")
+    assert abs(total(reports["runtime_distribution"]) - total(joined)) < 1
+    assert abs(total(reports["outdated_runtime_detail"]) - total(joined)) < 1
+
+
+@pytest.mark.parametrize("name", ["runtime_distribution", "vm_distribution", "driver_sizing_summary", "bottleneck_summary"])
+def test_shares_add_up(reports, name):
+    rows = reports[name]
+    assert abs(float(total(rows, "pct_of_total_cost")) - 100) <= 0.01 * rows.count()
+
+
+def test_bottlenecks_count_the_records_with_telemetry(t, reports):
+    measured = worker_utilization(t.node_timeline, CONFIG).select("cluster_id")
+    assert total(reports["bottleneck_summary"], "cluster_count") == live_clusters(t.clusters, CONFIG).join(measured, "cluster_id").count()
+
+
+@pytest.mark.parametrize("name", [*COST_REPORTS, *UTILIZATION_REPORTS])
+def test_shared_inputs_change_nothing(t, reports, name):
+    alone = {**COST_REPORTS, **UTILIZATION_REPORTS}[name](t, CONFIG)
+    assert alone.collect() == reports[name].collect()
+
+
+@pytest.mark.parametrize("name", ["outdated_runtime_detail", "old_vm_detail", "oversized_driver_detail"])
+def test_options(t, name):
+    report = COST_REPORTS[name]
+    full = report(t, CONFIG)
+    assert report(t, CONFIG, latest_only=True).count() <= full.count()
+    assert sorted(report(t, CONFIG, ordered=False).collect()) == sorted(full.collect())
