@@ -41,6 +41,10 @@ def _live_clusters(t: InputTables, cfg: AnalysisConfig) -> DataFrame:
     return live_clusters(t.clusters, cfg)
 
 
+def _live_clusters_latest(t: InputTables, cfg: AnalysisConfig) -> DataFrame:
+    return live_clusters(t.clusters, cfg, latest_only=True)
+
+
 def _cluster_costs_rounded(t: InputTables, cfg: AnalysisConfig) -> DataFrame:
     return cluster_costs(t, cfg, rounded=True)
 
@@ -75,14 +79,13 @@ def _support_status(t: InputTables, cfg: AnalysisConfig) -> DataFrame:
     )
 
 
-def _vm_names(t: InputTables, cfg: AnalysisConfig) -> DataFrame:
-    node_type = F.col("worker_node_type")
-    return t.clusters.select(
-        "cluster_id",
-        "worker_node_type",
-        vm.vm_series(node_type).alias("vm_series"),
-        vm.vm_generation(node_type).alias("vm_generation"),
-    )
+def _vm_series(t: InputTables, cfg: AnalysisConfig) -> DataFrame:
+    return t.clusters.select("cluster_id", "worker_node_type", vm.vm_series(F.col("worker_node_type")).alias("vm_series"))
+
+
+def _vm_generation(t: InputTables, cfg: AnalysisConfig) -> DataFrame:
+    generation = vm.vm_generation(F.col("worker_node_type")).alias("vm_generation")
+    return t.clusters.select("cluster_id", "worker_node_type", generation)
 
 
 def _vm_threshold(t: InputTables, cfg: AnalysisConfig) -> DataFrame:
@@ -137,6 +140,7 @@ def _share_of_total(t: InputTables, cfg: AnalysisConfig) -> DataFrame:
 REPORTS: dict[str, Report] = {
     "workspace_ids": _workspace_ids,
     "live_clusters": _live_clusters,
+    "live_clusters_latest": _live_clusters_latest,
     "priced_usage": priced_usage,
     "cluster_costs": cluster_costs,
     "cluster_costs_rounded": _cluster_costs_rounded,
@@ -144,7 +148,8 @@ REPORTS: dict[str, Report] = {
     "runtime_type": _runtime_type,
     "with_support": _with_support,
     "support_status": _support_status,
-    "vm_names": _vm_names,
+    "vm_series": _vm_series,
+    "vm_generation": _vm_generation,
     "vm_threshold": _vm_threshold,
     "below_vm_threshold": _below_vm_threshold,
     "with_node_specs": _with_node_specs,

@@ -18,7 +18,8 @@ def times(records: Column, amount: Column, kind: T.DataType) -> Column:
     """``records * amount`` without loss of scale, which plain decimal multiplication would cut to fit 38 digits.
 
     The digits left by the scale are shared out between the two: up to 12 for the count, and at least 12 before the
-    point for amounts of up to 24 decimals. Should a value need more, Spark reports the overflow.
+    point for amounts of up to 24 decimals. Should a value need more, Spark reports the overflow
+    (in ANSI mode, its default).
     """
     if not isinstance(kind, T.DecimalType):
         return records * amount

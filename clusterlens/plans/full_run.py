@@ -38,10 +38,16 @@ UTILIZATION_REPORTS = {
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder of the session, so that a lost executor costs no recomputation."""
-    context = df.sparkSession.sparkContext
+    """Checkpoint into the shared folder of the session, so that a lost executor costs no recomputation.
+
+    Only a local session without such a folder gets a temporary one.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="clusterlens-"))
     return df.checkpoint()
 

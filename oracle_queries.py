@@ -263,6 +263,16 @@ def all_queries() -> dict[str, str]:
     queries = {
         "workspace_ids": _query("clusters", "SELECT DISTINCT workspace_id FROM clusters ORDER BY 1"),
         "live_clusters": _query("live", "SELECT * FROM live"),
+        "live_clusters_latest": _query(
+            "clusters",
+            f"""SELECT * EXCLUDE (place)
+                FROM (SELECT *, row_number() OVER (
+                          PARTITION BY cluster_id
+                          ORDER BY change_time DESC, dbr_version DESC, driver_node_type DESC, worker_node_type DESC
+                      ) AS place
+                      FROM clusters)
+                WHERE place = 1 AND delete_time IS NULL AND change_time >= {_WINDOW}""",
+        ),
         "priced_usage": _query(
             "priced",
             f"""SELECT cluster_id, sku AS sku_name, began AS usage_start_time, {_dbl('quantity')} AS usage_quantity,
@@ -294,9 +304,14 @@ def all_queries() -> dict[str, str]:
             f"""SELECT cluster_id, dbr_version, {_DETAILED} AS detailed_status, {_SHORT} AS short_status
                 FROM supported""",
         ),
-        "vm_names": _query(
+        "vm_series": _query(
+            "clusters vm",
+            """SELECT cluster_id, worker_node_type, series AS vm_series
+               FROM clusters LEFT JOIN vm ON name = worker_node_type""",
+        ),
+        "vm_generation": _query(
             "clusters vm",
-            """SELECT cluster_id, worker_node_type, series AS vm_series, CAST(gen AS DOUBLE) AS vm_generation
+            """SELECT cluster_id, worker_node_type, CAST(gen AS DOUBLE) AS vm_generation
                FROM clusters LEFT JOIN vm ON name = worker_node_type""",
         ),
         "vm_threshold": _query(
