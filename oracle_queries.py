@@ -6,6 +6,8 @@ DISTINCT and none of the pre-aggregation that the library does. Only the fixed t
 
 from __future__ import annotations
 
+from functools import partial
+
 from clusterlens import labels as L
 
 _WINDOW = "TIMESTAMP '2026-11-01 00:00:00'"
@@ -19,18 +21,19 @@ def _step(name: str, needs: str, sql: str) -> None:
     _STEPS[name] = (tuple(needs.split()), sql)
 
 
-def _query(needs: str, sql: str) -> str:
+def _query(needs: str, sql: str, given: frozenset[str] = frozenset()) -> str:
+    """Prefix the steps that a query needs, except those given as tables."""
     ordered: list[str] = []
 
     def visit(name: str) -> None:
-        if name not in ordered:
+        if name not in ordered and name not in given:
             for other in _STEPS[name][0]:
                 visit(other)
             ordered.append(name)
 
     for name in needs.split():
         visit(name)
-    return "WITH " + ",\n".join(f"{name} AS ({_STEPS[name][1]})" for name in ordered) + "\n" + sql
+    return "WITH " + ",\n".join(f"{name} AS ({_STEPS[name][1]})" for name in ordered) + "\n" + sql if ordered else sql
 
 
 def _dbl(expression: str) -> str:
@@ -190,10 +193,10 @@ _step(
     "aged",
     "billed vm",
     """
-    SELECT billed.*, d.series AS d_series, d.gen AS d_gen, d.gen_text AS d_gen_text, d.threshold AS d_threshold,
-           d.old AS d_old, w.series AS w_series, w.gen AS w_gen, IFNULL(w.threshold, 5) AS w_threshold,
-           IFNULL(w.old, false) AS w_old
-    FROM billed JOIN vm AS d ON d.name = driver_node_type LEFT JOIN vm AS w ON w.name = worker_node_type""",
+    SELECT billed.*, d.series AS d_series, d.gen AS d_gen, d.gen_text AS d_gen_text,
+           IFNULL(d.threshold, 5) AS d_threshold, IFNULL(d.old, false) AS d_old, w.series AS w_series, w.gen AS w_gen,
+           IFNULL(w.threshold, 5) AS w_threshold, IFNULL(w.old, false) AS w_old
+    FROM billed LEFT JOIN vm AS d ON d.name = driver_node_type LEFT JOIN vm AS w ON w.name = worker_node_type""",
 )
 _step(
     "sized",
@@ -259,11 +262,13 @@ def _finding(name: str) -> str:
                FROM {source} WHERE {condition}"""
 
 
-def all_queries() -> dict[str, str]:
+def all_queries(given: frozenset[str] = frozenset()) -> dict[str, str]:
+    """All queries; inputs named in ``given`` are read from tables of that name and shape instead."""
+    query = partial(_query, given=given)
     queries = {
-        "workspace_ids": _query("clusters", "SELECT DISTINCT workspace_id FROM clusters ORDER BY 1"),
-        "live_clusters": _query("live", "SELECT * FROM live"),
-        "live_clusters_latest": _query(
+        "workspace_ids": query("clusters", "SELECT DISTINCT workspace_id FROM clusters WHERE workspace_id IS NOT NULL ORDER BY 1"),
+        "live_clusters": query("live", "SELECT * FROM live"),
+        "live_clusters_latest": query(
             "clusters",
             f"""SELECT * EXCLUDE (place)
                 FROM (SELECT *, row_number() OVER (
@@ -273,58 +278,60 @@ def all_queries() -> dict[str, str]:
                       FROM clusters)
                 WHERE place = 1 AND delete_time IS NULL AND change_time >= {_WINDOW}""",
         ),
-        "priced_usage": _query(
+        "priced_usage": query(
             "priced",
             f"""SELECT cluster_id, sku AS sku_name, began AS usage_start_time, {_dbl('quantity')} AS usage_quantity,
                        {_dbl('unit_price')} AS unit_price, {_dbl('cost')} AS cost_usd
                 FROM priced""",
         ),
-        "cluster_costs": _query(
+        "cluster_costs": query(
             "spend", f"SELECT cluster_id, {_dbl('dbus')} AS total_dbus, {_dbl('usd')} AS total_cost_usd FROM spend"
         ),
-        "cluster_costs_rounded": _query(
+        "cluster_costs_rounded": query(
             "spend", f"SELECT cluster_id, {_r2('dbus')} AS total_dbus, {_r2('usd')} AS total_cost_usd FROM spend"
         ),
-        "runtime_family": _query(
+        "runtime_family": query(
             "clusters",
             """SELECT cluster_id, dbr_version, regexp_extract(dbr_version, '[0-9]+[.][0-9]+') AS runtime_family
                FROM clusters""",
         ),
-        "runtime_type": _query(
+        "runtime_type": query(
             "clusters", f"SELECT cluster_id, dbr_version, {_RUNTIME_TYPE} AS runtime_type FROM clusters"
         ),
-        "with_support": _query(
+        "with_support": query(
             "supported",
             """SELECT cluster_id, dbr_version, family AS runtime_family, lts_version, CAST(ends AS VARCHAR) AS end_of_support,
                       days_left AS days_until_eos
                FROM supported""",
         ),
-        "support_status": _query(
+        "support_status": query(
             "supported",
             f"""SELECT cluster_id, dbr_version, {_DETAILED} AS detailed_status, {_SHORT} AS short_status
                 FROM supported""",
         ),
-        "vm_series": _query(
+        "vm_series": query(
             "clusters vm",
             """SELECT cluster_id, worker_node_type, series AS vm_series
                FROM clusters LEFT JOIN vm ON name = worker_node_type""",
         ),
-        "vm_generation": _query(
+        "vm_generation": query(
             "clusters vm",
             """SELECT cluster_id, worker_node_type, CAST(gen AS DOUBLE) AS vm_generation
                FROM clusters LEFT JOIN vm ON name = worker_node_type""",
         ),
-        "vm_threshold": _query(
+        "vm_threshold": query(
             "clusters vm",
             """SELECT cluster_id, worker_node_type, CAST(IFNULL(threshold, 5) AS DOUBLE) AS vm_threshold
                FROM clusters LEFT JOIN vm ON name = worker_node_type""",
         ),
-        "below_vm_threshold": _query(
+        "below_vm_threshold": query(
             "clusters vm",
-            """SELECT cluster_id, driver_node_type, worker_node_type, d.old OR IFNULL(w.old, false) AS below_threshold
-               FROM clusters JOIN vm AS d ON d.name = driver_node_type LEFT JOIN vm AS w ON w.name = worker_node_type""",
+            """SELECT cluster_id, driver_node_type, worker_node_type,
+                      IFNULL(d.old, false) OR IFNULL(w.old, false) AS below_threshold
+               FROM clusters LEFT JOIN vm AS d ON d.name = driver_node_type
+               LEFT JOIN vm AS w ON w.name = worker_node_type""",
         ),
-        "with_node_specs": _query(
+        "with_node_specs": query(
             "live node_types",
             f"""SELECT cluster_id, driver_node_type, d.core_count AS driver_cores, worker_node_type,
                        w.core_count AS worker_cores, {_rd('d.memory_mb / 1024', 1)} AS driver_memory_gb,
@@ -332,11 +339,11 @@ def all_queries() -> dict[str, str]:
                 FROM live JOIN node_types AS d ON d.node_type = driver_node_type
                 LEFT JOIN node_types AS w ON w.node_type = worker_node_type""",
         ),
-        "oversized_driver": _query(
+        "oversized_driver": query(
             "sized",
             "SELECT cluster_id, driver_node_type, oversized AS is_oversized, sizing_status, recommendation FROM sized",
         ),
-        "worker_utilization": _query(
+        "worker_utilization": query(
             "load",
             "SELECT cluster_id, days_active, "
             + ", ".join(
@@ -344,13 +351,13 @@ def all_queries() -> dict[str, str]:
             )
             + " FROM load",
         ),
-        "bottleneck_type": _query("bottlenecks", "SELECT cluster_id, bottleneck_type FROM bottlenecks"),
-        "share_of_total": _query(
+        "bottleneck_type": query("bottlenecks", "SELECT cluster_id, bottleneck_type FROM bottlenecks"),
+        "share_of_total": query(
             "priced",
             f"""SELECT sku AS sku_name, {_SHARE} AS pct_of_total_cost
                 FROM (SELECT sku, cost AS usd FROM priced) GROUP BY sku""",
         ),
-        "outdated_runtime_detail": _query(
+        "outdated_runtime_detail": query(
             "supported",
             f"""SELECT {_WHO}, dbr_version, family AS dbr_family,
                        IF(lts_version IS NULL, '{L.NON_LTS}', '{L.LTS}') AS version_type,
@@ -358,7 +365,7 @@ def all_queries() -> dict[str, str]:
                        {_DETAILED} AS support_status, driver_node_type, worker_node_type, cluster_source, {_MONEY}
                 FROM supported""",
         ),
-        "runtime_distribution": _query(
+        "runtime_distribution": query(
             "supported",
             f"""SELECT '{L.FAMILY_PREFIX}' || family AS dbr_version,
                        IFNULL(CAST(ends AS VARCHAR), '{L.NO_END_OF_SUPPORT}') AS end_of_support_date,
@@ -366,7 +373,7 @@ def all_queries() -> dict[str, str]:
                        COUNT(DISTINCT cluster_id) AS cluster_count, {_SUMS}, {_SHARE} AS pct_of_total_cost
                 FROM supported GROUP BY family, lts_version, ends, days_left""",
         ),
-        "old_vm_detail": _query(
+        "old_vm_detail": query(
             "aged node_types",
             f"""SELECT {_WHO}, driver_node_type, d_series AS driver_series,
                        IFNULL(CAST(d_gen AS VARCHAR), '{L.NO_GENERATION}') AS driver_vm_generation,
@@ -380,7 +387,7 @@ def all_queries() -> dict[str, str]:
                 LEFT JOIN node_types AS w ON w.node_type = worker_node_type
                 WHERE d_old OR w_old""",
         ),
-        "vm_distribution": _query(
+        "vm_distribution": query(
             "aged",
             f"""SELECT d_series AS series, 'v' || d_gen_text AS vm_generation, 'v' || d_threshold AS min_recommended,
                        COUNT(DISTINCT cluster_id) AS cluster_count,
@@ -388,27 +395,27 @@ def all_queries() -> dict[str, str]:
                        {_SUMS}, {_SHARE} AS pct_of_total_cost
                 FROM aged WHERE d_gen_text <> '' GROUP BY d_series, d_gen_text, d_threshold""",
         ),
-        "oversized_driver_detail": _query(
+        "oversized_driver_detail": query(
             "sized",
             f"""SELECT {_WHO}, driver_node_type, core_count AS driver_vcpus, {_rd('gb', 1)} AS driver_memory_gb,
                        sizing_status, worker_node_type, worker_count, dbr_version, cluster_source, {_MONEY}
                 FROM sized WHERE oversized""",
         ),
-        "driver_sizing_summary": _query(
+        "driver_sizing_summary": query(
             "sized",
             f"""SELECT driver_node_type, core_count AS driver_vcpus, {_rd('gb', 1)} AS driver_memory_gb,
                        COUNT(DISTINCT cluster_id) AS cluster_count, {_SUMS}, {_SHARE} AS pct_of_total_cost,
                        recommendation
                 FROM sized WHERE oversized GROUP BY driver_node_type, core_count, gb, recommendation""",
         ),
-        "high_cpu_clusters": _query(
+        "high_cpu_clusters": query(
             "loaded",
             f"""SELECT {_WHO}, dbr_version, {_RUNTIME_TYPE} AS runtime_type, {_rd('cpu')} AS avg_cpu_percent,
                        max_cpu AS max_cpu_percent, days_active, {_MONEY},
                        IF(dbr_version ILIKE '%ml%', '{L.CPU_HIGH_ML}', '{L.CPU_HIGH}') AS recommendation
                 FROM loaded WHERE {_rd('cpu')} >= 70""",
         ),
-        "high_io_wait_clusters": _query(
+        "high_io_wait_clusters": query(
             "loaded",
             f"""SELECT {_WHO}, dbr_version, {_rd('io_wait')} AS avg_io_wait_percent,
                        max_io_wait AS max_io_wait_percent, {_rd('cpu')} AS avg_cpu_percent, driver_node_type,
@@ -416,7 +423,7 @@ def all_queries() -> dict[str, str]:
                        IF({_rd('io_wait')} >= 20, '{L.IO_VERY_HIGH}', '{L.IO_HIGH}') AS recommendation
                 FROM loaded WHERE io_wait >= 10""",
         ),
-        "high_memory_clusters": _query(
+        "high_memory_clusters": query(
             "loaded",
             f"""SELECT {_WHO}, dbr_version, {_rd('memory')} AS avg_memory_percent, max_memory AS max_memory_percent,
                        {_rd('swap')} AS avg_swap_percent, max_swap AS max_swap_percent, driver_node_type,
@@ -424,7 +431,7 @@ def all_queries() -> dict[str, str]:
                        IF({_rd('swap')} >= 1, '{L.MEMORY_SWAPPING}', '{L.MEMORY_HIGH}') AS recommendation
                 FROM loaded WHERE memory >= 80 OR swap >= 1""",
         ),
-        "bottleneck_summary": _query(
+        "bottleneck_summary": query(
             "loaded",
             f"""SELECT bottleneck_type,
                        MAP {{'{L.CPU_BOUND}': '{L.FIX_CPU_BOUND}', '{L.IO_BOUND}': '{L.FIX_IO_BOUND}',
@@ -435,9 +442,9 @@ def all_queries() -> dict[str, str]:
         ),
     }
     for name, (_, source, _) in _FINDINGS.items():
-        queries[name] = _query(source, _finding(name))
+        queries[name] = query(source, _finding(name))
     findings = " UNION ALL ".join(f"({_finding(name)})" for name in _FINDINGS)
-    queries["executive_summary"] = _query(
+    queries["executive_summary"] = query(
         "supported aged sized",
         f"""SELECT issue_category AS "Issue Category", cluster_count AS "Affected Clusters",
                    total_dbus AS "Total DBUs", total_cost_usd AS "Total Cost (USD)", recommendation AS "Recommendation"
