@@ -9,6 +9,9 @@ from types import MappingProxyType
 
 ALL_WORKSPACES = "ALL"
 
+# Accepted with the other parameters, but without effect on any report.
+_INERT = frozenset({"latest_lts_version"})
+
 # The default minimum generation of each VM series, by first letter.
 DEFAULT_VM_THRESHOLDS = MappingProxyType({"D": 5, "E": 5, "F": 2, "L": 3, "M": 2, "N": 1})
 
@@ -61,6 +64,8 @@ class AnalysisConfig:
         values: dict = {}
         thresholds = dict(DEFAULT_VM_THRESHOLDS)
         for name, value in params.items():
+            if name in _INERT:
+                continue
             letter = name.removeprefix("vm_threshold_")
             if name not in types and letter in thresholds and letter != name:
                 thresholds[letter] = int(value)

@@ -26,13 +26,13 @@ def active_prices(list_prices: DataFrame, cfg: AnalysisConfig) -> DataFrame:
 
 
 def _window_day(instant: Column, cfg: AnalysisConfig) -> Column:
-    """Day of the lookback window, with one day before and one after standing for all earlier and later ones."""
+    """Day of the lookback window; its first day stands for all earlier ones too, and the day after it for later ones."""
     day = F.date_diff(F.to_date(instant), F.lit(cfg.window_start))
-    return F.least(F.greatest(day, F.lit(-1)), F.lit(cfg.lookback_days + 1))
+    return F.least(F.greatest(day, F.lit(0)), F.lit(cfg.lookback_days + 1))
 
 
 def _by_day(prices: DataFrame, cfg: AnalysisConfig) -> DataFrame:
-    """One row per price and day of the window it covers, at most ``lookback_days + 3`` of them."""
+    """One row per price and day of the window it covers, at most ``lookback_days + 2`` of them."""
     start, end = F.col("price_start_time"), F.col("price_end_time")
     last_day = F.when(end.isNull(), F.lit(cfg.lookback_days + 1)).otherwise(_window_day(end, cfg))
     return prices.where(start.isNotNull() & (end.isNull() | (start < end))).withColumn(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, fields
 from datetime import date
 from types import MappingProxyType
@@ -41,10 +41,10 @@ BROADCAST_MAX_ROWS_PER_KEY = 1_000
 _DIMENSION_KEYS = {"node_types": "node_type", "list_prices": "sku_name"}
 
 
-def lts_support(spark: SparkSession) -> DataFrame:
+def lts_support(spark: SparkSession, schedule: Iterable[tuple[str, date, date, str]] = LTS_SCHEDULE) -> DataFrame:
     """The support schedule as a local relation, whose exact size the optimizer knows."""
     names = schemas.LTS_SUPPORT.fieldNames()
-    rows = [dict(zip(names, row, strict=True)) for row in LTS_SCHEDULE]
+    rows = [dict(zip(names, row, strict=True)) for row in schedule]
     return spark.createDataFrame(pa.Table.from_pylist(rows), schemas.LTS_SUPPORT)
 
 

@@ -14,7 +14,7 @@ def test_defaults():
 
 def test_text_parameters():
     cfg = AnalysisConfig.from_params(
-        {"as_of": "2026-12-01", "lookback_days": "7", "vm_threshold_D": "3", "vm_threshold_default": "4", "cpu_threshold": "50"}
+        {"as_of": "2026-12-01", "lookback_days": "7", "vm_threshold_D": "3", "vm_threshold_default": "4", "cpu_threshold": "50", "latest_lts_version": "17.3"}
     )
     assert (cfg.as_of, cfg.lookback_days, cfg.cpu_threshold) == (date(2026, 12, 1), 7, 50)
     assert (cfg.vm_thresholds["D"], cfg.vm_thresholds["E"], cfg.vm_threshold_default) == (3, 5, 4)
