@@ -59,7 +59,8 @@ def _runtime_family(t: InputTables, cfg: AnalysisConfig) -> DataFrame:
 
 
 def _runtime_type(t: InputTables, cfg: AnalysisConfig) -> DataFrame:
-    return t.clusters.select("cluster_id", "dbr_version", runtime.runtime_type(F.col("dbr_version")).alias("runtime_type"))
+    kind = runtime.runtime_type(F.col("dbr_version")).alias("runtime_type")
+    return t.clusters.select("cluster_id", "dbr_version", kind)
 
 
 def _with_support(t: InputTables, cfg: AnalysisConfig) -> DataFrame:
@@ -80,7 +81,8 @@ def _support_status(t: InputTables, cfg: AnalysisConfig) -> DataFrame:
 
 
 def _vm_series(t: InputTables, cfg: AnalysisConfig) -> DataFrame:
-    return t.clusters.select("cluster_id", "worker_node_type", vm.vm_series(F.col("worker_node_type")).alias("vm_series"))
+    series = vm.vm_series(F.col("worker_node_type")).alias("vm_series")
+    return t.clusters.select("cluster_id", "worker_node_type", series)
 
 
 def _vm_generation(t: InputTables, cfg: AnalysisConfig) -> DataFrame:
@@ -176,12 +178,12 @@ REPORTS: dict[str, Report] = {
 
 
 def _comparable(df: DataFrame) -> DataFrame:
-    """Decimals and nullable integers as doubles, dates as text and timestamps without a zone: types of both engines."""
+    """Decimals and nullable integers as doubles, dates and timestamps as text: the same values in both engines."""
     casts = {
         T.DecimalType: "double",
         T.IntegerType: "double",
         T.DateType: "string",
-        T.TimestampType: "timestamp_ntz",
+        T.TimestampType: "string",
     }
     columns = []
     for field in df.schema:

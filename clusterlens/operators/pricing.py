@@ -26,7 +26,7 @@ def active_prices(list_prices: DataFrame, cfg: AnalysisConfig) -> DataFrame:
 
 
 def _window_day(instant: Column, cfg: AnalysisConfig) -> Column:
-    """Day of the lookback window; its first day stands for all earlier ones too, and the day after it for later ones."""
+    """Day of the lookback window; its first day stands for earlier ones too, and the day after it for later ones."""
     day = F.date_diff(F.to_date(instant), F.lit(cfg.window_start))
     return F.least(F.greatest(day, F.lit(0)), F.lit(cfg.lookback_days + 1))
 

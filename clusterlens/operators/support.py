@@ -13,7 +13,8 @@ def with_support(clusters: DataFrame, lts: DataFrame, cfg: AnalysisConfig) -> Da
 
     The schedule is a local relation of a few rows, which the optimizer broadcasts by its exact size.
     """
-    schedule = lts.select("lts_version", "end_of_support", days_until(F.col("end_of_support"), cfg).alias("days_until_eos"))
+    days = days_until(F.col("end_of_support"), cfg).alias("days_until_eos")
+    schedule = lts.select("lts_version", "end_of_support", days)
     with_family = clusters.withColumn("runtime_family", runtime_family(F.col("dbr_version")))
     return with_family.join(schedule, with_family.runtime_family == schedule.lts_version, "left")
 

@@ -125,8 +125,8 @@ def bottleneck_summary(
     """Live records with telemetry and their cost per bottleneck; counts records, not distinct clusters."""
     costs = cluster_costs(t, cfg) if costs is None else costs
     stats = worker_utilization(t.node_timeline, cfg) if stats is None else stats
-    live = live_clusters(t.clusters, cfg, latest_only=latest_only)
-    per_cluster = live.where(F.col("cluster_id").isNotNull()).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("records"))
+    live = live_clusters(t.clusters, cfg, latest_only=latest_only).where(F.col("cluster_id").isNotNull())
+    per_cluster = live.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("records"))
     bottleneck = bottleneck_type(
         F.col("avg_cpu_percent"),
         F.col("avg_io_wait_percent"),

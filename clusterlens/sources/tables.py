@@ -52,7 +52,8 @@ def fits_broadcast(dimension: DataFrame, key: str) -> bool:
     """Measure a dimension with one distributed aggregate over its key column."""
     per_key = dimension.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
     key_bytes = F.sum(F.coalesce(F.octet_length(key), F.lit(0)) * F.col("n_rows"))
-    size = per_key.agg(F.sum("n_rows").alias("n_rows"), F.max("n_rows").alias("peak"), key_bytes.alias("n_bytes")).first()
+    n_rows, peak = F.sum("n_rows").alias("n_rows"), F.max("n_rows").alias("peak")
+    size = per_key.agg(n_rows, peak, key_bytes.alias("n_bytes")).first()
     return (
         (size.n_rows or 0) <= BROADCAST_MAX_ROWS
         and (size.peak or 0) <= BROADCAST_MAX_ROWS_PER_KEY

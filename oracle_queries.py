@@ -171,12 +171,17 @@ _step(
     FROM (SELECT *, regexp_extract(dbr_version, '([0-9]+[.][0-9]+)', 1) AS family FROM billed) AS billed
     LEFT JOIN lts ON version = family""",
 )
-_step("minimum", "", "SELECT unnest(map_entries(MAP {'D': 5, 'E': 5, 'F': 2, 'L': 3, 'M': 2, 'N': 1}), recursive := true)")
+_step(
+    "minimum",
+    "",
+    "SELECT * FROM (VALUES ('D', 5), ('E', 5), ('F', 2), ('L', 3), ('M', 2), ('N', 1)) AS minimum(letter, least_gen)",
+)
 _step(
     "vm_names",
     "clusters",
     """
-    SELECT name, regexp_extract(name, 'Standard_([A-Z]+)', 1) AS series, regexp_extract(name, '_v([0-9]+)', 1) AS gen_text,
+    SELECT name, regexp_extract(name, 'Standard_([A-Z]+)', 1) AS series,
+           regexp_extract(name, '_v([0-9]+)', 1) AS gen_text,
            TRY_CAST(regexp_extract(name, '_v([0-9]+)', 1) AS INTEGER) AS gen
     FROM (SELECT driver_node_type AS name FROM clusters UNION SELECT worker_node_type FROM clusters)
     WHERE name IS NOT NULL""",
@@ -185,9 +190,9 @@ _step(
     "vm",
     "vm_names minimum",
     """
-    SELECT vm_names.*, CAST(IFNULL(minimum.value, 5) AS INTEGER) AS threshold,
-           gen IS NOT NULL AND gen < IFNULL(minimum.value, 5) AS old
-    FROM vm_names LEFT JOIN minimum ON minimum.key = left(series, 1)""",
+    SELECT vm_names.*, CAST(IFNULL(least_gen, 5) AS INTEGER) AS threshold,
+           gen IS NOT NULL AND gen < IFNULL(least_gen, 5) AS old
+    FROM vm_names LEFT JOIN minimum ON letter = left(series, 1)""",
 )
 _step(
     "aged",
@@ -232,6 +237,7 @@ _step("loaded", "billed bottlenecks", "SELECT * FROM billed JOIN bottlenecks USI
 # ---- fragments --------------------------------------------------------------------------------------------------
 
 _WHO = "account_id, workspace_id, cluster_id, cluster_name, owned_by AS owner"
+_AS_TEXT = "REPLACE (CAST(change_time AS VARCHAR) AS change_time, CAST(delete_time AS VARCHAR) AS delete_time)"
 _MONEY = "total_dbus, total_cost_usd"
 _SUMS = f"{_r2('SUM(dbus)')} AS total_dbus, {_r2('SUM(usd)')} AS total_cost_usd"
 _SHARE = _dbl("ROUND(CAST(100 * SUM(usd) / NULLIF(SUM(SUM(usd)) OVER (), 0) AS DECIMAL(18,6)), 2)")
@@ -267,10 +273,10 @@ def all_queries(given: frozenset[str] = frozenset()) -> dict[str, str]:
     query = partial(_query, given=given)
     queries = {
         "workspace_ids": query("clusters", "SELECT DISTINCT workspace_id FROM clusters WHERE workspace_id IS NOT NULL ORDER BY 1"),
-        "live_clusters": query("live", "SELECT * FROM live"),
+        "live_clusters": query("live", f"SELECT * {_AS_TEXT} FROM live"),
         "live_clusters_latest": query(
             "clusters",
-            f"""SELECT * EXCLUDE (place)
+            f"""SELECT * EXCLUDE (place) {_AS_TEXT}
                 FROM (SELECT *, row_number() OVER (
                           PARTITION BY cluster_id
                           ORDER BY change_time DESC, dbr_version DESC, driver_node_type DESC, worker_node_type DESC
@@ -280,7 +286,7 @@ def all_queries(given: frozenset[str] = frozenset()) -> dict[str, str]:
         ),
         "priced_usage": query(
             "priced",
-            f"""SELECT cluster_id, sku AS sku_name, began AS usage_start_time, {_dbl('quantity')} AS usage_quantity,
+            f"""SELECT cluster_id, sku AS sku_name, CAST(began AS VARCHAR) AS usage_start_time, {_dbl('quantity')} AS usage_quantity,
                        {_dbl('unit_price')} AS unit_price, {_dbl('cost')} AS cost_usd
                 FROM priced""",
         ),
