@@ -28,6 +28,14 @@ from clusterlens.plans import vm as vm_reports  # noqa: E402
 from clusterlens.sources import testdata  # noqa: E402
 from clusterlens.sources.tables import InputTables  # noqa: E402
 
+try:  # the operators for training text are optional; only their absence is passed over
+    import corpus_pipeline
+    from clusterlens.llm import queries as llm_queries
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "clusterlens.llm", "clusterlens.llm.queries"):
+        raise
+    llm_queries = corpus_pipeline = None
+
 CONFIG = AnalysisConfig(as_of=testdata.AS_OF)
 
 Report = Callable[[InputTables, AnalysisConfig], DataFrame]
@@ -201,8 +209,13 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(report) for name, report in REPORTS.items()}
+    own = {name: _query(report) for name, report in REPORTS.items()}
+    return own if llm_queries is None else own | llm_queries.QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.all_queries()
+    own = oracle_queries.all_queries()
+    if llm_queries is None:
+        return own
+    pipeline = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return own | llm_queries.ORACLE_SQL | pipeline
