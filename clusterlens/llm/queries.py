@@ -4,20 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterlens.llm import exact_dedup, packing, simhash
+from clusterlens.llm import common, exact_dedup, language, packing, quality, simhash, toxicity
 from clusterlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _held_out(folds: int, fold: int = 0) -> Column:
+    return F.coalesce(common.fold(F.col("doc_id"), folds) == fold, F.lit(False)).alias("held_out")
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = common.settle(quality.measured(table(spark, sf_dir, "documents")))
+    scored = quality.score(stats, quality.fit(stats, table(spark, sf_dir, "labels")))
+    predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
+    return scored.select("doc_id", _held_out(quality.FOLDS), "score", predicted)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.sha2(exact_dedup.normalised(F.col("text")).cast("binary"), 256)
     return exact_dedup.copies(table(spark, sf_dir, "documents"), carry={"text_sha256": digest})
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.fit(docs))
+    return found.select("doc_id", _held_out(language.FOLDS, language.HELD_OUT), "lang_pred", "score")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -28,10 +45,20 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc_id", _held_out(toxicity.FOLDS), "score", predicted)
+
+
 QUERIES: dict[str, Query] = {
+    "op1_quality": op1_quality,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_language": op3_language,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
+    "op6_toxicity": op6_toxicity,
 }
 
 _A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
