@@ -5,7 +5,9 @@ by the geometric mean of the numbers that each contains. Nyström landmarks, a f
 into its kernels with them; one-versus-rest kernel ridge regression on these gives a margin per language. Texts are
 scored in batches by two matrix products.
 
-Runs of anything but letters count as one separator, so word beginnings and ends are n-grams too.
+Runs of anything but letters count as one separator, so word beginnings and ends are n-grams too. Presence saturates in
+long texts, where a short quotation in another language would weigh as much as the rest; so a text is cut into windows,
+every one of them is scored, and their margins are averaged by length.
 """
 
 from __future__ import annotations
@@ -23,13 +25,15 @@ from clusterlens.llm import common
 from clusterlens.llm.sampling import draw
 
 # Bounds of the sample of labelled rows: texts to fit on, and landmarks among them (both in all, shared by languages).
-EXAMPLES, LANDMARKS = 4_000, 160
+# A landmark is the first window of its text; all windows of the examples are fitted.
+EXAMPLES, LANDMARKS = 3_000, 160
 # Letters told apart; rarer ones share a symbol.
 ALPHABET = 94
 FOLDS, HELD_OUT = 4, 2
 RIDGE = 1e-3
 UNDETERMINED = "und"
-_BATCH = 256
+# Characters in a window, and windows multiplied at once.
+WINDOW, _BATCH = 4_000, 256
 
 _is_letter: list[np.ndarray] = []
 
@@ -124,15 +128,30 @@ class Model:
     weights: np.ndarray  # landmarks by languages
 
     def predict(self, texts: list[str], symbols: np.ndarray) -> tuple[list[str], np.ndarray]:
-        rows, lettered = self.kernel.rows(texts, symbols)
         if not self.languages:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        margins = rows @ self.weights
+        owners, pieces = windows(texts)
+        sums, weights = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        for at in range(0, len(pieces), _BATCH):
+            part = pieces[at : at + _BATCH]
+            rows, lettered = self.kernel.rows(part, symbols)
+            share = np.fromiter(map(len, part), np.float64, len(part)) * lettered
+            np.add.at(sums, owners[at : at + _BATCH], rows @ self.weights * share[:, None])
+            np.add.at(weights, owners[at : at + _BATCH], share)
+        margins = sums / np.maximum(weights, 1)[:, None]
         best = margins.argmax(axis=1)
         # targets are -1 and 1, so the middle of a margin's range is 0
         scores = np.clip((margins[np.arange(len(texts)), best] + 1) / 2, 0, 1)
-        names = [self.languages[b] if known else UNDETERMINED for b, known in zip(best.tolist(), lettered, strict=True)]
-        return names, np.where(lettered, scores, 0.0)
+        known = weights > 0
+        names = [self.languages[b] if k else UNDETERMINED for b, k in zip(best.tolist(), known.tolist(), strict=True)]
+        return names, np.where(known, scores, 0.0)
+
+
+def windows(texts: list[str]) -> tuple[np.ndarray, list[str]]:
+    """All windows of the texts, and the position of the text that each is from."""
+    counts = [max(1, -(-len(text) // WINDOW)) for text in texts]
+    pieces = [text[at : at + WINDOW] for text in texts for at in range(0, max(1, len(text)), WINDOW)]
+    return np.repeat(np.arange(len(texts)), counts), pieces
 
 
 def fit(docs: DataFrame) -> Model:
@@ -147,16 +166,18 @@ def fit(docs: DataFrame) -> Model:
     lands = sorted(draw(drawn, LANDMARKS, by=F.col("lang")).collect(), key=lambda r: (r.lang, r.doc_id, r.text))
     if not lands:
         return Model((), kernel_of([]), np.zeros((0, 0)))
-    kernel = kernel_of([r.text for r in lands])
+    kernel = kernel_of([windows([r.text])[1][0] for r in lands])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols = kernel.symbols()
         for batch in batches:
             for at in range(0, batch.num_rows, _BATCH):
                 part = batch.slice(at, _BATCH)
-                values, lettered = kernel.rows(part.column(1).to_pylist(), symbols)
+                owners, pieces = windows(part.column(1).to_pylist())
+                values, lettered = kernel.rows(pieces, symbols)
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), values.shape[1]).cast(pa.list_(pa.float64()))
-                found = pa.RecordBatch.from_arrays([part.column(0), part.column(2), lists], names=["id", "lang", "row"])
+                columns = [part.column(0).take(pa.array(owners)), part.column(2).take(pa.array(owners)), lists]
+                found = pa.RecordBatch.from_arrays(columns, names=["id", "lang", "row"])
                 yield found.filter(pa.array(lettered))
 
     found = drawn.select("doc_id", "text", "lang").mapInArrow(run, "id bigint, lang string, row array<double>").collect()

@@ -25,9 +25,11 @@ from clusterlens.llm.sampling import draw
 
 # Bounds of the sample: confirmed toxic rows, and rows of unlabelled text.
 POSITIVES, UNLABELLED = 3_000, 9_000
-# At most so many terms, each in so many confirmed documents, with at least this log-likelihood ratio against its rate in
+# At most so many candidate terms, each in so many confirmed documents, with at least this log-likelihood ratio against its rate in
 # unlabelled text, and so many times as frequent as in text that is harmless.
-TERMS, SUPPORT, EVIDENCE, LIFT = 1_000, 3, 8.0, 3.0
+TERMS, SUPPORT, EVIDENCE, LIFT = 2_000, 3, 8.0, 10.0
+# A confirmed document is explained once it has so many of the model's terms.
+DEPTH = 4
 PREFIXES = (4, 5)
 FOLDS = 5
 
@@ -43,6 +45,27 @@ def terms(text: str) -> set[str]:
     return words.union(*starts)
 
 
+def covering_terms(presence: np.ndarray, rate: np.ndarray) -> list[int]:
+    """Columns of ``presence`` (confirmed documents by candidate terms) worth keeping, strongest first.
+
+    A term is judged on the documents that fewer than ``DEPTH`` chosen terms explain. The many words that near copies of
+    one toxic document share are thus passed over once its toxic words are in. ``rate``: shares in unlabelled text.
+    """
+    covered = np.zeros(len(presence), dtype=int)
+    chosen: list[int] = []
+    while True:
+        open_rows = covered < DEPTH
+        support = presence[open_rows].sum(axis=0).astype(float)
+        chance = np.maximum(rate * open_rows.sum(), 0.5)
+        evidence = support * np.log(np.maximum(support, 1) / chance) - support + chance
+        evidence[(support < SUPPORT) | (support <= chance)] = 0
+        evidence[chosen] = 0
+        if not len(evidence) or evidence.max() < EVIDENCE:
+            return chosen
+        chosen.append(int(evidence.argmax()))
+        covered += presence[:, chosen[-1]].astype(int)
+
+
 @dataclass(frozen=True)
 class Model:
     weights: dict[str, float]
@@ -149,8 +172,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     for i, row in enumerate(found):
         matrix[i, row.at] = 1
     is_positive = np.array([r.known for r in found])
-    weights, bias = fit_weights(matrix[is_positive], matrix[~is_positive], prior)
-    return Model(dict(zip(vocabulary, weights.tolist(), strict=True)), bias)
+    positive_rows, unlabelled_rows = matrix[is_positive], matrix[~is_positive]
+    kept = covering_terms(positive_rows, unlabelled_rows.mean(axis=0))
+    weights, bias = fit_weights(positive_rows[:, kept], unlabelled_rows[:, kept], prior)
+    return Model({vocabulary[i]: w for i, w in zip(kept, weights.tolist(), strict=True)}, bias)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
