@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterlens.llm import common, exact_dedup, language, packing, quality, simhash, toxicity
+from clusterlens.llm import common, exact_dedup, language, packing, quality, simhash, topk, toxicity
 from clusterlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(toxicity.FOLDS), "score", predicted)
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    vectors = rows.select(F.col("vec_id").alias("id"), topk.scaled(F.col("embedding"), 64.0).alias("vector"))
+    return topk.top_k(vectors, F.col("id") % 20 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_exact_dedup": op2_exact_dedup,
@@ -59,6 +65,7 @@ QUERIES: dict[str, Query] = {
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
+    "op9_topk": op9_topk,
 }
 
 _A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -75,4 +82,20 @@ ORACLE_SQL: dict[str, str] = {
                text_sha256
         FROM hashed
     """,
+    "op9_topk": """
+        WITH usable AS (
+            SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+            FROM usable q JOIN usable c ON q.vec_id <> c.vec_id
+            WHERE q.vec_id % 20 = 0
+        )
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+        FROM scored
+        QUALIFY rank <= 20
+    """,
 }
