@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterlens.llm import common, exact_dedup, language, packing, quality, simhash, topk, toxicity
+from clusterlens.llm import common, exact_dedup, language, packing, quality, simhash, topk, toxicity, warc
 from clusterlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +59,14 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("id") % 20 == 0)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{common.shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    written = warc.write(table(spark, sf_dir, "pages"), folder)
+    if not written.agg(F.sum("n_records")).first()[0]:
+        return spark.createDataFrame([], warc.READ_SCHEMA).drop("url", "payload")
+    return warc.read(spark, folder).drop("url", "payload")
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_exact_dedup": op2_exact_dedup,
@@ -66,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
     "op9_topk": op9_topk,
+    "op10_warc": op10_warc,
 }
 
 _A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
