@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from clusterlens.llm import common
 
-FEATURES, WIDTH, RIDGE = 384, 4.0, 1.0
+FEATURES, WIDTH, RIDGE = 256, 4.0, 1.0
 FOLDS, CALIBRATION_FOLDS = 5, 4
 # Tasks that sum the normal equations, and bins of the ridge score that calibration sees: both fix what reaches the driver.
-SUMMING_TASKS, BINS = 32, 2_000
+SUMMING_TASKS, BINS = 16, 2_000
 SEED = 7
 
 _SYMBOL_RUN = re.compile(r"[^\w\s]{2,}")
@@ -168,7 +168,8 @@ def _normal_equations(rows: DataFrame, features: FourierMap) -> dict[int, np.nda
         )
 
     schema = "fold int, at int, sums array<double>"
-    summed = rows.select("fold", "label", "stats").mapInArrow(partial, schema).groupBy("fold", "at").applyInArrow(add, schema)
+    parts = rows.select("fold", "label", "stats").coalesce(SUMMING_TASKS).mapInArrow(partial, schema)
+    summed = parts.groupBy("fold", "at").applyInArrow(add, schema)
     result: dict[int, np.ndarray] = {}
     for row in summed.collect():
         result.setdefault(row["fold"], np.zeros((size, size)))[row["at"]] = row["sums"]
@@ -210,8 +211,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
     fourier = FourierMap.draw(mean, np.where(spread > 1e-9, spread, 1.0))
 
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION_FOLDS)).cast("int").alias("fold")
-    rows = stats.join(known, "doc_id").select("doc_id", fold, "label", "stats").repartition(SUMMING_TASKS, "doc_id")
-    rows = common.settle(rows)
+    rows = common.settle(stats.join(known, "doc_id").select("doc_id", fold, "label", "stats"))
     classes = rows.agg(F.min("label"), F.max("label")).first()
     if classes[0] is None or classes[0] == classes[1]:
         level = 0.5 if classes[0] is None else classes[0]
