@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterlens.llm import common, exact_dedup, language, packing, quality, simhash, topk, toxicity, warc
+from clusterlens.llm import common, exact_dedup, language, packing, pieces, quality, simhash, topk, toxicity, warc
 from clusterlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,18 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(toxicity.FOLDS), "score", predicted)
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents")))
+    return encoded.select(
+        "doc_id",
+        "rank",
+        "score",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_pieces"),
+        F.crc32("ids").alias("ids_crc32"),
+        (F.xxhash64("text") == F.col("text_hash")).alias("round_trip"),
+    )
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     vectors = rows.select(F.col("vec_id").alias("id"), topk.scaled(F.col("embedding"), 64.0).alias("vector"))
@@ -74,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
+    "op7_sentencepiece": op7_sentencepiece,
     "op9_topk": op9_topk,
     "op10_warc": op10_warc,
 }
