@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterlens.llm import common, exact_dedup, language, packing, pieces, quality, simhash, topk, toxicity, warc
+from clusterlens.llm import common, exact_dedup, language, packing, pieces, quality, simhash, substring_dedup, topk, toxicity, warc
 from clusterlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,11 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.drop_repeats(table(spark, sf_dir, "documents"), removed="n_removed")
+    return cut.select("doc_id", "n_removed", F.char_length("text").alias("n_chars_left"), "text")
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     vectors = rows.select(F.col("vec_id").alias("id"), topk.scaled(F.col("embedding"), 64.0).alias("vector"))
@@ -87,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_topk": op9_topk,
     "op10_warc": op10_warc,
 }

@@ -1,34 +1,63 @@
-"""The training-data pipeline: five stages from documents to packed sequences."""
+"""The training-data pipeline: five stages from documents to packed sequences.
+
+1. ``toxicity``: documents that the positive-unlabelled classifier rejects go.
+2. ``exact_dedup``: of equal texts the document with the largest id stays.
+3. ``simhash_near_dedup``: of near copies (five-word shingles, similarity 0.8) the document with the smallest id stays.
+4. ``substring_dedup``: sentences under repeated spans leave the texts, all but the first occurrence; no document goes.
+5. ``packing``: tokens in pieces of power-of-two length.
+
+Each stage sees the whole result of the one before. All but the last return the columns of the documents they were
+given, in the same order; empty and NULL texts pass through every stage, and an empty table stays empty.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clusterlens.llm import exact_dedup, packing
+from clusterlens.llm import exact_dedup, packing, simhash, substring_dedup, toxicity
 from clusterlens.llm.common import shared_folder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.drop_near_copies(docs)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substring_dedup.drop_repeats(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids"))
 
 
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", exact), ("packing", pack)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("simhash_near_dedup", drop_near_copies),
+    ("substring_dedup", drop_repeats),
+    ("packing", pack),
+]
 
+# The classifier, the fingerprints and the tokenizer are beyond SQL; tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``, each written as Parquet to the shared folder and read again by the next."""
-    import uuid
-
     folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
