@@ -163,7 +163,7 @@ def fit(docs: DataFrame) -> Model:
     rows = docs.where((common.fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull())
     rows = rows.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang")
     drawn = common.settle(draw(rows, EXAMPLES, by=F.col("lang")))
-    lands = sorted(draw(drawn, LANDMARKS, by=F.col("lang")).collect(), key=lambda r: (r.lang, r.doc_id, r.text))
+    lands = sorted(draw(drawn, LANDMARKS, by=F.col("lang"), salt=1).collect(), key=lambda r: (r.lang, r.doc_id, r.text))
     if not lands:
         return Model((), kernel_of([]), np.zeros((0, 0)))
     kernel = kernel_of([windows([r.text])[1][0] for r in lands])

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 _BUCKETS = 1 << 20
 
 
-def draw(rows: DataFrame, most: int, *, doc_id: str = "doc_id", by: Column | None = None) -> DataFrame:
+def draw(
+    rows: DataFrame, most: int, *, doc_id: str = "doc_id", by: Column | None = None, salt: int = 0
+) -> DataFrame:
     """About ``most`` rows (per value of ``by``: an equal part of it), chosen by a hash of the id; all, if there are no
-    more. The same rows are chosen every time. One count decides the share; the draw itself moves nothing.
+    more. The same rows are chosen every time. One count decides the share; the draw itself moves nothing. A draw from
+    rows that were drawn before needs another ``salt``.
     """
     group = F.lit(0) if by is None else by
     sizes = {r[0]: r[1] for r in rows.groupBy(group.alias("g")).agg(F.count(F.lit(1))).collect()}
@@ -18,4 +21,4 @@ def draw(rows: DataFrame, most: int, *, doc_id: str = "doc_id", by: Column | Non
         return rows.limit(0)
     each = most / len(sizes)
     limits = [F.when(group.eqNullSafe(F.lit(g)), F.lit(int(_BUCKETS * min(1.0, each / n)))) for g, n in sizes.items()]
-    return rows.where(F.pmod(F.xxhash64(doc_id), F.lit(_BUCKETS)) < F.coalesce(*limits))
+    return rows.where(F.pmod(F.xxhash64(doc_id, F.lit(salt)), F.lit(_BUCKETS)) < F.coalesce(*limits))
