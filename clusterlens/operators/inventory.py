@@ -18,19 +18,26 @@ def workspace_ids(clusters: DataFrame) -> DataFrame:
 def live_clusters(clusters: DataFrame, cfg: AnalysisConfig, *, latest_only: bool = False) -> DataFrame:
     """Change records within the lookback window of clusters that are not deleted.
 
-    A cluster that changed several times has as many rows. With ``latest_only`` it has at most one: the latest record
-    is found by aggregation, so that a cluster with very many records is reduced before the shuffle, and before the
-    deletion filter, so that an older record of a deleted cluster does not come back.
+    A cluster that changed several times has as many rows. With ``latest_only`` it has at most one: the latest record,
+    before the deletion filter, so that an older record of a deleted cluster does not come back. Of records with the same
+    instant a deletion is the latest, then the largest in the order of the remaining columns, NULLs being smallest.
+    Records without a cluster id are no cluster's history and all stay.
+
+    The maximum is over a struct with texts, so Spark sorts the records of each task by cluster, but it reduces a
+    cluster with very many records before the shuffle.
     """
     records = clusters.select(schemas.CLUSTERS.fieldNames()).where(F.col("change_time") >= F.lit(cfg.window_start))
     if latest_only:
-        rest = [c for c in records.columns if c not in ("cluster_id", "change_time")]
-        records = (
-            records.groupBy("cluster_id")
-            .agg(F.max(F.struct("change_time", *rest)).alias("latest"))
+        names = records.columns
+        rest = [c for c in names if c not in ("cluster_id", "change_time")]
+        deleted = F.col("delete_time").isNotNull().alias("_deleted")
+        latest = (
+            records.where(F.col("cluster_id").isNotNull())
+            .groupBy("cluster_id")
+            .agg(F.max(F.struct("change_time", deleted, *rest)).alias("latest"))
             .select("cluster_id", "latest.*")
-            .select(records.columns)
         )
+        records = latest.select(names).unionByName(records.where(F.col("cluster_id").isNull()))
     live = records.where(F.col("delete_time").isNull())
     if cfg.workspace_filter != ALL_WORKSPACES:
         live = live.where(F.col("workspace_id") == F.lit(cfg.workspace_filter))

@@ -6,25 +6,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clusterlens.operators.joins import splittable_join
+
 AMOUNTS = ("total_dbus", "total_cost_usd")
 
+# Up to this scale the count of records, any BIGINT, and the fraction of an amount fit one decimal product.
+MAX_FACTORED_SCALE = 18
+
 
 def amounts() -> list[Column]:
     """Output columns for clusters that may have no usage."""
     return [F.coalesce(F.col(name), F.lit(0)).alias(name) for name in AMOUNTS]
 
 
-def times(records: Column, amount: Column, kind: T.DataType) -> Column:
-    """``records * amount`` without loss of scale, which plain decimal multiplication would cut to fit 38 digits.
+def factored(kind: T.DataType) -> bool:
+    """Whether equal records may be counted first and multiplied by their amount: not if the scale is too long."""
+    return not isinstance(kind, T.DecimalType) or kind.scale <= MAX_FACTORED_SCALE
+
 
-    The digits left by the scale are shared out between the two: up to 12 for the count, and at least 12 before the
-    point for amounts of up to 24 decimals. Should a value need more, Spark reports the overflow
-    (in ANSI mode, its default).
+def weighted_sum(records: Column, amount: Column, kind: T.DataType) -> Column:
+    """Sum of ``records * amount`` without the loss of scale of a plain decimal product, for ``factored`` kinds.
+
+    Whole and fractional part are multiplied and summed apart, so there is no bound on the count; the total has the
+    scale of the amount and may have 37 digits.
     """
     if not isinstance(kind, T.DecimalType):
-        return records * amount
-    count_digits = max(1, min(12, 25 - kind.scale))
-    return records.cast(T.DecimalType(count_digits, 0)) * amount.cast(T.DecimalType(37 - count_digits, kind.scale))
+        return F.sum(records * amount)
+    exact = amount.cast(kind)
+    whole = F.when(exact < 0, F.ceil(exact)).otherwise(F.floor(exact)).cast(T.DecimalType(38, 0))
+    fraction = (exact % F.lit(1).cast(T.DecimalType(1, 0))).cast(T.DecimalType(max(1, kind.scale), kind.scale))
+    count, total = records.cast(T.DecimalType(19, 0)), T.DecimalType(37, kind.scale)
+    return F.sum(count * whole).cast(total) + F.sum(count * fraction).cast(total)
+
+
+def repeated(records: Column, amount: Column, kind: T.DecimalType) -> Column:
+    """``records * amount`` by addition, for small counts and kinds too long to multiply."""
+    total = T.DecimalType(37, kind.scale)
+    start, each = F.lit(0).cast(total), amount.cast(total)
+    added = F.aggregate(F.sequence(F.lit(1), records.cast("int")), start, lambda sum_, _: (sum_ + each).cast(total))
+    return F.when(records == 1, each).when(records < 1, start).otherwise(added)
 
 
 def spend_by_group(records: DataFrame, keys: list[str], costs: DataFrame) -> DataFrame:
@@ -32,14 +52,23 @@ def spend_by_group(records: DataFrame, keys: list[str], costs: DataFrame) -> Dat
 
     Records are first counted per cluster and group. That shrinks a cluster with very many records before it is
     shuffled, and leaves each cluster once per group, so that counting distinct clusters needs no distinct aggregation.
+    Amounts with more than ``MAX_FACTORED_SCALE`` decimals are added up record by record instead, in a join that can
+    split a hot cluster.
     """
-    per_cluster = records.groupBy("cluster_id", *keys).agg(F.count(F.lit(1)).alias("records"))
-    priced = per_cluster.join(costs, "cluster_id", "left")
-    totals = [
-        F.sum(times(F.col("records"), F.coalesce(F.col(name), F.lit(0)), costs.schema[name].dataType)).alias(name)
-        for name in AMOUNTS
-        if name in costs.columns
-    ]
+    present = [name for name in AMOUNTS if name in costs.columns]
+    kinds = {name: costs.schema[name].dataType for name in present}
+    if all(factored(kind) for kind in kinds.values()):
+        per_cluster = records.groupBy("cluster_id", *keys).agg(F.count(F.lit(1)).alias("records"))
+        priced = per_cluster.join(costs, "cluster_id", "left")
+        totals = [
+            weighted_sum(F.col("records"), F.coalesce(F.col(name), F.lit(0)), kind).alias(name)
+            for name, kind in kinds.items()
+        ]
+    else:
+        joined = splittable_join(records.select("cluster_id", *keys), costs.select("cluster_id", *present), "cluster_id", "left")
+        sums = [F.sum(F.coalesce(F.col(name), F.lit(0)).cast(kind)).alias(name) for name, kind in kinds.items()]
+        priced = joined.groupBy("cluster_id", *keys).agg(F.count(F.lit(1)).alias("records"), *sums)
+        totals = [F.sum(name).alias(name) for name in present]
     return priced.groupBy(*keys).agg(
         F.count("cluster_id").alias("cluster_count"), F.sum("records").alias("record_count"), *totals
     )

@@ -10,9 +10,9 @@ from clusterlens.config import AnalysisConfig
 from clusterlens.functions.drivers import oversized_driver
 from clusterlens.functions.runtime import days_until, runtime_family
 from clusterlens.operators.inventory import live_clusters
-from clusterlens.operators.joins import lookup_join
+from clusterlens.operators.joins import lookup_join, splittable_join
 from clusterlens.operators.pricing import cluster_costs
-from clusterlens.operators.spend import AMOUNTS, times
+from clusterlens.operators.spend import AMOUNTS, factored, repeated, weighted_sum
 from clusterlens.plans.vm import too_old, with_generations
 from clusterlens.sources.tables import InputTables
 
@@ -34,7 +34,8 @@ def _with_runtime_hits(records: DataFrame, t: InputTables, cfg: AnalysisConfig)
         F.count_if(days < labels.CRITICAL_DAYS).alias("critical_entries"),
         F.count_if(days.between(labels.CRITICAL_DAYS, labels.WARNING_DAYS)).alias("warning_entries"),
     )
-    joined = records.join(schedule, runtime_family(F.col("dbr_version")) == F.col("lts_version"), "left")
+    schedule = schedule.select(F.col("lts_version").alias("_family"), "lts_version", "critical_entries", "warning_entries")
+    joined = splittable_join(records.withColumn("_family", runtime_family(F.col("dbr_version"))), schedule, "_family", "left")
     non_lts = F.when(F.col("lts_version").isNull(), 1)
     return joined.withColumns(
         {
@@ -76,14 +77,26 @@ def _totals(
         records = _with_old_vm_hits(records, t, cfg)
     if "oversized_driver" in categories:
         records = _with_driver_hits(records, t, cfg)
-    hits = records.groupBy("cluster_id").agg(*(F.sum(c).alias(c) for c in categories))
-    hits = hits.where(F.greatest(*(F.col(c) for c in categories), F.lit(0)) > 0)
-    priced = hits.join(costs, "cluster_id", "left")
+    kinds = {name: costs.schema[name].dataType for name in AMOUNTS}
+    counts = [F.sum(c).alias(c) for c in categories]
+    by_count = all(factored(kind) for kind in kinds.values())
+    if by_count:
+        priced = records.groupBy("cluster_id").agg(*counts).join(costs, "cluster_id", "left")
+    else:  # too many decimals to multiply by counts: add up record by record
+        joined = splittable_join(records.select("cluster_id", *categories), costs, "cluster_id", "left")
+        sums = [
+            F.sum(repeated(F.col(c), F.coalesce(F.col(name), F.lit(0)), kind)).alias(f"{c}_{name}")
+            for c in categories
+            for name, kind in kinds.items()
+        ]
+        priced = joined.groupBy("cluster_id").agg(*counts, *sums)
+    priced = priced.where(F.greatest(*(F.col(c) for c in categories), F.lit(0)) > 0)
 
     def spend(category: str, name: str) -> Column:
         n = F.col(category)
-        amount = times(n, F.coalesce(F.col(name), F.lit(0)), costs.schema[name].dataType)
-        return F.round(F.sum(F.when(n > 0, amount)), 2)
+        if not by_count:
+            return F.round(F.sum(F.when(n > 0, F.col(f"{category}_{name}"))), 2)
+        return F.round(weighted_sum(F.when(n > 0, n), F.coalesce(F.col(name), F.lit(0)), kinds[name]), 2)
 
     def totals(category: str) -> Column:
         title, action = CATEGORIES[category]

@@ -22,7 +22,7 @@ from clusterlens.functions.utilization import (
 from clusterlens.operators.inventory import RECORD_ORDER, live_clusters
 from clusterlens.operators.joins import splittable_join
 from clusterlens.operators.pricing import cluster_costs, round_costs
-from clusterlens.operators.spend import amounts, share_of_total, times
+from clusterlens.operators.spend import amounts, factored, share_of_total, weighted_sum
 from clusterlens.operators.telemetry import worker_utilization
 from clusterlens.sources.tables import InputTables
 
@@ -126,7 +126,6 @@ def bottleneck_summary(
     costs = cluster_costs(t, cfg) if costs is None else costs
     stats = worker_utilization(t.node_timeline, cfg) if stats is None else stats
     live = live_clusters(t.clusters, cfg, latest_only=latest_only).where(F.col("cluster_id").isNotNull())
-    per_cluster = live.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("records"))
     bottleneck = bottleneck_type(
         F.col("avg_cpu_percent"),
         F.col("avg_io_wait_percent"),
@@ -134,16 +133,18 @@ def bottleneck_summary(
         F.col("avg_swap_percent"),
         cfg,
     )
-    cost = F.coalesce(F.col("total_cost_usd"), F.lit(0))
-    groups = (
-        per_cluster.join(stats, "cluster_id", "inner")
-        .join(costs.select("cluster_id", "total_cost_usd"), "cluster_id", "left")
-        .withColumn("bottleneck_type", bottleneck)
-        .groupBy("bottleneck_type")
-        .agg(
-            F.sum("records").alias("cluster_count"),
-            F.sum(times(F.col("records"), cost, costs.schema["total_cost_usd"].dataType)).alias("total_cost_usd"),
-        )
+    spent = costs.select("cluster_id", "total_cost_usd")
+    kind, cost = costs.schema["total_cost_usd"].dataType, F.coalesce(F.col("total_cost_usd"), F.lit(0))
+    if factored(kind):
+        per_cluster = live.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("records"))
+        loaded = per_cluster.join(stats, "cluster_id", "inner").join(spent, "cluster_id", "left")
+        total = weighted_sum(F.col("records"), cost, kind)
+    else:
+        per_record = live.select("cluster_id", F.lit(1).alias("records"))
+        loaded = splittable_join(per_record, stats.join(spent, "cluster_id", "left"), "cluster_id", "inner")
+        total = F.sum(cost.cast(kind))
+    groups = loaded.withColumn("bottleneck_type", bottleneck).groupBy("bottleneck_type").agg(
+        F.sum("records").alias("cluster_count"), total.alias("total_cost_usd")
     )
     rows = groups.withColumn("pct_of_total_cost", share_of_total()).withColumn(
         "total_cost_usd", F.round("total_cost_usd", 2)

@@ -279,10 +279,14 @@ def all_queries(given: frozenset[str] = frozenset()) -> dict[str, str]:
             f"""SELECT * EXCLUDE (place) {_AS_TEXT}
                 FROM (SELECT *, row_number() OVER (
                           PARTITION BY cluster_id
-                          ORDER BY change_time DESC, dbr_version DESC, driver_node_type DESC, worker_node_type DESC
+                          ORDER BY change_time DESC, delete_time IS NOT NULL DESC, account_id DESC NULLS LAST,
+                                   workspace_id DESC NULLS LAST, cluster_name DESC NULLS LAST, owned_by DESC NULLS LAST,
+                                   dbr_version DESC NULLS LAST, driver_node_type DESC NULLS LAST,
+                                   worker_node_type DESC NULLS LAST, worker_count DESC NULLS LAST,
+                                   cluster_source DESC NULLS LAST, delete_time DESC NULLS LAST
                       ) AS place
                       FROM clusters)
-                WHERE place = 1 AND delete_time IS NULL AND change_time >= {_WINDOW}""",
+                WHERE (place = 1 OR cluster_id IS NULL) AND delete_time IS NULL AND change_time >= {_WINDOW}""",
         ),
         "priced_usage": query(
             "priced",

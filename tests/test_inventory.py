@@ -43,6 +43,21 @@ def test_change_records_are_kept_unless_only_the_latest_is_wanted(spark):
     assert live(spark, rows, latest_only=True) == [("tie", at("11-15")), ("twice", at("11-20"))]
 
 
+def test_a_deletion_wins_ties_and_missing_ids_are_kept_apart(spark):
+    rows = [
+        cluster("gone", change_time=at("11-20"), dbr_version="9.1.x", delete_time=at("11-20")),
+        cluster("gone", change_time=at("11-20"), dbr_version="9.9.x"),
+        cluster("back", change_time=at("11-20"), delete_time=at("11-20")),
+        cluster("back", change_time=at("11-21")),
+        cluster(None, change_time=at("11-10")),
+        cluster(None, change_time=at("11-11")),
+        cluster(None, change_time=at("11-12"), delete_time=at("11-12")),
+    ]
+    t = tables(spark, clusters=rows)
+    found = values(live_clusters(t.clusters, CFG, latest_only=True), "cluster_id", "change_time")
+    assert sorted(found, key=str) == sorted([("back", at("11-21")), (None, at("11-10")), (None, at("11-11"))], key=str)
+
+
 def test_workspace_ids(spark):
     rows = [cluster(workspace_id=w, delete_time=d) for w, d in [("b", None), ("a", at("01-01")), ("b", None), (None, None)]]
     assert values(workspace_ids(tables(spark, clusters=rows).clusters), "workspace_id") == [("a",), ("b",)]
