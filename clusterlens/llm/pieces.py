@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import heapq
 import struct
+from array import array
 from collections.abc import Iterator
+from functools import cache
+from operator import itemgetter
 
-import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -33,7 +35,7 @@ N_BEST = 2
 SPACE = "▁"
 UNKNOWN_PENALTY = 10
 # A generation of a worker's caches has at most so many words; results do not depend on it.
-MAX_CACHED_WORDS = 200_000
+MAX_CACHED_WORDS = 250_000
 
 # No piece has U+2581 after another character (`Vocabulary` checks that), so a text may be cut before every run of it.
 _WORD = regex.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -43,66 +45,103 @@ _PART = regex.compile(rf"{SPACE}*\p{{L}}+|{SPACE}*[^{SPACE}\p{{L}}]+|{SPACE}+")
 Segmentations = list[tuple[int, bytes]]
 # Best score, its ids, and by how much the second best score is lower.
 Best = tuple[int, bytes, int]
+Node = dict[str, tuple["Node", int | None, bytes]]
 _NEVER, _NONE = -(1 << 60), 1 << 50
+_SCORE, _IDS, _LOSS = itemgetter(0), itemgetter(1), itemgetter(2)
+
+
+class Surfaces:
+    """The bytes of every piece: all that decoding needs."""
+
+    def __init__(self, model: sentencepiece.SentencePieceProcessor) -> None:
+        self.bytes: list[bytes] = []
+        for i in range(model.get_piece_size()):
+            if model.is_byte(i):
+                self.bytes.append(bytes([int(model.id_to_piece(i)[3:5], 16)]))
+            elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
+                self.bytes.append(b"")
+            else:
+                self.bytes.append(model.id_to_piece(i).encode())
+
+    def decode(self, ids: bytes) -> str:
+        """The text of a segmentation. Bytes that are no UTF-8 become U+FFFD; control pieces are empty."""
+        parts = map(self.bytes.__getitem__, array("I", ids))
+        return b"".join(parts).decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
 
 
 class Vocabulary:
-    def __init__(self, path: str) -> None:
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        ids = range(model.get_piece_size())
-        self.surface: list[bytes] = [b""] * len(ids)
+    def __init__(self, model: sentencepiece.SentencePieceProcessor) -> None:
         self.byte_ids: dict[int, int] = {}
         self.pieces: dict[str, tuple[int, bytes]] = {}
-        for i in ids:
+        for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
-                value = int(piece[3:5], 16)
-                self.surface[i], self.byte_ids[value] = bytes([value]), i
+                self.byte_ids[int(piece[3:5], 16)] = i
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                self.surface[i] = piece.encode()
                 self.pieces[piece] = (int(model.get_score(i)), struct.pack("<I", i))
-        # every beginning of a piece, with the piece if it is one itself
-        self.starts: dict[str, tuple[int, bytes] | None] = {p[:n]: None for p in self.pieces for n in range(1, len(p))}
-        self.starts |= self.pieces
+        # a trie of tuples: what may follow, then score and ids of the piece that ends here, if one does
+        self.root: Node = {}
+        for piece in sorted(self.pieces):
+            here = self.root
+            for character in piece[:-1]:
+                here = here.setdefault(character, ({}, None, b""))[0]
+            followers = here[piece[-1]][0] if piece[-1] in here else {}
+            here[piece[-1]] = (followers, *self.pieces[piece])
         self.joined = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
         if any(pair[1] == SPACE != pair[0] for pair in self.joined):
             raise ValueError("a piece of this vocabulary spans words")
         spoken = [score for p, (score, _) in self.pieces.items() if p.strip(SPACE)]
         self.unknown = min(spoken, default=0) - UNKNOWN_PENALTY
-        self._parts, self._words = Cache(), Cache()
+        self._words = Cache()
 
     def spelled(self, character: str) -> bytes:
         return struct.pack(f"<{len(character.encode())}I", *[self.byte_ids[b] for b in character.encode()])
 
+    def edges(self, part: str, start: int) -> list[tuple[int, int, bytes]]:
+        """End, score and ids of every edge that starts here."""
+        found: list[tuple[int, int, bytes]] = []
+        if part[start] not in self.pieces:
+            found.append((start + 1, self.unknown, self.spelled(part[start])))
+        here = self.root
+        for end in range(start + 1, len(part) + 1):
+            step = here.get(part[end - 1])
+            if step is None:
+                break
+            here, gain, ids = step
+            if gain is not None:
+                found.append((end, gain, ids))
+        return found
+
     def forward(self, part: str) -> Best:
         """Viterbi with the best and the second best score of every place."""
-        size, starts = len(part), self.starts
+        size, root = len(part), self.root
         first, second = [0] + [_NEVER] * size, [_NEVER] * (size + 1)
         back: list[tuple[int, bytes]] = [(0, b"")] * (size + 1)
         for start in range(size):
             best, other = first[start], second[start]
-            text = part[start]
-            end = start + 1
-            if starts.get(text) is None:
-                total = best + self.unknown
+            if part[start] not in self.pieces:
+                total, end = best + self.unknown, start + 1
                 if total > first[end]:
-                    first[end], second[end] = total, max(first[end], other + self.unknown)
-                    back[end] = start, self.spelled(text)
+                    second[end] = max(first[end], other + self.unknown)
+                    first[end], back[end] = total, (start, self.spelled(part[start]))
                 elif total > second[end]:
                     second[end] = total
-            while text in starts:
-                piece = starts[text]
-                if piece is not None:
-                    total = best + piece[0]
+            here, end = root, start
+            for character in part[start:]:
+                step = here.get(character)
+                if step is None:
+                    break
+                here, gain, ids = step
+                end += 1
+                if gain is not None:
+                    total = best + gain
                     if total > first[end]:
-                        first[end], second[end] = total, max(first[end], other + piece[0])
-                        back[end] = start, piece[1]
+                        also = other + gain
+                        second[end] = also if also > first[end] else first[end]
+                        first[end] = total
+                        back[end] = start, ids
                     elif total > second[end]:
                         second[end] = total
-                end += 1
-                if end > size:
-                    break
-                text = part[start:end]
         ids, place = b"", size
         while place:
             place, piece_ids = back[place]
@@ -112,18 +151,11 @@ class Vocabulary:
 
     def segmentations(self, part: str, n: int) -> Segmentations:
         """The ``n`` best of a stretch of text, best first, or all if there are fewer."""
-        size, starts = len(part), self.starts
+        size = len(part)
         best = [0] + [_NEVER] * size
         ending: list[list[tuple[int, int, bytes]]] = [[] for _ in range(size + 1)]
         for start in range(size):
-            found_here = [(start + 1, self.unknown, self.spelled(part[start]))] if starts.get(part[start]) is None else []
-            end = start + 1
-            while end <= size and part[start:end] in starts:
-                piece = starts[part[start:end]]
-                if piece is not None:
-                    found_here.append((end, *piece))
-                end += 1
-            for end, gain, ids in found_here:
+            for end, gain, ids in self.edges(part, start):
                 ending[end].append((start, gain, ids))
                 best[end] = max(best[end], best[start] + gain)
         # backward: negated score of the best whole path through a suffix, tie-breaker, place, suffix score, suffix
@@ -157,15 +189,16 @@ class Vocabulary:
 
     def _best(self, word: str) -> Best:
         """Best score and ids of a word, and the loss of its second best segmentation."""
+        parts = self.parts(word)
+        if len(parts) == 1:
+            return self.forward(word)
         known = []
-        for part in self.parts(word):
-            best = self._parts.get(part)
+        for part in parts:  # words themselves, mostly, without the punctuation around them
+            best = self._words.get(part)
             if best is None:
                 best = self.forward(part)
-                self._parts.put(part, best)
+                self._words.put(part, best)
             known.append(best)
-        if len(known) == 1:
-            return known[0]
         return sum([b[0] for b in known]), b"".join([b[1] for b in known]), min([b[2] for b in known])
 
     def encode(self, text: str, n: int) -> Segmentations:
@@ -173,16 +206,18 @@ class Vocabulary:
         if not text:
             return [(0, b"")]
         words = _WORD.findall(SPACE + text.replace(" ", SPACE))
-        chosen = list(map(self._words.get, words))
+        chosen = list(map(self._words.young.get, words))
         if None in chosen:
             for at, known in enumerate(chosen):
                 if known is None:
                     chosen[at] = self._words.get(words[at]) or self._best(words[at])
                     self._words.put(words[at], chosen[at])
-        scores, ids, losses = zip(*chosen, strict=True)
-        score, ids = sum(scores), list(ids)
-        smallest = heapq.nsmallest(n - 1, zip(losses, range(len(losses)), strict=True)) if n > 2 else [min(zip(losses, range(len(losses))))]
-        open_at = sorted(at for loss, at in smallest if loss < _NONE) if n > 1 else []
+        score, ids, losses = sum(map(_SCORE, chosen)), list(map(_IDS, chosen)), list(map(_LOSS, chosen))
+        if n == 2:
+            smallest = [losses.index(min(losses))]
+        else:
+            smallest = heapq.nsmallest(n - 1, range(len(losses)), key=losses.__getitem__)
+        open_at = sorted(at for at in smallest if losses[at] < _NONE)
         if not open_at:
             return [(score, b"".join(ids))]
         return self._searched(ids, score, open_at, [self.segmentations(words[at], n) for at in open_at], n)
@@ -208,49 +243,45 @@ class Vocabulary:
             found.append((score - loss, b"".join(ids)))
         return found
 
-    def decode(self, ids: bytes) -> str:
-        """The text of a segmentation. Bytes that are no UTF-8 become U+FFFD; control pieces are empty."""
-        parts = map(self.surface.__getitem__, np.frombuffer(ids, "<u4").tolist())
-        return b"".join(parts).decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
-
 
 class Cache:
     """Two generations of words: when the younger one is full, the older one is dropped."""
 
     def __init__(self) -> None:
-        self._young: dict[str, Best] = {}
-        self._old: dict[str, Best] = {}
+        self.young: dict = {}
+        self._old: dict = {}
 
-    def get(self, word: str) -> Best | None:
-        known = self._young.get(word)
+    def get(self, word: str):  # noqa: ANN201
+        known = self.young.get(word)
         if known is None:
             known = self._old.get(word)
             if known is not None:
-                self._young[word] = known
+                self.put(word, known)
         return known
 
-    def put(self, word: str, known: Best) -> None:
-        if len(word) > 64:
+    def put(self, word: str, known) -> None:  # noqa: ANN001
+        if len(word) > 48:
             return
-        if len(self._young) >= MAX_CACHED_WORDS:
-            self._old, self._young = self._young, {}
-        self._young[word] = known
+        if len(self.young) >= MAX_CACHED_WORDS:
+            self._old, self.young = self.young, {}
+        self.young[word] = known
 
 
-_vocabularies: dict[str, Vocabulary] = {}
+@cache
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(sentencepiece.SentencePieceProcessor(model_file=path))
 
 
-def vocabulary(path: str) -> Vocabulary:
-    if path not in _vocabularies:
-        _vocabularies[path] = Vocabulary(path)
-    return _vocabularies[path]
+@cache
+def surfaces(path: str) -> Surfaces:
+    return Surfaces(sentencepiece.SentencePieceProcessor(model_file=path))
 
 
 _SCHEMA = "doc_id bigint, text_hash bigint, rank int, score bigint, ids binary"
 _ARROW = pa.schema(
     [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("rank", pa.int32()), ("score", pa.int64()), ("ids", pa.binary())]
 )
-_BATCH_BYTES = 8 * 1024 * 1024
+_BATCH_BYTES = 4 * 1024 * 1024
 
 
 def encode(docs: DataFrame, *, n: int = N_BEST, path: str | None = None) -> DataFrame:
@@ -267,9 +298,9 @@ def encode(docs: DataFrame, *, n: int = N_BEST, path: str | None = None) -> Data
         rows: list[tuple] = []
         held = 0
         for batch in batches:
-            for doc_id, text_hash, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for rank, (score, ids) in enumerate(known.encode(text, n), start=1):
-                    rows.append((doc_id, text_hash, rank, score, ids))
+            for doc_id, text_hash, text in zip(*batch.columns, strict=True):
+                for rank, (score, ids) in enumerate(known.encode(text.as_py(), n), start=1):
+                    rows.append((doc_id.as_py(), text_hash.as_py(), rank, score, ids))
                     held += len(ids)
                 if held > _BATCH_BYTES:
                     yield _batch(rows)
@@ -293,7 +324,7 @@ def decode(encoded: DataFrame, *, path: str | None = None) -> DataFrame:
 
     @F.pandas_udf("string")
     def text_of(ids):  # noqa: ANN001, ANN202
-        known = vocabulary(source)
+        known = surfaces(source)
         return ids.map(lambda b: None if b is None else known.decode(b))
 
     return encoded.withColumn("text", text_of(F.col("ids")))

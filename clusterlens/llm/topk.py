@@ -120,12 +120,15 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = K) -> DataFrame:
     n_shards, n_groups = max(1, -(-sizes.n // SHARD)), max(1, -(-sizes.q // QUERY_GROUP))
 
     ranged = usable.repartitionByRange(n_shards, "id")
-    sharded = settle(ranged.withColumn("shard", F.spark_partition_id()))
-    n_shards = sharded.agg(F.max("shard")).first()[0] or 0
+    sharded = settle(ranged.withColumn("part", F.spark_partition_id()))
+    n_parts = (sharded.agg(F.max("part")).first()[0] or 0) + 1
+    n_shards = min(n_shards, n_parts)
+    # ranges may have come out in more partitions than asked for; neighbours make up a shard then
+    sharded = sharded.withColumn("shard", F.floor(F.col("part") * n_shards / n_parts).cast("int"))
     queries = sharded.where(is_query).select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(n_groups)).cast("int").alias("group"))
     every_group = F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("group")
     left = sharded.select("shard", every_group, "id", "vector")
-    every_shard = F.explode(F.sequence(F.lit(0), F.lit(n_shards))).alias("shard")
+    every_shard = F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard")
     right = queries.select(every_shard, "group", "id", "vector")
     schema = "query_id bigint, vec_id bigint, score bigint"
     found = left.groupBy("shard", "group").cogroup(right.groupBy("shard", "group")).applyInArrow(_cogroup(k), schema)

@@ -1,0 +1,62 @@
+"""Exact dedup against a dictionary of normalised texts."""
+
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from clusterlens.llm import exact_dedup
+
+A_TO_Z = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+LONG = "x" * 200_000
+ROWS = [
+    (1, "Same TEXT"), (2, "same text"), (3, "same text "), (4, "ÄB"), (5, "äb"), (6, "Äb"), (7, None), (8, ""), (9, " "),
+    (10, LONG + "a"), (11, LONG + "b"), (12, LONG.upper() + "A"), (None, "alone"), (None, "SAME text"), (13, "twice"),
+    (13, "TWICE"), (14, "p" * 128 + "1"), (15, "p" * 128 + "2"), (None, "no id"), (None, "NO ID"),
+] + [(100 + n, "Hot text") for n in range(300)]
+
+
+def docs(spark, rows=ROWS):
+    """With columns named like those the operator makes."""
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    return made.selectExpr("*", "'l' AS lang", "1 AS kept", "'k' AS keep_id", "'d' AS _digest", "doc_id AS _pair")
+
+
+def expected(rows=ROWS):
+    groups = {}
+    for doc_id, text in rows:
+        groups.setdefault((text or "").translate(A_TO_Z), []).append(doc_id)
+    result = []
+    for text, ids in groups.items():
+        keep = max((i for i in ids if i is not None), default=None)
+        digest = hashlib.sha256(text.encode()).hexdigest()
+        result += [(i, keep, len(ids), i == keep, digest) for i in ids]
+    return sorted(result, key=str)
+
+
+@pytest.mark.parametrize("broadcast", [True, False, None])
+def test_every_row_is_judged(spark, broadcast):
+    digest = F.sha2(exact_dedup.normalised(F.col("text")).cast("binary"), 256)
+    found = exact_dedup.copies(docs(spark), carry={"text_sha256": digest}, broadcast=broadcast)
+    assert found.columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    assert sorted(map(tuple, found.collect()), key=str) == expected()
+
+
+def test_one_row_of_each_group_stays(spark):
+    kept = exact_dedup.drop_copies(docs(spark))
+    assert kept.columns == docs(spark).columns
+    texts = [(r.doc_id, (r.text or "").translate(A_TO_Z)) for r in kept.collect()]
+    assert sorted(texts, key=str) == sorted({(k, t) for k, t in ((keep, (text or "").translate(A_TO_Z)) for (_, text), keep in zip(ROWS, keeps()))}, key=str)
+
+
+def keeps():
+    by_text = {}
+    for doc_id, text in ROWS:
+        key = (text or "").translate(A_TO_Z)
+        by_text[key] = max(by_text.get(key, -1), -1 if doc_id is None else doc_id)
+    return [None if by_text[(t or "").translate(A_TO_Z)] < 0 else by_text[(t or "").translate(A_TO_Z)] for _, t in ROWS]
+
+
+def test_an_empty_table(spark):
+    assert exact_dedup.copies(docs(spark).limit(0)).count() == 0
+    assert exact_dedup.drop_copies(docs(spark).limit(0)).count() == 0

@@ -1,0 +1,64 @@
+"""Packing: every id in one piece of power-of-two length, ids as the reference tokenizer gives them."""
+
+from array import array
+
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from clusterlens.llm import packing, queries
+
+TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+TOKENIZER.encode_special_tokens = True
+
+
+@pytest.mark.parametrize("tokens", [1, 2, 3, 2047, 2048, 2049, 5000, 2048 * 3])
+def test_piece_lengths(tokens):
+    lengths = packing.piece_lengths(tokens)
+    assert sum(lengths) == tokens
+    assert all(n & (n - 1) == 0 and n <= 2048 for n in lengths)
+    rest = [n for n in lengths if n < 2048]
+    assert rest == sorted(set(rest), reverse=True)
+
+
+def documents(pieces):
+    found = {}
+    for row in sorted(pieces, key=lambda r: (str(r.doc_id), r.start)):
+        found.setdefault(row.doc_id, []).append(row)
+    return found
+
+
+def check(rows, pieces):
+    texts = dict(rows)
+    for doc_id, parts in documents(pieces).items():
+        ids = [*TOKENIZER.encode(texts[doc_id] or "", add_special_tokens=False).ids, 1]
+        assert array("I", b"".join(p.ids for p in parts)).tolist() == ids
+        assert [p.start for p in parts] == [sum(q.length for q in parts[:i]) for i in range(len(parts))]
+        assert all(p.doc_tokens == len(ids) and p.offset == 0 and 1 << p.bucket == p.length for p in parts)
+
+
+def test_ids_equal_those_of_the_tokenizer(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    pieces = packing.pack(docs).collect()
+    assert documents(pieces).keys() == dict(rows).keys()
+    check(rows, pieces)
+    assert len({p.sequence_id for p in pieces}) == len(pieces)
+
+
+def test_unusual_texts(spark):
+    rows = [
+        (1, ""), (2, None), (3, "  two  spaces \n\n\ttab  "), (4, "<|endoftext|> don't   漢字 🙂"), (5, "a" * 30_000),
+        (6, " " * 5_000), (None, "no id"), (7, "word " * 40_000),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS start", "'x' AS ids")
+    check(rows, packing.pack(docs).collect())
+    assert packing.pack(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="power of two"):
+        packing.pack(docs, max_length=1000)
+
+
+def test_the_query(spark):
+    found = queries.op4_packing(spark, "/root/testdata/sf0.001")
+    assert {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} <= set(found.columns)
+    assert found.selectExpr("count(DISTINCT doc_id)").first()[0] == 200

@@ -1,0 +1,91 @@
+"""The pipeline, stage by stage."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as contract
+import corpus_pipeline
+from clusterlens.llm import exact_dedup, packing, queries, simhash, toxicity
+from tests.llm.test_substring_dedup import brute
+
+SF_DIR = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    """What went into each stage, and what came out."""
+    folder = tmp_path_factory.mktemp("stages")
+    docs, found = spark.read.parquet(f"{SF_DIR}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF_DIR).write.parquet(str(folder / name))
+        found[name] = docs, spark.read.parquet(str(folder / name))
+        docs = found[name][1]
+    return found
+
+
+def ids(df):
+    return {r.doc_id for r in df.select("doc_id").collect()}
+
+
+def test_names_and_columns(stages):
+    assert list(stages) == ["toxicity", "exact_dedup", "simhash_near_dedup", "substring_dedup", "packing"]
+    for name, (before, after) in list(stages.items())[:-1]:
+        assert after.columns == before.columns, name
+        assert after.count() <= before.count()
+
+
+def test_toxic_documents_go(spark, stages):
+    before, after = stages["toxicity"]
+    model = toxicity.fit(before, spark.read.parquet(f"{SF_DIR}/labels.parquet"))
+    assert ids(after) == ids(toxicity.score(before, model).where("score < 0.5"))
+
+
+def test_one_of_each_group_of_copies_stays(stages):
+    before, after = stages["exact_dedup"]
+    largest = {}
+    for row in before.select("doc_id", exact_dedup.normalised(F.col("text")).alias("text")).collect():
+        largest[row.text] = max(largest.get(row.text, row.doc_id), row.doc_id)
+    assert ids(after) == set(largest.values())
+
+
+def test_one_of_each_group_of_near_copies_stays(stages):
+    before, after = stages["simhash_near_dedup"]
+    found = simhash.near_classes(before).collect()
+    assert ids(after) == {r.component_id for r in found}
+    assert len(ids(after)) < before.count()
+
+
+def test_repeated_sentences_go(stages):
+    before, after = stages["substring_dedup"]
+    assert {r.doc_id: r.text for r in after.collect()} == brute([(r.doc_id, r.text) for r in before.collect()])
+
+
+def test_all_tokens_are_packed(stages):
+    before, after = stages["packing"]
+    encode = packing.encoding(packing.public_tokenizers.path(packing.VOCABULARY)).encode_ordinary
+    tokens = {r.doc_id: r.n for r in after.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert tokens == {r.doc_id: len(encode(r.text)) + 1 for r in before.collect()}
+
+
+def test_run_is_the_stages_in_a_row(spark, stages):
+    found, expected = corpus_pipeline.run(spark, SF_DIR), stages["packing"][1]
+    columns = [c for c in expected.columns if c != "sequence_id"]
+    assert found.select(columns).exceptAll(expected.select(columns)).isEmpty()
+    assert found.count() == expected.count()
+
+
+def test_unusual_rows_pass_through(spark):
+    rows = [(1, None), (2, ""), (None, "a text"), (3, "A Text"), (4, "word " * 20_000), (4, "word " * 20_000), (5, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "length(text) AS n_chars")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF_DIR).count() == 0, name
+        found = stage(spark, docs, SF_DIR)
+        assert found.count() > 0, name
+        docs = found if name != "packing" else docs
+    assert {r.doc_id for r in docs.collect()} >= {3, 4, 5}
+
+
+def test_registration():
+    names = contract.queries().keys()
+    assert queries.QUERIES.keys() | {"pipeline"} <= names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))

@@ -1,0 +1,95 @@
+"""WARC: archives written, cut at every byte, and read back."""
+
+import base64
+import gzip
+import hashlib
+import random
+
+import pyarrow as pa
+import pytest
+
+from clusterlens.llm import queries, warc
+
+LONG = "".join(random.Random(1).choice("abcdefgh é漢\r\n") for _ in range(700_000))
+ROWS = [
+    (1, "http://a", "same"), (2, "http://b\r\nX: y", "same"), (9, None, "same"), (3, "u", None), (4, "u", ""), (5, "u", LONG),
+    (6, "u", "WARC/1.1\r\n\r\nWARC-Type: response"), (7, "u", "Same"), (None, "u", "same"), (8, "u", "twice"), (8, "u", "twice"),
+    (-3, "u", "only one"), (None, "u", "no id"), (None, "u", "no id"),
+] + [(100 + n, "u", "hot") for n in range(200)]
+
+
+def expected(rows):
+    first = {}
+    for page_id, _, html in rows:
+        if page_id is not None:
+            first[html or ""] = max(first.get(html or "", page_id), page_id)
+    found = []
+    for page_id, _, html in rows:
+        payload = (html or "").encode()
+        digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        stands = first.get(html or "")
+        alone = sum((h or "") == (html or "") for _, _, h in rows) == 1
+        revisit = not alone and stands is not None and page_id != stands
+        found.append((page_id, len(payload), digest, "revisit" if revisit else "response", stands if revisit else None))
+    return sorted(found, key=str)
+
+
+def digests(df):
+    rows = df.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    return sorted(map(tuple, rows), key=str)
+
+
+@pytest.mark.parametrize("split", [1 << 30, 50_000, 777])
+def test_round_trip(spark, tmp_path, split):
+    pages = spark.createDataFrame(ROWS, "page_id long, url string, html string").repartition(3)
+    pages = pages.selectExpr("*", "'x' AS payload", "1 AS _first", "true AS is_revisit")
+    written = warc.write(pages, str(tmp_path / "a")).collect()
+    assert sum(r.n_records for r in written) == len(ROWS)
+    back = warc.read(spark, str(tmp_path / "a"), split_bytes=split)
+    assert digests(back) == expected(ROWS)
+    payloads = {r.page_id: r.payload for r in back.where("record_type = 'response'").collect()}
+    assert payloads[5].decode() == LONG and payloads[9] == b"same"
+
+
+def test_every_byte_can_start_a_range():
+    """Each record is read by exactly one of two ranges, wherever they meet."""
+    members = [warc.record_bytes(n, "u", b"x" * n * 7, None, False) for n in range(6)]
+    data = b"".join(members)
+    stream = pa.BufferReader(data)
+    whole = list(warc.records_of_range(stream, 0, len(data), len(data)))
+    assert len(whole) == 6
+    for cut in range(len(data) + 1):
+        first = list(warc.records_of_range(stream, 0, cut, len(data)))
+        assert first + list(warc.records_of_range(stream, cut, len(data), len(data))) == whole
+
+
+def test_other_gzip_members_are_no_records():
+    other = gzip.compress(b"not a record") + warc.MAGIC + b"\x00\x00"
+    data = other + warc.record_bytes(1, "u", b"p", None, False) + gzip.compress(b"WARC/1.0x")
+    assert len(list(warc.records_of_range(pa.BufferReader(data), 0, len(data), len(data)))) == 1
+
+
+def test_archives_are_plain_gzip(spark, tmp_path):
+    pages = spark.createDataFrame(ROWS[:3], "page_id long, url string, html string").coalesce(1)
+    [row] = warc.write(pages, str(tmp_path / "b")).collect()
+    text = gzip.open(row.path).read().decode()
+    assert text.count("WARC/1.1\r\n") == 3 and text.count("WARC-Type: revisit") == 2
+    assert "WARC-Refers-To: <urn:page:9>" in text and "X: y\r\n" not in text.replace("WARC-Target-URI: http://b X: y\r\n", "")
+
+
+def test_small_payloads_may_be_left_alone(spark, tmp_path):
+    pages = spark.createDataFrame(ROWS, "page_id long, url string, html string")
+    warc.write(pages, str(tmp_path / "c"), min_bytes=5).collect()
+    back = warc.read(spark, str(tmp_path / "c"))
+    assert back.where("record_type = 'revisit'").select("payload_digest").distinct().count() == 0
+
+
+def test_an_empty_table(spark, tmp_path):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.write(pages, str(tmp_path / "d")).count() == 0
+
+
+def test_the_query(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").collect()
+    assert digests(queries.op10_warc(spark, sf_dir)) == expected([tuple(p) for p in pages])
