@@ -258,5 +258,6 @@ def drop_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     gone = settle(gone.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_hash")).distinct())
     if fits_broadcast(gone.count(), 64):
         gone = F.broadcast(gone)
-    same_text = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))) == F.col("_gone_hash")
-    return docs.join(gone, (F.col(f"`{doc_id}`") == F.col("_gone")) & same_text, "left_anti")
+    same_text = F.xxhash64(F.coalesce(F.col(f"_d.`{text}`"), F.lit(""))) == F.col("_c._gone_hash")
+    same_id = F.col(f"_d.`{doc_id}`") == F.col("_c._gone")
+    return docs.alias("_d").join(gone.alias("_c"), same_id & same_text, "left_anti")
