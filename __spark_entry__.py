@@ -18,7 +18,7 @@ from clusterlens.functions import drivers, runtime, utilization, vm  # noqa: E40
 from clusterlens.operators.inventory import live_clusters, workspace_ids  # noqa: E402
 from clusterlens.operators.pricing import cluster_costs, priced_usage  # noqa: E402
 from clusterlens.operators.specs import with_node_specs  # noqa: E402
-from clusterlens.operators.spend import share_of_total  # noqa: E402
+from clusterlens.operators.spend import AMOUNTS, share_of_total, spend_by_group  # noqa: E402
 from clusterlens.operators.support import with_support  # noqa: E402
 from clusterlens.operators.telemetry import worker_utilization  # noqa: E402
 from clusterlens.plans import drivers as driver_reports  # noqa: E402
@@ -147,6 +147,12 @@ def _share_of_total(t: InputTables, cfg: AnalysisConfig) -> DataFrame:
     return by_sku.select("sku_name", share_of_total().alias("pct_of_total_cost"))
 
 
+def _spend_by_group_wide(t: InputTables, cfg: AnalysisConfig) -> DataFrame:
+    """Costs with as many decimals as a decimal(38,18) holds."""
+    wide = [F.col(name).cast("decimal(38,18)").alias(name) for name in AMOUNTS]
+    return spend_by_group(live_clusters(t.clusters, cfg), ["dbr_version"], cluster_costs(t, cfg).select("cluster_id", *wide))
+
+
 REPORTS: dict[str, Report] = {
     "workspace_ids": _workspace_ids,
     "live_clusters": _live_clusters,
@@ -167,6 +173,7 @@ REPORTS: dict[str, Report] = {
     "worker_utilization": _worker_utilization,
     "bottleneck_type": _bottleneck_type,
     "share_of_total": _share_of_total,
+    "spend_by_group_wide": _spend_by_group_wide,
     "outdated_runtime_detail": runtime_reports.outdated_runtime_detail,
     "runtime_distribution": runtime_reports.runtime_distribution,
     "old_vm_detail": vm_reports.old_vm_detail,
@@ -185,6 +192,30 @@ REPORTS: dict[str, Report] = {
 }
 
 
+# The same reports by their other join paths: nothing measured small, or prices broadcast by day.
+PATHS: dict[str, frozenset[str]] = {"shuffled": frozenset(), "daily": frozenset({"node_types", "daily_prices"})}
+BY_PATH: dict[str, tuple[str, str]] = {
+    "priced_usage_shuffled": ("priced_usage", "shuffled"),
+    "priced_usage_daily": ("priced_usage", "daily"),
+    "cluster_costs_daily": ("cluster_costs", "daily"),
+    "with_node_specs_shuffled": ("with_node_specs", "shuffled"),
+    "executive_summary_shuffled": ("executive_summary", "shuffled"),
+    "oversized_driver_detail_shuffled": ("oversized_driver_detail", "shuffled"),
+}
+# And with other parameters than the defaults.
+PARAMS = {
+    "workspace_filter": "ws-4", "lookback_days": "7", "driver_cpu_threshold": "8", "driver_memory_gb_threshold": "32",
+    "cpu_threshold": "40", "io_wait_threshold": "5", "memory_threshold": "60", "swap_threshold": "2",
+    "vm_threshold_D": "4", "vm_threshold_E": "6", "vm_threshold_default": "1",
+}
+TUNED = (
+    "live_clusters", "live_clusters_latest", "priced_usage", "vm_threshold", "below_vm_threshold", "oversized_driver",
+    "bottleneck_type", "outdated_runtime_detail", "runtime_distribution", "old_vm_detail", "vm_distribution",
+    "oversized_driver_detail", "driver_sizing_summary", "executive_summary", "high_cpu_clusters",
+    "high_io_wait_clusters", "high_memory_clusters", "bottleneck_summary",
+)
+
+
 def _comparable(df: DataFrame) -> DataFrame:
     """Decimals and nullable integers as doubles, dates and timestamps as text: the same values in both engines."""
     casts = {
@@ -200,8 +231,22 @@ def _comparable(df: DataFrame) -> DataFrame:
     return df.select(columns)
 
 
-def _query(report: Report) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: _comparable(report(testdata.SampleTables(spark, sf_dir), CONFIG))
+def _query(
+    report: Report, cfg: AnalysisConfig = CONFIG, small: frozenset[str] = testdata.SampleTables.small
+) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: _comparable(report(testdata.SampleTables(spark, sf_dir, small), cfg))
+
+
+def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    tuned = AnalysisConfig.from_params({**PARAMS, "as_of": testdata.AS_OF})
+    queries = {name: _query(report) for name, report in REPORTS.items()}
+    queries |= {name: _query(REPORTS[base], small=PATHS[path]) for name, (base, path) in BY_PATH.items()}
+    return queries | {f"{name}_tuned": _query(REPORTS[name], tuned) for name in TUNED}
+
+
+def _own_sql() -> dict[str, str]:
+    sql, tuned = oracle_queries.all_queries(), oracle_queries.all_queries(params=PARAMS)
+    return sql | {name: sql[base] for name, (base, _) in BY_PATH.items()} | {f"{name}_tuned": tuned[name] for name in TUNED}
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -209,12 +254,12 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {name: _query(report) for name, report in REPORTS.items()}
+    own = _own_queries()
     return own if llm_queries is None else own | llm_queries.QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    own = oracle_queries.all_queries()
+    own = _own_sql()
     if llm_queries is None:
         return own
     pipeline = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}

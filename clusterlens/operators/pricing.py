@@ -31,7 +31,7 @@ def _window_day(instant: Column, cfg: AnalysisConfig) -> Column:
     return F.least(F.greatest(day, F.lit(0)), F.lit(cfg.lookback_days + 1))
 
 
-def _by_day(prices: DataFrame, cfg: AnalysisConfig) -> DataFrame:
+def by_day(prices: DataFrame, cfg: AnalysisConfig) -> DataFrame:
     """One row per price and day of the window it covers, at most ``lookback_days + 2`` of them."""
     start, end = F.col("price_start_time"), F.col("price_end_time")
     last_day = F.when(end.isNull(), F.lit(cfg.lookback_days + 1)).otherwise(_window_day(end, cfg))
@@ -46,9 +46,10 @@ def priced_usage(t: InputTables, cfg: AnalysisConfig) -> DataFrame:
     A price is valid from its start up to, but not including, its end. Where validity intervals of a SKU overlap, usage
     is repeated once per price; ``overlapping_prices`` finds them.
 
-    Measured small, the prices are broadcast and usage is not shuffled. Otherwise both sides meet on SKU and day, which
-    spreads a SKU with much usage or many prices over the days of the window; adaptive execution splits what is still
-    skewed.
+    Measured small, the prices are broadcast and usage is not shuffled. If only single SKUs have too many of them, the
+    prices are broadcast by SKU and day of the window, so that a row of usage is compared with those of its day alone.
+    Otherwise usage and prices meet on SKU and day in a shuffle, which spreads a SKU with much usage or many prices over
+    the days of the window; adaptive execution splits what is still skewed.
     """
     usage, prices = recent_usage(t.usage, cfg), active_prices(t.list_prices, cfg)
     start, end = F.col("price_start_time"), F.col("price_end_time")
@@ -59,7 +60,8 @@ def priced_usage(t: InputTables, cfg: AnalysisConfig) -> DataFrame:
     else:
         usage = usage.withColumn("usage_day", _window_day(begun, cfg))
         same_day = F.col("usage_day") == F.col("price_day")
-        priced = usage.join(_by_day(prices, cfg), valid & same_day, "left")
+        daily = by_day(prices, cfg)
+        priced = usage.join(F.broadcast(daily) if "daily_prices" in t.small else daily, valid & same_day, "left")
     unit_price = F.coalesce(F.col("list_price"), F.lit(0))
     return priced.select(
         "cluster_id",
@@ -91,15 +93,21 @@ def round_costs(costs: DataFrame) -> DataFrame:
 
 
 def overlapping_prices(list_prices: DataFrame) -> DataFrame:
-    """Prices that begin before an earlier price of the same SKU has ended, and so would count usage twice."""
+    """Prices that begin before an earlier price of the same SKU has ended, and so would count usage twice.
+
+    The latest end so far is found within months of a SKU, and carried over its months, so that a SKU with very many
+    prices is spread over tasks.
+    """
     forever = F.lit("9999-12-31").cast("timestamp")
     start, end = F.col("price_start_time"), F.col("price_end_time")
-    earlier = (
-        Window.partitionBy("sku_name").orderBy("price_start_time").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return (
-        list_prices.where(start.isNotNull() & (end.isNull() | (start < end)))
-        .withColumn("covered_until", F.max(F.coalesce(end, forever)).over(earlier))
-        .where(start < F.col("covered_until"))
-        .select("sku_name", "price_start_time", "price_end_time")
-    )
+    month = F.trunc(start.cast("date"), "month").alias("month")
+    valid = list_prices.where(start.isNotNull() & (end.isNull() | (start < end)))
+    prices = valid.select("sku_name", month, start, end, F.coalesce(end, forever).alias("until"))
+
+    before = Window.unboundedPreceding, -1
+    months = prices.groupBy("sku_name", "month").agg(F.max("until").alias("until"))
+    over_months = Window.partitionBy("sku_name").orderBy("month").rowsBetween(*before)
+    carried = months.select("sku_name", "month", F.max("until").over(over_months).alias("carried"))
+    in_month = Window.partitionBy("sku_name", "month").orderBy("price_start_time").rowsBetween(*before)
+    covered = prices.withColumn("covered", F.max("until").over(in_month)).join(carried, ["sku_name", "month"])
+    return covered.where(start < F.greatest("covered", "carried")).select("sku_name", "price_start_time", "price_end_time")

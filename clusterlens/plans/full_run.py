@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from clusterlens.config import AnalysisConfig
 from clusterlens.operators.pricing import cluster_costs
+from clusterlens.operators.spend import AMOUNTS
 from clusterlens.operators.telemetry import worker_utilization
 from clusterlens.plans.drivers import driver_sizing_summary, oversized_driver_detail
 from clusterlens.plans.runtime import outdated_runtime_detail, runtime_distribution
@@ -37,30 +41,43 @@ UTILIZATION_REPORTS = {
 }
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder of the session, so that a lost executor costs no recomputation.
+SHARED_FLAGS = ("has_costs", "has_stats")
 
-    Only a local session without such a folder gets a temporary one.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="clusterlens-"))
-    return df.checkpoint()
+
+def _per_cluster(t: InputTables, cfg: AnalysisConfig) -> DataFrame:
+    """Costs and utilization side by side, with flags for which of the two a cluster has."""
+    costs = cluster_costs(t, cfg).withColumn("has_costs", F.lit(True))
+    stats = worker_utilization(t.node_timeline, cfg).withColumn("has_stats", F.lit(True))
+    return costs.join(stats, "cluster_id", "full")
 
 
+@contextmanager
 def all_reports(
     t: InputTables, cfg: AnalysisConfig, *, ordered: bool = True, latest_only: bool = False
-) -> dict[str, DataFrame]:
-    """Every report by name. Usage and telemetry, the two large inputs, are each read and aggregated once."""
-    costs = materialize(cluster_costs(t, cfg))
-    stats = materialize(worker_utilization(t.node_timeline, cfg))
-    options = {"ordered": ordered, "latest_only": latest_only}
-    reports = {name: report(t, cfg, costs, **options) for name, report in COST_REPORTS.items()}
-    reports["executive_summary"] = executive_summary(t, cfg, costs, latest_only=latest_only)
-    for name, report in UTILIZATION_REPORTS.items():
-        reports[name] = report(t, cfg, costs, stats, **options)
-    return reports
+) -> Iterator[dict[str, DataFrame]]:
+    """Every report by name. Usage and telemetry, the two large inputs, are each read and aggregated once.
+
+    Both aggregates go into one table, bucketed by cluster, in the output schema (else the session's current one): its
+    scans keep the partitioning, read only the columns a report needs, and survive lost executors. The reports are valid
+    inside the ``with`` block; the table is dropped at its end.
+    """
+    spark = t.usage.sparkSession
+    parts = [cfg.output_catalog, *cfg.output_schema.split(".")] if cfg.output_schema else []
+    table = ".".join(f"`{part}`" for part in [*filter(None, parts), f"clusterlens_run_{uuid4().hex}"])
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # one writer per bucket, as the shuffle and the buckets hash alike
+    rows = _per_cluster(t, cfg).repartition(buckets, "cluster_id")
+    try:
+        rows.write.format("parquet").bucketBy(buckets, "cluster_id").saveAsTable(table)
+        shared = spark.table(table)
+        costs = shared.where("has_costs").select("cluster_id", *AMOUNTS)
+        others = [c for c in shared.columns if c not in (*AMOUNTS, *SHARED_FLAGS, "cluster_id")]
+        stats = shared.where("has_stats").select("cluster_id", *others)
+        options = {"ordered": ordered, "latest_only": latest_only}
+        reports = {name: report(t, cfg, costs, **options) for name, report in COST_REPORTS.items()}
+        reports["executive_summary"] = executive_summary(t, cfg, costs, latest_only=latest_only)
+        for name, report in UTILIZATION_REPORTS.items():
+            reports[name] = report(t, cfg, costs, stats, **options)
+        yield reports
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")

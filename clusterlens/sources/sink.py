@@ -1,5 +1,7 @@
 """Keeping the history of a report."""
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,9 +12,18 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def storable(report: DataFrame) -> DataFrame:
+    """The report with column names that every table format takes: if one does not, all in lower case with underscores."""
+    if all(re.fullmatch(r"\w+", name) for name in report.columns):
+        return report
+    return report.toDF(*[re.sub(r"\W+", "_", name).strip("_").lower() for name in report.columns])
+
+
 def save_report(report: DataFrame, name: str, cfg: AnalysisConfig) -> str:
     """Write a report into the partition of its date and return the table name.
 
+    Columns are stored under the names of ``storable``. A table whose columns differ in name or type is left alone.
+
     The table lies in the configured catalog and schema. Saving again for the same date replaces that date only, also by
     an empty report, so a failed run can be repeated. Pass reports built with ``ordered=False``: a stored table needs no
     total order.
@@ -21,13 +32,15 @@ def save_report(report: DataFrame, name: str, cfg: AnalysisConfig) -> str:
         raise ValueError("output_schema is not configured")
     parts = [cfg.output_catalog, *cfg.output_schema.split("."), name]
     table = ".".join(_quoted(part) for part in parts if part)
+    report = storable(report)
     spark = report.sparkSession
     if not spark.catalog.tableExists(table):
         report.withColumn("as_of", F.lit(cfg.as_of)).write.mode("error").partitionBy("as_of").saveAsTable(table)
         return table
-    stored = [column for column in spark.table(table).columns if column != "as_of"]
-    if set(stored) != set(report.columns):
-        raise ValueError(f"columns of {table} differ from those of the report: {stored} / {report.columns}")
+    stored = {f.name: f.dataType for f in spark.table(table).schema if f.name != "as_of"}
+    offered = {f.name: f.dataType for f in report.schema}
+    if stored != offered:
+        raise ValueError(f"columns of {table} differ from those of the report: {stored} / {offered}")
     spark.sql(
         f"INSERT OVERWRITE TABLE {table} PARTITION (as_of = DATE '{cfg.as_of}') SELECT * FROM {{report}}",
         report=report.select([F.col(_quoted(column)) for column in stored]),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, replace
 from datetime import date
 from types import MappingProxyType
 
@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clusterlens import schemas
+from clusterlens.config import AnalysisConfig
 
+# Where a metastore keeps the five inputs.
 DEFAULT_NAMES = MappingProxyType(
     {
         "clusters": "system.compute.clusters",
@@ -38,9 +40,6 @@ BROADCAST_MAX_ROWS = 500_000
 BROADCAST_MAX_KEY_BYTES = 32 * 1024 * 1024
 BROADCAST_MAX_ROWS_PER_KEY = 1_000
 
-_DIMENSION_KEYS = {"node_types": "node_type", "list_prices": "sku_name"}
-
-
 def lts_support(spark: SparkSession, schedule: Iterable[tuple[str, date, date, str]] = LTS_SCHEDULE) -> DataFrame:
     """The support schedule as a local relation, whose exact size the optimizer knows."""
     names = schemas.LTS_SUPPORT.fieldNames()
@@ -48,12 +47,12 @@ def lts_support(spark: SparkSession, schedule: Iterable[tuple[str, date, date, s
     return spark.createDataFrame(pa.Table.from_pylist(rows), schemas.LTS_SUPPORT)
 
 
-def fits_broadcast(dimension: DataFrame, key: str) -> bool:
-    """Measure a dimension with one distributed aggregate over its key column."""
-    per_key = dimension.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
-    key_bytes = F.sum(F.coalesce(F.octet_length(key), F.lit(0)) * F.col("n_rows"))
+def fits_broadcast(dimension: DataFrame, *keys: str) -> bool:
+    """Measure a dimension with one distributed aggregate over its key columns."""
+    per_key = dimension.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    width = sum((F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) for k in keys), F.lit(0))
     n_rows, peak = F.sum("n_rows").alias("n_rows"), F.max("n_rows").alias("peak")
-    size = per_key.agg(n_rows, peak, key_bytes.alias("n_bytes")).first()
+    size = per_key.agg(n_rows, peak, F.sum(width * F.col("n_rows")).alias("n_bytes")).first()
     return (
         (size.n_rows or 0) <= BROADCAST_MAX_ROWS
         and (size.peak or 0) <= BROADCAST_MAX_ROWS_PER_KEY
@@ -65,8 +64,10 @@ def fits_broadcast(dimension: DataFrame, key: str) -> bool:
 class InputTables:
     """One DataFrame per input, and the names of the dimensions that were measured to be small.
 
-    Without a measurement no dimension gets a broadcast hint and joins take the shuffled path, unless the optimizer's
-    own size check decides otherwise.
+    ``small`` may hold ``node_types``, ``list_prices`` and ``daily_prices`` (prices spelled out by day of the window, for
+    a SKU with very many of them). ``from_frames`` and ``from_catalog`` measure; the plain constructor does not, and then
+    no dimension gets a broadcast hint and joins take the shuffled path, unless the optimizer's own size check decides
+    otherwise.
     """
 
     clusters: DataFrame
@@ -78,16 +79,35 @@ class InputTables:
     small: frozenset[str] = frozenset()
 
     @classmethod
-    def from_catalog(cls, spark: SparkSession, names: Mapping[str, str] = DEFAULT_NAMES) -> InputTables:
+    def from_catalog(
+        cls, spark: SparkSession, names: Mapping[str, str] = DEFAULT_NAMES, cfg: AnalysisConfig | None = None
+    ) -> InputTables:
         """Read the tables from the catalog; ``names`` may override some of the default names."""
         unknown = set(names) - set(DEFAULT_NAMES)
         if unknown:
             raise ValueError(f"unknown tables: {sorted(unknown)}")
         resolved = {**DEFAULT_NAMES, **names}
-        return cls(**{k: spark.table(v) for k, v in resolved.items()}, lts=lts_support(spark)).measured()
+        return cls(**{k: spark.table(v) for k, v in resolved.items()}, lts=lts_support(spark)).measured(cfg)
 
-    def measured(self) -> InputTables:
-        """The same tables, with the size of each dimension checked once for all reports."""
-        small = {name for name, key in _DIMENSION_KEYS.items() if fits_broadcast(getattr(self, name), key)}
-        values = {f.name: getattr(self, f.name) for f in fields(self)}
-        return InputTables(**{**values, "small": frozenset(small)})
+    @classmethod
+    def from_frames(cls, *, cfg: AnalysisConfig | None = None, lts: DataFrame | None = None, **frames: DataFrame) -> InputTables:
+        """The five inputs as DataFrames by name, measured; ``lts`` replaces the built-in support schedule."""
+        spark = next(iter(frames.values())).sparkSession
+        return cls(**frames, lts=lts_support(spark) if lts is None else lts).measured(cfg)
+
+    def measured(self, cfg: AnalysisConfig | None = None) -> InputTables:
+        """The same tables, with the size of each dimension checked once for all reports.
+
+        With a configuration, only the prices that can be valid in its window count, as only they are broadcast.
+        """
+        from clusterlens.operators.pricing import active_prices, by_day
+
+        prices = self.list_prices.withColumnRenamed("sku_name", "price_sku") if cfg is None else active_prices(self.list_prices, cfg)
+        small = set()
+        if fits_broadcast(self.node_types, "node_type"):
+            small.add("node_types")
+        if fits_broadcast(prices, "price_sku"):
+            small.add("list_prices")
+        elif cfg is not None and fits_broadcast(by_day(prices, cfg), "price_sku", "price_day"):
+            small.add("daily_prices")
+        return replace(self, small=frozenset(small))

@@ -160,13 +160,14 @@ def list_prices(spark: SparkSession) -> DataFrame:
 class SampleTables:
     """The inputs as ``InputTables`` holds them, each derived when first used.
 
-    The two dimensions are the short lists above, so their size is known without measuring.
+    The two dimensions are the short lists above, so their size is known without measuring; ``small`` chooses other join
+    paths.
     """
 
     small = frozenset({"node_types", "list_prices"})
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self._spark, self._sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, small: frozenset[str] = small) -> None:
+        self._spark, self._sf_dir, self.small = spark, sf_dir, small
 
     @cached_property
     def clusters(self) -> DataFrame:

@@ -6,13 +6,42 @@ DISTINCT and none of the pre-aggregation that the library does. Only the fixed t
 
 from __future__ import annotations
 
+import re
+from collections.abc import Mapping
 from functools import partial
 
 from clusterlens import labels as L
 
-_WINDOW = "TIMESTAMP '2026-11-01 00:00:00'"
 _TODAY = "DATE '2026-12-01'"
 
+
+def _param(name: str) -> str:
+    return f"(SELECT {name} FROM params)"
+
+
+_WINDOW = _param("window_start")
+
+# Defaults of the parameters that reports take, under the names that jobs pass them by.
+_DEFAULTS = {
+    "lookback_days": "30", "workspace_filter": "ALL", "driver_cpu_threshold": "16", "driver_memory_gb_threshold": "64",
+    "cpu_threshold": "70", "io_wait_threshold": "10", "memory_threshold": "80", "swap_threshold": "1",
+    "vm_threshold_D": "5", "vm_threshold_E": "5", "vm_threshold_F": "2", "vm_threshold_L": "3", "vm_threshold_M": "2",
+    "vm_threshold_N": "1", "vm_threshold_default": "5",
+}
+
+
+def _values(given: Mapping[str, str]) -> dict[str, str]:
+    """The two steps that hold parameters."""
+    p = {**_DEFAULTS, **given}
+    numbers = ", ".join(f"{p[n]} AS {n}" for n in p if n.endswith("_threshold") or n == "vm_threshold_default")
+    least = ", ".join(f"('{n[-1]}', {p[n]})" for n in p if re.fullmatch("vm_threshold_[A-Z]", n))
+    return {
+        "params": f"""
+    SELECT CAST({_TODAY} - CAST({p["lookback_days"]} AS INT) AS TIMESTAMP) AS window_start,
+           '{p["workspace_filter"]}' AS workspace, {numbers}""",
+        "minimum": f"SELECT * FROM (VALUES {least}) AS minimum(letter, least_gen)",
+    }
+
 # Inputs and intermediate steps: name -> (steps it needs, SQL).
 _STEPS: dict[str, tuple[tuple[str, ...], str]] = {}
 
@@ -21,19 +50,20 @@ def _step(name: str, needs: str, sql: str) -> None:
     _STEPS[name] = (tuple(needs.split()), sql)
 
 
-def _query(needs: str, sql: str, given: frozenset[str] = frozenset()) -> str:
-    """Prefix the steps that a query needs, except those given as tables."""
+def _query(needs: str, sql: str, given: frozenset[str] = frozenset(), values: Mapping[str, str] | None = None) -> str:
+    """Prefix the steps that a query needs, except those given as tables; ``values`` has the steps with parameters."""
+    steps = _STEPS | {name: ((), step) for name, step in (values or _values({})).items()}
     ordered: list[str] = []
 
     def visit(name: str) -> None:
         if name not in ordered and name not in given:
-            for other in _STEPS[name][0]:
+            for other in steps[name][0]:
                 visit(other)
             ordered.append(name)
 
     for name in needs.split():
         visit(name)
-    return "WITH " + ",\n".join(f"{name} AS ({_STEPS[name][1]})" for name in ordered) + "\n" + sql if ordered else sql
+    return "WITH " + ",\n".join(f"{name} AS ({steps[name][1]})" for name in ordered) + "\n" + sql if ordered else sql
 
 
 def _dbl(expression: str) -> str:
@@ -123,7 +153,7 @@ _step(
 )
 _step(
     "samples",
-    "",
+    "params",
     f"""
     SELECT 'c-' || user_id AS cluster_id, CAST(ts + INTERVAL '1035' DAY AS DATE) AS day,
            CAST(IF(user_id % 4 = 0, 65, 20) + event_id % 20 + event_id % 9 AS DOUBLE) AS cpu,
@@ -136,10 +166,15 @@ _step(
 
 # ---- steps ------------------------------------------------------------------------------------------------------
 
-_step("live", "clusters", f"SELECT * FROM clusters WHERE delete_time IS NULL AND change_time >= {_WINDOW}")
+_IN_WORKSPACE = f"({_param('workspace')} = 'ALL' OR workspace_id = {_param('workspace')})"
+_step(
+    "live",
+    "clusters params",
+    f"SELECT * FROM clusters WHERE delete_time IS NULL AND change_time >= {_WINDOW} AND {_IN_WORKSPACE}",
+)
 _step(
     "priced",
-    "usage list_prices",
+    "usage list_prices params",
     f"""
     SELECT usage.*, IFNULL(price, 0) AS unit_price, quantity * IFNULL(price, 0) AS cost
     FROM usage
@@ -171,11 +206,6 @@ _step(
     FROM (SELECT *, regexp_extract(dbr_version, '([0-9]+[.][0-9]+)', 1) AS family FROM billed) AS billed
     LEFT JOIN lts ON version = family""",
 )
-_step(
-    "minimum",
-    "",
-    "SELECT * FROM (VALUES ('D', 5), ('E', 5), ('F', 2), ('L', 3), ('M', 2), ('N', 1)) AS minimum(letter, least_gen)",
-)
 _step(
     "vm_names",
     "clusters",
@@ -186,30 +216,32 @@ _step(
     FROM (SELECT driver_node_type AS name FROM clusters UNION SELECT worker_node_type FROM clusters)
     WHERE name IS NOT NULL""",
 )
+_LEAST = _param("vm_threshold_default")
 _step(
     "vm",
-    "vm_names minimum",
-    """
-    SELECT vm_names.*, CAST(IFNULL(least_gen, 5) AS INTEGER) AS threshold,
-           gen IS NOT NULL AND gen < IFNULL(least_gen, 5) AS old
+    "vm_names minimum params",
+    f"""
+    SELECT vm_names.*, CAST(IFNULL(least_gen, {_LEAST}) AS INTEGER) AS threshold,
+           gen IS NOT NULL AND gen < IFNULL(least_gen, {_LEAST}) AS old
     FROM vm_names LEFT JOIN minimum ON letter = left(series, 1)""",
 )
 _step(
     "aged",
-    "billed vm",
-    """
+    "billed vm params",
+    f"""
     SELECT billed.*, d.series AS d_series, d.gen AS d_gen, d.gen_text AS d_gen_text,
-           IFNULL(d.threshold, 5) AS d_threshold, IFNULL(d.old, false) AS d_old, w.series AS w_series, w.gen AS w_gen,
-           IFNULL(w.threshold, 5) AS w_threshold, IFNULL(w.old, false) AS w_old
+           IFNULL(d.threshold, {_LEAST}) AS d_threshold, IFNULL(d.old, false) AS d_old, w.series AS w_series, w.gen AS w_gen,
+           IFNULL(w.threshold, {_LEAST}) AS w_threshold, IFNULL(w.old, false) AS w_old
     FROM billed LEFT JOIN vm AS d ON d.name = driver_node_type LEFT JOIN vm AS w ON w.name = worker_node_type""",
 )
+_CORES, _MEMORY = _param("driver_cpu_threshold"), _param("driver_memory_gb_threshold")
 _step(
     "sized",
-    "billed node_types",
+    "billed node_types params",
     f"""
     SELECT billed.*, core_count, memory_mb, memory_mb / 1024 AS gb,
-           core_count > 16 OR memory_mb > 64 * 1024 AS oversized,
-           CASE WHEN core_count > 16 THEN '{L.VCPUS_TOO_HIGH}' WHEN memory_mb > 64 * 1024 THEN '{L.MEMORY_TOO_HIGH}'
+           core_count > {_CORES} OR memory_mb > {_MEMORY} * 1024 AS oversized,
+           CASE WHEN core_count > {_CORES} THEN '{L.VCPUS_TOO_HIGH}' WHEN memory_mb > {_MEMORY} * 1024 THEN '{L.MEMORY_TOO_HIGH}'
                 ELSE '{L.APPROPRIATELY_SIZED}' END AS sizing_status,
            CASE WHEN core_count > 32 THEN '{L.CONSIDER_E8}' WHEN core_count > 16 THEN '{L.CONSIDER_E4}'
                 ELSE '{L.REVIEW_WORKLOAD}' END AS recommendation
@@ -224,12 +256,13 @@ _step(
            COUNT(DISTINCT day) AS days_active
     FROM samples GROUP BY cluster_id""",
 )
+_CPU, _IO, _MEM, _SWAP = (_param(f"{name}_threshold") for name in ("cpu", "io_wait", "memory", "swap"))
 _step(
     "bottlenecks",
-    "load",
+    "load params",
     f"""
-    SELECT *, CASE WHEN memory >= 80 OR swap >= 1 THEN '{L.MEMORY_BOUND}' WHEN io_wait >= 10 THEN '{L.IO_BOUND}'
-                   WHEN cpu >= 70 THEN '{L.CPU_BOUND}' ELSE '{L.BALANCED}' END AS bottleneck_type
+    SELECT *, CASE WHEN memory >= {_MEM} OR swap >= {_SWAP} THEN '{L.MEMORY_BOUND}' WHEN io_wait >= {_IO} THEN '{L.IO_BOUND}'
+                   WHEN cpu >= {_CPU} THEN '{L.CPU_BOUND}' ELSE '{L.BALANCED}' END AS bottleneck_type
     FROM load""",
 )
 _step("loaded", "billed bottlenecks", "SELECT * FROM billed JOIN bottlenecks USING (cluster_id)")
@@ -268,14 +301,15 @@ def _finding(name: str) -> str:
                FROM {source} WHERE {condition}"""
 
 
-def all_queries(given: frozenset[str] = frozenset()) -> dict[str, str]:
-    """All queries; inputs named in ``given`` are read from tables of that name and shape instead."""
-    query = partial(_query, given=given)
+def all_queries(given: frozenset[str] = frozenset(), params: Mapping[str, str] | None = None) -> dict[str, str]:
+    """All queries, with ``params`` in place of the default ones; inputs named in ``given`` are read from tables of that
+    name and shape instead."""
+    query = partial(_query, given=given, values=_values(params or {}))
     queries = {
         "workspace_ids": query("clusters", "SELECT DISTINCT workspace_id FROM clusters WHERE workspace_id IS NOT NULL ORDER BY 1"),
         "live_clusters": query("live", f"SELECT * {_AS_TEXT} FROM live"),
         "live_clusters_latest": query(
-            "clusters",
+            "clusters params",
             f"""SELECT * EXCLUDE (place) {_AS_TEXT}
                 FROM (SELECT *, row_number() OVER (
                           PARTITION BY cluster_id
@@ -286,7 +320,8 @@ def all_queries(given: frozenset[str] = frozenset()) -> dict[str, str]:
                                    cluster_source DESC NULLS LAST, delete_time DESC NULLS LAST
                       ) AS place
                       FROM clusters)
-                WHERE (place = 1 OR cluster_id IS NULL) AND delete_time IS NULL AND change_time >= {_WINDOW}""",
+                WHERE (place = 1 OR cluster_id IS NULL) AND delete_time IS NULL AND change_time >= {_WINDOW}
+                      AND {_IN_WORKSPACE}""",
         ),
         "priced_usage": query(
             "priced",
@@ -331,7 +366,7 @@ def all_queries(given: frozenset[str] = frozenset()) -> dict[str, str]:
         ),
         "vm_threshold": query(
             "clusters vm",
-            """SELECT cluster_id, worker_node_type, CAST(IFNULL(threshold, 5) AS DOUBLE) AS vm_threshold
+            f"""SELECT cluster_id, worker_node_type, CAST(IFNULL(threshold, {_LEAST}) AS DOUBLE) AS vm_threshold
                FROM clusters LEFT JOIN vm ON name = worker_node_type""",
         ),
         "below_vm_threshold": query(
@@ -423,23 +458,23 @@ def all_queries(given: frozenset[str] = frozenset()) -> dict[str, str]:
             f"""SELECT {_WHO}, dbr_version, {_RUNTIME_TYPE} AS runtime_type, {_rd('cpu')} AS avg_cpu_percent,
                        max_cpu AS max_cpu_percent, days_active, {_MONEY},
                        IF(dbr_version ILIKE '%ml%', '{L.CPU_HIGH_ML}', '{L.CPU_HIGH}') AS recommendation
-                FROM loaded WHERE {_rd('cpu')} >= 70""",
+                FROM loaded WHERE {_rd('cpu')} >= {_CPU}""",
         ),
         "high_io_wait_clusters": query(
             "loaded",
             f"""SELECT {_WHO}, dbr_version, {_rd('io_wait')} AS avg_io_wait_percent,
                        max_io_wait AS max_io_wait_percent, {_rd('cpu')} AS avg_cpu_percent, driver_node_type,
                        worker_node_type, {_MONEY},
-                       IF({_rd('io_wait')} >= 20, '{L.IO_VERY_HIGH}', '{L.IO_HIGH}') AS recommendation
-                FROM loaded WHERE io_wait >= 10""",
+                       IF({_rd('io_wait')} >= 2 * {_IO}, '{L.IO_VERY_HIGH}', '{L.IO_HIGH}') AS recommendation
+                FROM loaded WHERE io_wait >= {_IO}""",
         ),
         "high_memory_clusters": query(
             "loaded",
             f"""SELECT {_WHO}, dbr_version, {_rd('memory')} AS avg_memory_percent, max_memory AS max_memory_percent,
                        {_rd('swap')} AS avg_swap_percent, max_swap AS max_swap_percent, driver_node_type,
                        worker_node_type, {_MONEY},
-                       IF({_rd('swap')} >= 1, '{L.MEMORY_SWAPPING}', '{L.MEMORY_HIGH}') AS recommendation
-                FROM loaded WHERE memory >= 80 OR swap >= 1""",
+                       IF({_rd('swap')} >= {_SWAP}, '{L.MEMORY_SWAPPING}', '{L.MEMORY_HIGH}') AS recommendation
+                FROM loaded WHERE memory >= {_MEM} OR swap >= {_SWAP}""",
         ),
         "bottleneck_summary": query(
             "loaded",
@@ -451,6 +486,12 @@ def all_queries(given: frozenset[str] = frozenset()) -> dict[str, str]:
                 FROM loaded GROUP BY bottleneck_type""",
         ),
     }
+    queries["spend_by_group_wide"] = query(
+        "billed",
+        f"""SELECT dbr_version, COUNT(DISTINCT cluster_id) AS cluster_count, COUNT(*) AS record_count,
+                   {_dbl('SUM(dbus)')} AS total_dbus, {_dbl('SUM(usd)')} AS total_cost_usd
+            FROM billed GROUP BY dbr_version""",
+    )
     for name, (_, source, _) in _FINDINGS.items():
         queries[name] = query(source, _finding(name))
     findings = " UNION ALL ".join(f"({_finding(name)})" for name in _FINDINGS)

@@ -11,7 +11,7 @@ from clusterlens import schemas
 from clusterlens.operators.joins import splittable_join
 from clusterlens.operators.pricing import cluster_costs, priced_usage
 from clusterlens.operators.telemetry import worker_utilization
-from clusterlens.plans.full_run import COST_REPORTS, UTILIZATION_REPORTS
+from clusterlens.plans.full_run import COST_REPORTS, UTILIZATION_REPORTS, all_reports
 from clusterlens.plans.summary import executive_summary
 from clusterlens.sources.tables import InputTables, lts_support
 from tests.frames import CFG, SMALL, cluster, price, sample, tables, used
@@ -146,3 +146,66 @@ def test_a_hot_sku_is_split(spark, settings):
     assert len(priced.collect()) == 120_000
     assert "skew=true" in plan(priced, "simple")
     assert priced.agg(F.sum("cost_usd")).first()[0] == 40_000 * 3
+
+
+def test_shared_aggregates_keep_their_partitioning(stored, settings):
+    """In the full run no report shuffles the shared table by cluster again, and none reads all of its columns."""
+    settings(spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__enabled="false")
+    with all_reports(stored, CFG) as reports:
+        for name, report in reports.items():
+            text = plan(report, "simple")
+            assert "ExistingRDD" not in text and "Python" not in text
+            shared = [(n, line) for n, line in enumerate(text.splitlines()) if "clusterlens_run_" in line]
+            assert shared, name
+            for n, line in shared:
+                above = text.splitlines()[:n]
+                depth = len(re.match(r"[ :+-]*", line).group(0))
+                for upper in reversed(above):
+                    upper_depth = len(re.match(r"[ :+-]*", upper).group(0))
+                    if upper_depth < depth:
+                        depth = upper_depth
+                        assert not re.search(r"Exchange hashpartitioning\(cluster_id#\d+, \d+\)", upper), (name, text)
+                        if "Join" in upper:
+                            break
+                assert line.count(":") < 20
+        assert "total_dbus" not in scans_of_shared(reports["bottleneck_summary"])
+        assert "max_cpu_percent" not in scans_of_shared(reports["bottleneck_summary"])
+
+
+def scans_of_shared(df):
+    blocks = [b for b in re.split(r"\n\n+", plan(df)) if "clusterlens_run_" in b and "ReadSchema" in b]
+    return " ".join(re.search(r"ReadSchema: (.*)", b).group(1) for b in blocks)
+
+
+def test_many_prices_of_one_sku_move_no_usage(spark, settings):
+    settings(spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1")
+    from datetime import datetime, timedelta
+
+    prices = []
+    for n in range(5_000):
+        row = price(None, None, "2")
+        row["price_start_time"] = datetime(2026, 11, 1) + timedelta(minutes=8 * n)
+        row["price_end_time"] = row["price_start_time"] + timedelta(minutes=8)
+        prices.append(row)
+    t = tables(spark, usage=[used("c", "3"), used("c", "4", begun="11-02")], prices=prices, small=frozenset()).measured(CFG)
+    assert t.small == {"node_types", "daily_prices"}
+    priced = priced_usage(t, CFG)
+    assert "Exchange hashpartitioning" not in plan(priced, "simple")
+    assert priced.agg(F.sum("cost_usd")).first()[0] == 14
+
+
+@pytest.mark.parametrize("together", ["true", "false"])
+def test_hot_keys_are_split_whatever_the_option(spark, settings, together):
+    force_skew_handling(settings)
+    settings(spark__sql__requireAllClusterKeysForCoPartition=together)
+    rows = hot(spark, 120_000, 500)
+    joined = splittable_join(rows, rows.groupBy("key").agg(F.sum("id").alias("total")), "key", "left")
+    joined.collect()
+    assert "skew=true" in plan(joined, "simple")
+    t = tables(spark)
+    version = F.when(F.col("id") % 3 == 0, "14.3.x").otherwise(F.concat(F.col("key"), F.lit(".1.x")))
+    made = rows.select(F.col("text").alias("cluster_id"), version.alias("dbr_version"), F.lit("2026-11-20").cast("timestamp").alias("change_time"))
+    clusters = made.select([F.col(f.name) if f.name in made.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.CLUSTERS])
+    report = executive_summary(InputTables(clusters, t.node_types, t.node_timeline, t.usage, t.list_prices, t.lts), CFG)
+    report.collect()
+    assert "skew=true" in plan(report, "simple")

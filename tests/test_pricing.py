@@ -9,7 +9,9 @@ from clusterlens.sources import tables as sources
 from clusterlens.sources.tables import fits_broadcast
 from tests.frames import CFG, SMALL, at, price, tables, used, values
 
-BOTH_PATHS = pytest.mark.parametrize("small", [SMALL, frozenset()], ids=["broadcast", "by-day"])
+BOTH_PATHS = pytest.mark.parametrize(
+    "small", [SMALL, frozenset(), frozenset({"daily_prices"})], ids=["broadcast", "shuffled", "daily"]
+)
 
 
 @BOTH_PATHS
@@ -114,3 +116,36 @@ def test_dimensions_are_measured(spark, monkeypatch):
     monkeypatch.setattr(sources, "BROADCAST_MAX_ROWS", 9)
     monkeypatch.setattr(sources, "BROADCAST_MAX_KEY_BYTES", 5)
     assert t.measured().small == frozenset()
+
+
+def test_only_active_prices_are_measured(spark, monkeypatch):
+    monkeypatch.setattr(sources, "BROADCAST_MAX_ROWS_PER_KEY", 2)
+    ended = [price("01-01", f"02-{n:02}") for n in range(2, 20)]
+    t = tables(spark, prices=[*ended, price("03-01", None)], small=frozenset())
+    assert t.measured().small == {"node_types"}
+    assert t.measured(CFG).small == SMALL
+    many = [price(f"11-{n:02}", f"11-{n + 1:02}") for n in range(2, 20)]
+    assert tables(spark, prices=many, small=frozenset()).measured(CFG).small == {"node_types", "daily_prices"}
+
+
+def test_overlaps_against_brute_force(spark):
+    pick = random.Random(11)
+    starts = pick.sample(range(600), 120)
+    prices = []
+    for n in starts:
+        row = price(None, None, "1", pick.choice("ST"))
+        row["price_start_time"] = datetime(2025, 1, 1) + timedelta(days=n)
+        row["price_end_time"] = pick.choice([None] + [row["price_start_time"] + timedelta(days=d) for d in (0, 3, 40, 90)] * 9)
+        prices.append(row)
+    valid = [p for p in prices if p["price_end_time"] is None or p["price_start_time"] < p["price_end_time"]]
+    expected = sorted(
+        (p["sku_name"], p["price_start_time"])
+        for p in valid
+        if any(
+            q["sku_name"] == p["sku_name"] and q["price_start_time"] < p["price_start_time"]
+            and (q["price_end_time"] is None or p["price_start_time"] < q["price_end_time"])
+            for q in valid
+        )
+    )
+    found = values(overlapping_prices(tables(spark, prices=prices).list_prices), "sku_name", "price_start_time")
+    assert sorted(found) == expected

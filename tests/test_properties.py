@@ -18,7 +18,8 @@ def t(spark):
 
 @pytest.fixture(scope="module")
 def reports(t):
-    return all_reports(t, CONFIG)
+    with all_reports(t, CONFIG) as found:
+        yield found
 
 
 def total(df, column="total_cost_usd"):

@@ -1,9 +1,10 @@
 from dataclasses import replace
 from datetime import timedelta
+from decimal import Decimal
 
 import pytest
 
-from clusterlens.plans.full_run import all_reports, materialize
+from clusterlens.plans.full_run import all_reports
 from clusterlens.plans.runtime import outdated_runtime_detail
 from clusterlens.sources.sink import save_report
 from clusterlens.sources.tables import InputTables
@@ -23,8 +24,11 @@ def test_history_keeps_one_snapshot_per_date(spark, schema):
     t = tables(spark, clusters=[cluster("a"), cluster("b")], usage=[used("a", "5")], samples=[sample("a", cpu=90.0)])
     later = replace(OUT, as_of=OUT.as_of + timedelta(days=1))
     for cfg in (OUT, later, OUT):
-        for name, report in all_reports(t, cfg, ordered=False).items():
-            assert save_report(report, name, cfg) == f"`spark_catalog`.`history`.`{name}`"
+        with all_reports(t, cfg, ordered=False) as reports:
+            assert spark.sql("SHOW TABLES IN history LIKE 'clusterlens_run_*'").count() == 1
+            for name, report in reports.items():
+                assert save_report(report, name, cfg) == f"`spark_catalog`.`history`.`{name}`"
+        assert spark.sql("SHOW TABLES IN history LIKE 'clusterlens_run_*'").count() == 0
     detail = spark.table("history.outdated_runtime_detail")
     assert detail.count() == 4
     assert detail.columns[-1] == "as_of"
@@ -32,7 +36,9 @@ def test_history_keeps_one_snapshot_per_date(spark, schema):
         (c, d) for c in "ab" for d in (OUT.as_of, later.as_of)
     ]
     assert spark.table("history.executive_summary").count() == 8
-    assert "Total Cost (USD)" in spark.table("history.executive_summary").columns
+    assert spark.table("history.executive_summary").columns == [
+        "issue_category", "affected_clusters", "total_dbus", "total_cost_usd", "recommendation", "as_of"
+    ]
     save_report(outdated_runtime_detail(tables(spark), later), "outdated_runtime_detail", later)
     assert values(spark.table("history.outdated_runtime_detail").distinct().orderBy("cluster_id"), "cluster_id", "as_of") == [
         ("a", OUT.as_of),
@@ -60,6 +66,23 @@ def test_catalog_tables(spark, schema):
         InputTables.from_catalog(spark, {"nonsense": "x"})
 
 
-def test_checkpoints_go_to_the_folder_of_the_session(spark):
-    assert materialize(spark.range(5)).count() == 5
-    assert spark.sparkContext.getCheckpointDir()
+def test_other_types_are_refused(spark, schema):
+    report = spark.range(1).selectExpr("CAST(1.5 AS DECIMAL(10,2)) AS `Total (USD)`")
+    save_report(report, "typed", OUT)
+    save_report(report, "typed", OUT)
+    with pytest.raises(ValueError, match="differ"):
+        save_report(report.selectExpr("CAST(`Total (USD)` AS DECIMAL(12,2)) AS `Total (USD)`"), "typed", OUT)
+    assert values(spark.table("history.typed"), "total_usd") == [(Decimal("1.50"),)]
+
+
+def test_frames_are_measured(spark):
+    made = tables(spark)
+    names = ("clusters", "node_types", "node_timeline", "usage", "list_prices")
+    t = InputTables.from_frames(**{name: getattr(made, name) for name in names})
+    assert t.small == SMALL and t.lts.count() == 6
+
+
+def test_the_table_of_a_failed_run_is_dropped(spark, schema):
+    with pytest.raises(RuntimeError), all_reports(tables(spark, clusters=[cluster("a")]), OUT):
+        raise RuntimeError
+    assert spark.sql("SHOW TABLES IN history LIKE 'clusterlens_run_*'").count() == 0
