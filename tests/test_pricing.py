@@ -3,10 +3,11 @@ from datetime import datetime, timedelta
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from clusterlens.operators.pricing import cluster_costs, overlapping_prices, priced_usage
 from clusterlens.sources import tables as sources
-from clusterlens.sources.tables import fits_broadcast
+from clusterlens.sources.tables import InputTables, fits_broadcast
 from tests.frames import CFG, SMALL, at, price, tables, used, values
 
 BOTH_PATHS = pytest.mark.parametrize(
@@ -149,3 +150,17 @@ def test_overlaps_against_brute_force(spark):
     )
     found = values(overlapping_prices(tables(spark, prices=prices).list_prices), "sku_name", "price_start_time")
     assert sorted(found) == expected
+
+
+@BOTH_PATHS
+def test_long_decimals_keep_the_engine_scale(spark, small):
+    """decimal(38,18) times decimal(38,18) has six decimals; quantities keep all of theirs."""
+    wide = "decimal(38,18)"
+    t = tables(spark, usage=[used("c", "1"), used("c", "2")], prices=[price("01-01", None, "0.15")], small=small)
+    tiny, twice = (F.lit(text).cast(wide) for text in ("0.000000123456789", "0.000000246913578"))
+    usage = t.usage.withColumn("usage_quantity", F.when(F.col("usage_quantity") == 1, tiny).otherwise(twice))
+    prices = t.list_prices.withColumn("pricing", F.struct(F.col("pricing.default").cast(wide).alias("default")))
+    t = InputTables(t.clusters, t.node_types, t.node_timeline, usage, prices, t.lts, t.small)
+    row = cluster_costs(t, CFG).first()
+    assert row.total_dbus == Decimal("0.000000370370367000")
+    assert row.total_cost_usd == 0 and cluster_costs(t, CFG).schema["total_cost_usd"].dataType.scale == 6
