@@ -16,6 +16,7 @@ no piece is spelled in byte pieces, at a penalty. Scoring follows the piece scor
 
 from __future__ import annotations
 
+import gc
 import heapq
 import struct
 from array import array
@@ -35,7 +36,7 @@ N_BEST = 2
 SPACE = "▁"
 UNKNOWN_PENALTY = 10
 # A generation of a worker's caches has at most so many words; results do not depend on it.
-MAX_CACHED_WORDS = 250_000
+MAX_CACHED_WORDS = 120_000
 
 # No piece has U+2581 after another character (`Vocabulary` checks that), so a text may be cut before every run of it.
 _WORD = regex.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -119,7 +120,8 @@ class Vocabulary:
         back: list[tuple[int, bytes]] = [(0, b"")] * (size + 1)
         for start in range(size):
             best, other = first[start], second[start]
-            if part[start] not in self.pieces:
+            step = root.get(part[start])
+            if step is None or step[1] is None:
                 total, end = best + self.unknown, start + 1
                 if total > first[end]:
                     second[end] = max(first[end], other + self.unknown)
@@ -189,6 +191,8 @@ class Vocabulary:
 
     def _best(self, word: str) -> Best:
         """Best score and ids of a word, and the loss of its second best segmentation."""
+        if word[1:].isalpha():
+            return self.forward(word)
         parts = self.parts(word)
         if len(parts) == 1:
             return self.forward(word)
@@ -277,40 +281,54 @@ def surfaces(path: str) -> Surfaces:
     return Surfaces(sentencepiece.SentencePieceProcessor(model_file=path))
 
 
-_SCHEMA = "doc_id bigint, text_hash bigint, rank int, score bigint, ids binary"
+_SCHEMA = "doc_id bigint, text_hash bigint, rank int, score bigint, ids binary, read_back string"
 _ARROW = pa.schema(
-    [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("rank", pa.int32()), ("score", pa.int64()), ("ids", pa.binary())]
+    [
+        ("doc_id", pa.int64()),
+        ("text_hash", pa.int64()),
+        ("rank", pa.int32()),
+        ("score", pa.int64()),
+        ("ids", pa.binary()),
+        ("read_back", pa.string()),
+    ]
 )
 _BATCH_BYTES = 4 * 1024 * 1024
 
 
-def encode(docs: DataFrame, *, n: int = N_BEST, path: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, *, n: int = N_BEST, path: str | None = None, read_back: bool = False) -> DataFrame:
     """The ``n`` best segmentations of every whole text: ``doc_id``, ``text_hash``, ``rank`` (from 1), ``score`` and
     ``ids`` (little-endian unsigned 32-bit).
 
     A NULL text counts as empty; an empty text has one segmentation, without ids. Repeated rows and NULL ids are encoded
-    like any other; other columns play no part. Segmentations of equal score come in a fixed order.
+    like any other; other columns play no part. Segmentations of equal score come in a fixed order. ``read_back`` adds
+    a column of that name with the text that ``decode`` would give, without a second Python worker.
     """
     source = path or public_tokenizers.path(MODEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary(source)
+        known, back = vocabulary(source), surfaces(source)
         rows: list[tuple] = []
         held = 0
-        for batch in batches:
-            for doc_id, text_hash, text in zip(*batch.columns, strict=True):
-                for rank, (score, ids) in enumerate(known.encode(text.as_py(), n), start=1):
-                    rows.append((doc_id.as_py(), text_hash.as_py(), rank, score, ids))
-                    held += len(ids)
-                if held > _BATCH_BYTES:
-                    yield _batch(rows)
-                    rows, held = [], 0
-        if rows:
-            yield _batch(rows)
+        gc.disable()  # nothing here makes cycles, and looking for them in the cache takes time
+        try:
+            for batch in batches:
+                for doc_id, text_hash, text in zip(*batch.columns, strict=True):
+                    for rank, (score, ids) in enumerate(known.encode(text.as_py(), n), start=1):
+                        text_again = back.decode(ids) if read_back else None
+                        rows.append((doc_id.as_py(), text_hash.as_py(), rank, score, ids, text_again))
+                        held += len(ids)
+                    if held > _BATCH_BYTES:
+                        yield _batch(rows)
+                        rows, held = [], 0
+            if rows:
+                yield _batch(rows)
+        finally:
+            gc.enable()
 
     body = F.coalesce(F.col("text"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.alias("text"))
-    return texts.mapInArrow(run, _SCHEMA)
+    found = texts.mapInArrow(run, _SCHEMA)
+    return found if read_back else found.drop("read_back")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
