@@ -36,7 +36,7 @@ N_BEST = 2
 SPACE = "▁"
 UNKNOWN_PENALTY = 10
 # A generation of a worker's caches has at most so many words; results do not depend on it.
-MAX_CACHED_WORDS = 120_000
+MAX_CACHED_WORDS = 300_000
 
 # No piece has U+2581 after another character (`Vocabulary` checks that), so a text may be cut before every run of it.
 _WORD = regex.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
