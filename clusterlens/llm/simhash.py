@@ -9,8 +9,10 @@ the smallest one loses no link and stays linear.
 
 ``near_classes`` works at a Jaccard similarity of word shingles, where the radius is far too wide for whole blocks to be
 certain. It takes a longer fingerprint, draws many keys from it, and links those whose Hamming distance fits the
-similarity. Within a key every fingerprint is compared with the first one and with its neighbour in order, so the
-candidates too stay linear in the size of a group; a large group is connected through its many keys.
+similarity. Within a key no such link is lost: a search goes from fingerprint to fingerprint and compares each with all
+that it has not reached yet. A group of near copies is reached in a few steps, linear in its size; holders that have
+nothing to do with each other are all compared. Keys held by more than a task should compare are first reduced by the
+triangle inequality and then dealt out in cells of two blocks, so that any two holders meet in a cell.
 
 Equal fingerprints become one node first, so exact copies never form pairs.
 """
@@ -39,6 +41,8 @@ PAIRED_HOLDERS = 16
 WORDS, SIMILARITY = 5, 0.8
 # Of the longer fingerprint: 64-bit words, bits in a key, shuffles of the bits from which keys are cut.
 LONG_WORDS, KEY_BITS, SHUFFLES = 8, 24, 6
+# Holders of a key that one task compares; keys with more are dealt out in cells of two blocks of about this size.
+COMPARED_HOLDERS = 4096
 
 _CHUNK = 8192
 
@@ -193,29 +197,120 @@ def _key_rows(nodes: DataFrame, words: int) -> DataFrame:
     return nodes.select("node", "rest").mapInArrow(run, "key bigint, node bigint")
 
 
-def _candidates(keys: DataFrame, most: int) -> DataFrame:
-    """Pairs of nodes under one key: each with the first, and each with the one before it, in the order of nodes."""
+def _shared(keys: DataFrame) -> DataFrame:
+    """The rows whose key is held by more than one node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = first = last = None
+        key = node = None
+        known = False  # whether the open row has been found to share its key
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if key is not None:  # the open key of the batch before goes on
-                keys, nodes = np.concatenate([[key, key], keys]), np.concatenate([[first, last], nodes])
-            fresh = np.concatenate([[True], keys[1:] != keys[:-1]])
-            starts = np.maximum.accumulate(np.where(fresh, np.arange(len(keys)), 0))
-            a = np.concatenate([nodes[starts[~fresh]], nodes[:-1][~fresh[1:]]])
-            b = np.concatenate([nodes[~fresh], nodes[1:][~fresh[1:]]])
-            key, first, last = keys[-1], nodes[starts[-1]], nodes[-1]
-            near = (a != b) & (np.bitwise_count((a ^ b).view(np.uint64)) <= most)
-            yield pa.RecordBatch.from_arrays([pa.array(a[near]), pa.array(b[near])], names=["a", "b"])
-
-    ordered = keys.repartition("key").sortWithinPartitions("key", "node")
+            if key is not None:
+                keys, nodes = np.concatenate([[key], keys]), np.concatenate([[node], nodes])
+            same = keys[1:] == keys[:-1]
+            kept = np.concatenate([[known], same]) | np.concatenate([same, [False]])
+            key, node, known = keys[-1], nodes[-1], bool(kept[-1])
+            kept[-1] = False  # the last row stays open, as the next batch may go on with its key
+            yield pa.RecordBatch.from_arrays([pa.array(keys[kept]), pa.array(nodes[kept])], names=["key", "node"])
+        if known:
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([node], pa.int64())], names=["key", "node"])
+
+    return keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key bigint, node bigint")
+
+
+def _forest(bits: np.ndarray, most: int) -> np.ndarray:
+    """Pairs of rows of ``bits`` (64-bit words) within ``most`` bits that connect all rows so close."""
+    pool, at = np.ascontiguousarray(bits.T), np.arange(len(bits))
+    pairs: list[np.ndarray] = []
+    reached: list[int] = []
+    while len(at):
+        if not reached:
+            reached, pool, at = [int(at[0])], pool[:, 1:], at[1:]
+        one = reached.pop()
+        near = np.bitwise_count(pool ^ bits[one][:, None]).sum(axis=0, dtype=np.uint32) <= most
+        if near.any():
+            found = at[near]
+            pairs.append(np.stack([np.full(len(found), one), found], axis=1))
+            reached += found.tolist()
+            pool, at = pool[:, ~near], at[~near]
+    return np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)
+
+
+def _compared(rows: DataFrame, words: int, most: int) -> DataFrame:
+    """Links between nodes under one ``key`` that connect all those within ``most`` bits of their whole fingerprints."""
+
+    def links(bits: np.ndarray) -> pa.RecordBatch:
+        ends = bits[:, 0].view(np.int64)[_forest(bits, most)]
+        return pa.RecordBatch.from_arrays([pa.array(ends.max(axis=1)), pa.array(ends.min(axis=1))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, np.empty((0, words), np.uint64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rest = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, words - 1)
+            bits = np.concatenate([batch.column(1).to_numpy()[:, None], rest], axis=1).view(np.uint64)
+            keys = np.concatenate([np.full(len(held), key, np.int64), batch.column(0).to_numpy()]) if len(held) else batch.column(0).to_numpy()
+            bits = np.concatenate([held, bits])
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            found = [links(bits[start:end]) for start, end in zip(starts[:-1], starts[1:], strict=True)]
+            yield from pa.Table.from_batches(found).combine_chunks().to_batches() if found else []
+            key, held = keys[-1], bits[starts[-1] :]
+        if len(held):
+            yield links(held)
+
+    ordered = rows.select("key", "node", "rest").repartition("key").sortWithinPartitions("key", "node")
     return ordered.mapInArrow(run, "a bigint, b bigint")
 
 
+def _apart(rest: Column, other: Column, other_rest: Column, words: int) -> Column:
+    """Hamming distance of whole fingerprints: of ``node`` and ``rest``, and of the others."""
+    apart = _distance(F.col("node"), other)
+    for i in range(words - 1):
+        apart = apart + _distance(rest[i], other_rest[i])
+    return apart
+
+
+def _in_cells(members: DataFrame, words: int, most: int) -> DataFrame:
+    """Like ``_compared``, for keys with very many holders: no task sees more than about two blocks of a key.
+
+    All holders are compared with one of their key, the pivot. A holder x of distance e from it can have a link that its
+    link to the pivot does not replace only to a y farther than ``most`` from the pivot, and y is at most e + ``most``
+    away from it. Holders with e + ``most`` below the nearest such y are settled; the others meet pairwise in cells.
+    """
+    pivots = members.groupBy("key").agg(F.min(F.struct("node", "rest")).alias("pivot"))
+    placed = spread_join(members, pivots, "key")
+    apart = _apart(F.col("rest"), F.col("pivot.node"), F.col("pivot.rest"), words)
+    placed = settle(placed.select("key", "node", "rest", F.col("pivot.node").alias("_pivot"), apart.alias("_apart")))
+    star = placed.where((F.col("_apart") <= most) & (F.col("node") != F.col("_pivot")))
+    star = star.select(F.greatest("node", "_pivot").alias("a"), F.least("node", "_pivot").alias("b"))
+
+    beyond = placed.where(F.col("_apart") > most).groupBy("key").agg(F.min("_apart").alias("_nearest"))
+    left = spread_join(placed, beyond, "key").where(F.col("_apart") >= F.col("_nearest") - most)
+    left = settle(left.select("key", "node", "rest"))
+    blocks = left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(COMPARED_HOLDERS)).cast("int").alias("_blocks"))
+    mine = F.pmod(F.xxhash64("node"), F.col("_blocks").cast("bigint")).cast("int")
+    dealt = spread_join(left, blocks, "key").withColumn("_mine", mine)
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    # two cells that share a hash are compared as one
+    cell = F.xxhash64("key", F.least("_mine", "_other"), F.greatest("_mine", "_other"))
+    return star.unionByName(_compared(dealt.select(cell.alias("key"), "node", "rest"), words, most))
+
+
+def _near_links(nodes: DataFrame, words: int, most: int) -> DataFrame:
+    """Edges within ``most`` bits that connect all ``node``, ``rest`` so close that share a key."""
+    shared = settle(_shared(_key_rows(nodes, words)))
+    held = settle(shared.groupBy("key").agg(F.count(F.lit(1)).alias("holders")))
+    members = spread_join(shared, held, "key").join(nodes.select("node", "rest"), "node")
+    links = _compared(members.where(F.col("holders") <= COMPARED_HOLDERS), words, most)
+    if not held.where(F.col("holders") > COMPARED_HOLDERS).isEmpty():
+        many = settle(members.where(F.col("holders") > COMPARED_HOLDERS).select("key", "node", "rest"))
+        links = links.unionByName(_in_cells(many, words, most))
+    return links.distinct()
+
+
 def near_classes(
     docs: DataFrame,
     *,
@@ -228,22 +323,12 @@ def near_classes(
     """Like ``classes``, for shingles of ``size`` words and a Jaccard similarity of about ``similarity`` or more.
 
     The similarity is read off the Hamming distance of ``64 * words`` bits, whose standard error at 0.8 is 0.04 for 512
-    bits. A pair at 0.8 shares one of the 126 keys with probability 0.92, at 0.85 with 0.99. Fingerprints that agree in
-    their first 64 bits are one node.
+    bits. A pair at 0.8 shares one of the 126 keys with probability 0.92, at 0.85 with 0.99, and all that share a key are
+    linked, however many hold it. Fingerprints that agree in their first 64 bits are one node.
     """
     rows = settle(fingerprints(docs, size=size, words=words, doc_id=doc_id, text=text))
     nodes = settle(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("rest").alias("rest")))
-    # the first word alone rejects nearly all chance meetings: random words differ in 32 bits, spread 4
-    likely = allowed_distance(similarity, 64) + 6
-    pairs = _candidates(_key_rows(nodes, words), likely)
-    pairs = settle(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    left = nodes.select(F.col("node").alias("a"), F.col("rest").alias("_left"))
-    right = nodes.select(F.col("node").alias("b"), F.col("rest").alias("_right"))
-    both = pairs.join(left, "a").join(right, "b")
-    apart = _distance(F.col("a"), F.col("b"))
-    for i in range(words - 1):
-        apart = apart + _distance(F.col("_left")[i], F.col("_right")[i])
-    edges = both.where(apart <= allowed_distance(similarity, 64 * words)).select("a", "b")
+    edges = _near_links(nodes, words, allowed_distance(similarity, 64 * words))
     return _with_component(rows, nodes.drop("rest"), edges)
 
 

@@ -129,3 +129,32 @@ def test_rows_that_share_an_id_are_told_apart(spark):
     rows = [(1, "a b c d e f g h"), (2, "A b c d e f g h"), (2, "something quite different from all the others"), (None, "a b c d e f g h"), (4, None)]
     kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, kept), key=str) == sorted([rows[0], rows[2], rows[3], rows[4]], key=str)
+
+
+def test_a_key_with_unrelated_holders_links_all_that_are_near(spark, monkeypatch):
+    """All under one key: near copies that unrelated and half-similar texts sort between; compared whole and in cells."""
+    pick = random.Random(8)
+    words = [f"w{n}" for n in range(5000)]
+    template = [pick.choice(words) for _ in range(200)]
+    rows = []
+    for n in range(100):  # the first 50 are of similarity 0.5 to each other, the last 50 of none
+        base = [*template, *(pick.choice(words) for _ in range(100))] if n < 50 else [pick.choice(words) for _ in range(300)]
+        copy = base.copy()
+        copy[pick.randrange(300)] = "changed"
+        rows += [(2 * n, " ".join(base)), (2 * n + 1, " ".join(copy))]
+    hot = [pick.choice(words) for _ in range(300)]
+    rows += [(1000 + n, " ".join([*hot[:n], "changed", *hot[n + 1 :]])) for n in range(150)]
+    monkeypatch.setattr(simhash, "_key_rows", lambda nodes, words: nodes.selectExpr("7L AS key", "node"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {r.doc_id: (r.node, *r.rest) for r in simhash.fingerprints(docs, size=5, words=8, doc_id="doc_id", text="text").collect()}
+    most = simhash.allowed_distance(0.8, 512)
+    wanted = Union(prints)
+    for a in prints:
+        for b in prints:
+            if a < b and sum((x ^ y).__and__(2**64 - 1).bit_count() for x, y in zip(prints[a], prints[b], strict=True)) <= most:
+                wanted.join(a, b)
+    expected = {n: wanted.find(n) for n in prints}
+    assert sum(expected[2 * n] == expected[2 * n + 1] for n in range(100)) == 100
+    for holders in (simhash.COMPARED_HOLDERS if hasattr(simhash, "COMPARED_HOLDERS") else 0, 16):
+        monkeypatch.setattr(simhash, "COMPARED_HOLDERS", holders, raising=False)
+        assert {r.doc_id: r.component_id for r in simhash.near_classes(docs).collect()} == expected
