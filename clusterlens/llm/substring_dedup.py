@@ -1,12 +1,14 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of ``RUN`` consecutive sentences is hashed. Hashes meet in one aggregation over the whole corpus; of runs that
-occur more than once, all but the first are repeats, and the sentences they cover are removed. Longer repeated passages
-are unions of overlapping runs. The first occurrence is the one with the smallest document id, and the earliest there.
+Runs of consecutive sentences are hashed: from each sentence on, and up to each sentence, the shortest run of at least
+``RUN`` sentences and ``MIN_WORDS`` words. Shorter runs are left alone: short phrases recur by chance. Hashes meet in one
+aggregation over the whole corpus; of runs that occur more than once, all but the first are repeats, and the sentences
+they cover are removed. Longer repeated passages are unions of overlapping runs. The first occurrence is the one with the
+smallest document id, and the earliest there.
 
-Sentences end at ``.``, ``!`` or ``?`` before white space, and at line ends. A sentence of very many words is cut after
-every ``LONGEST`` words, so that a passage of one endless sentence is a run as well. Runs of fewer than ``MIN_WORDS`` words
-are left alone: short phrases recur by chance.
+Sentences end at ``.``, ``!`` or ``?`` before white space, at their full-width forms, and at line ends. A sentence of very
+many words is cut after every ``LONGEST`` words, so that a passage of one endless sentence is a run as well. In scripts
+without spaces two characters count as a word.
 
 Occurrences of a run are combined before they are shuffled, the join that finds the repeats can split a hot run, and no
 run gathers its occurrences anywhere. Texts move only if the list of cuts is too long to broadcast.
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -27,8 +30,34 @@ from clusterlens.llm.common import fits_broadcast, settle, spread_join
 RUN, LONGEST, MIN_WORDS = 2, 16, 10
 _CUT_BYTES = 160
 
-_BREAK = re.compile(r"(?<=[.!?])\s+|\n\s*")
-_TOKEN = re.compile(r"\S+")
+# Thai, Lao, Burmese, Khmer, kana and Han
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_BREAK = re.compile(r"(?<=[.!?])\s+|\n\s*|(?<=[。！？｡])(?![。！？｡」』”’）])\s*")
+_TOKEN = re.compile(rf"[{_UNSPACED}]|[^\s{_UNSPACED}]+")
+_CHARACTER = re.compile(f"[{_UNSPACED}]")
+
+
+def _half_words(text: str) -> int:
+    """Twice the number of words, where a character of a script without spaces is half a word."""
+    if text.isascii() or not _CHARACTER.search(text):
+        return 2 * len(text.encode().split())
+    return sum(1 if _CHARACTER.match(token) else 2 for token in _TOKEN.findall(text))
+
+
+def _cuts(text: str, start: int, end: int) -> list[int]:
+    """Where a sentence of more than ``LONGEST`` words is cut."""
+    tokens = [(m.start(), m.group()) for m in _TOKEN.finditer(text, start, end)]
+    spaced = text.isascii() or not _CHARACTER.search(text, start, end)
+    sizes = [2] * len(tokens) if spaced else [1 if _CHARACTER.match(token) else 2 for _, token in tokens]
+    if sum(sizes) <= 2 * LONGEST:
+        return []
+    cuts, since = [], 0
+    for (at, _), size in zip(tokens, sizes, strict=True):
+        if since + size > 2 * LONGEST:
+            cuts.append(at)
+            since = 0
+        since += size
+    return cuts
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -38,8 +67,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
     start = 0
     for end in [*ends, len(text)]:
         if end - start > 2 * LONGEST:
-            starts = [m.start() for m in _TOKEN.finditer(text, start, end)]
-            for cut in starts[LONGEST::LONGEST]:
+            for cut in _cuts(text, start, end):
                 spans.append((start, cut))
                 start = cut
         if end > start:
@@ -48,27 +76,46 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return spans
 
 
-def run_hashes(text: str, run: int = RUN) -> list[int | None]:
-    """A signed 64-bit hash of the run that starts at each sentence, after lower-casing A-Z and joining words by single
-    spaces; None for runs that are too short to count."""
-    words = [text[a:b].encode().lower().split() for a, b in sentences(text)]
-    joined = [b" ".join(w) for w in words]
-    counts = [len(w) for w in words]
-    hashes: list[int | None] = []
-    for at in range(len(words) - run + 1):
-        if sum(counts[at : at + run]) < MIN_WORDS:
-            hashes.append(None)
-        else:
-            value = xxhash.xxh64_intdigest(b" ".join(joined[at : at + run]))
-            hashes.append(value - (1 << 64) if value >> 63 else value)
+def _runs(sizes: list[int], run: int) -> list[tuple[int, int]]:
+    """The first and the end of every shortest run from or up to a sentence, in order; ``sizes`` in half words."""
+    sums = [0, *accumulate(sizes)]
+    found = set()
+    end = 0
+    for start in range(len(sizes)):
+        end = max(end, start + run)
+        while end <= len(sizes) and sums[end] - sums[start] < 2 * MIN_WORDS:
+            end += 1
+        if end > len(sizes):
+            break
+        found.add((start, end))
+    start = len(sizes)
+    for end in range(len(sizes), 0, -1):
+        start = min(start, end - run)
+        while start >= 0 and sums[end] - sums[start] < 2 * MIN_WORDS:
+            start -= 1
+        if start < 0:
+            break
+        found.add((start, end))
+    return sorted(found)
+
+
+def run_hashes(text: str, run: int = RUN) -> list[int]:
+    """A signed 64-bit hash of each run, after lower-casing A-Z and joining words by single spaces."""
+    pieces = [text[a:b] for a, b in sentences(text)]
+    joined = [b" ".join(piece.encode().lower().split()) for piece in pieces]
+    hashes: list[int] = []
+    for start, end in _runs([_half_words(piece) for piece in pieces], run):
+        value = xxhash.xxh64_intdigest(b" ".join(joined[start:end]))
+        hashes.append(value - (1 << 64) if value >> 63 else value)
     return hashes
 
 
 def without(text: str, repeated: list[int], run: int = RUN) -> tuple[str, int]:
-    """The text without the sentences under the runs that start at these places, and how many sentences that takes."""
-    gone = {at + i for at in repeated for i in range(run)}
+    """The text without the sentences under these of its runs, and how many sentences that takes."""
     spans = sentences(text)
-    return "".join([text[a:b] for i, (a, b) in enumerate(spans) if i not in gone]), sum(i < len(spans) for i in gone)
+    runs = _runs([_half_words(text[a:b]) for a, b in spans], run)
+    gone = {i for at in repeated for i in range(*runs[at])}
+    return "".join([text[a:b] for i, (a, b) in enumerate(spans) if i not in gone]), len(gone)
 
 
 def _text_hash(text: str) -> Column:
@@ -76,7 +123,7 @@ def _text_hash(text: str) -> Column:
 
 
 def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``cut_id``, ``cut_hash`` (of the text) and ``at``: the places of the non-first runs of each document that has any.
+    """``cut_id``, ``cut_hash`` (of the text) and ``at``: the numbers of the non-first runs of each document that has any.
 
     Rows that repeat an id and its text are one document here. NULL ids come after all others. NULL and empty texts have
     no runs.
@@ -92,7 +139,7 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> D
         F.col(f"`{doc_id}`").cast("bigint").alias("cut_id"), _text_hash(text).alias("cut_hash"), F.col(f"`{text}`").alias("body")
     ).where(F.octet_length("body") > 0)
     hashed = settle(texts.mapInArrow(run, "cut_id bigint, cut_hash bigint, runs array<bigint>"))
-    runs = hashed.select("cut_id", "cut_hash", F.posexplode("runs").alias("at", "run")).where(F.col("run").isNotNull())
+    runs = hashed.select("cut_id", "cut_hash", F.posexplode("runs").alias("at", "run"))
     place = F.struct(F.col("cut_id").isNull().alias("last"), "cut_id", "cut_hash", "at")
     first = runs.groupBy("run").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "first")
     later = spread_join(runs, first, "run").where(place != F.col("first"))

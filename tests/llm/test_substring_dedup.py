@@ -70,3 +70,29 @@ def test_unusual_rows(spark):
     assert {(2, ""), (None, ""), (3, None), (4, ""), (5, "short. short.")} <= set(found)
     assert [len(t) for d, t in found if d == 6] == [len("la la la la la. ")]
     assert substring_dedup.drop_repeats(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 4])
+def test_a_passage_of_short_lines_is_found(spark, size):
+    lines = "\n".join(" ".join(f"v{n}x{k}" for k in range(size)) for n in range(80 // size))
+    rows = [(n, f"Opening words of {n}.\n{lines}\nClosing words of {n}.") for n in range(3)]
+    found = substring_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in found} == {n: rows[0][1] if n == 0 else f"Opening words of {n}.\nClosing words of {n}." for n in range(3)}
+
+
+def test_no_short_sentence_stays_behind_in_an_exact_repeat(spark):
+    pick = random.Random(4)
+    lengths = [14, 3, 2, 4, 15, 2, 1, 3, 12, 1, 1]
+    passage = " ".join(" ".join(f"p{n}q{pick.randrange(10**6)}" for _ in range(k)) + "." for n, k in enumerate(lengths))
+    rows = [(1, passage), (2, f"Private words. {passage} Private end.")]
+    found = substring_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in found} == {1: passage, 2: "Private words. Private end."}
+
+
+def test_scripts_without_spaces(spark):
+    pick = random.Random(6)
+    han = ["".join(chr(0x4E00 + pick.randrange(8000)) for _ in range(k)) + "。" for k in (15, 12, 9, 14, 40, 11)]
+    passage = "".join(han)
+    rows = [(1, passage), (2, "我的話。" + passage + "再見。"), (3, "短句子在此。短句子在此。")]
+    found = substring_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in found} == {1: passage, 2: "我的話。再見。", 3: rows[2][1]}
