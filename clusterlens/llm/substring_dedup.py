@@ -6,9 +6,10 @@ aggregation over the whole corpus; of runs that occur more than once, all but th
 they cover are removed. Longer repeated passages are unions of overlapping runs. The first occurrence is the one with the
 smallest document id, and the earliest there.
 
-Sentences end at ``.``, ``!`` or ``?`` before white space, at their full-width forms, and at line ends. A sentence of very
-many words is cut after every ``LONGEST`` words, so that a passage of one endless sentence is a run as well. In scripts
-without spaces two characters count as a word.
+Sentences end at ``.``, ``!`` or ``?`` before white space, at their full-width forms, and at line ends. A sentence of more
+than ``LONGEST`` words is cut where a hash of the last two words says so, so that the same words are cut at the same
+places whatever stands before them, and ``LONGEST`` words after the last cut if none came. In scripts without spaces two
+characters count as a word.
 
 Occurrences of a run are combined before they are shuffled, the join that finds the repeats can split a hot run, and no
 run gathers its occurrences anywhere. Texts move only if the list of cuts is too long to broadcast.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import accumulate
+from zlib import crc32
 
 import pyarrow as pa
 import xxhash
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from clusterlens.llm.common import fits_broadcast, settle, spread_join
 
 RUN, LONGEST, MIN_WORDS = 2, 16, 10
+# A long sentence is cut after one in so many words, or in twice as many characters of a script without spaces.
+CUT_EVERY = 8
 _CUT_BYTES = 160
 
 # Thai, Lao, Burmese, Khmer, kana and Han
@@ -45,18 +49,21 @@ def _half_words(text: str) -> int:
 
 
 def _cuts(text: str, start: int, end: int) -> list[int]:
-    """Where a sentence of more than ``LONGEST`` words is cut."""
+    """Where a sentence of more than ``LONGEST`` words is cut: at tokens, by the two before."""
     tokens = [(m.start(), m.group()) for m in _TOKEN.finditer(text, start, end)]
     spaced = text.isascii() or not _CHARACTER.search(text, start, end)
     sizes = [2] * len(tokens) if spaced else [1 if _CHARACTER.match(token) else 2 for _, token in tokens]
     if sum(sizes) <= 2 * LONGEST:
         return []
-    cuts, since = [], 0
-    for (at, _), size in zip(tokens, sizes, strict=True):
-        if since + size > 2 * LONGEST:
+    cuts, since, before, due = [], 0, None, False
+    for (at, token), size in zip(tokens, sizes, strict=True):
+        if due or since + size > 2 * LONGEST:
             cuts.append(at)
             since = 0
         since += size
+        word = token.encode().lower()
+        due = before is not None and crc32(word, before) % (CUT_EVERY * 2 // size) == 0
+        before = crc32(word)
     return cuts
 
 

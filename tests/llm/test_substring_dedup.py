@@ -96,3 +96,20 @@ def test_scripts_without_spaces(spark):
     rows = [(1, passage), (2, "我的話。" + passage + "再見。"), (3, "短句子在此。短句子在此。")]
     found = substring_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.text for r in found} == {1: passage, 2: "我的話。再見。", 3: rows[2][1]}
+
+
+def test_a_passage_without_sentence_ends_at_unequal_offsets(spark):
+    """60 shared words after 5, 9, 20 and 33 private ones: little more than the words before the first common cut stays."""
+    pick = random.Random(7)
+    stays = []
+    for trial in range(25):
+        shared = [f"s{pick.randrange(10**6)}" for _ in range(60)]
+        offsets = enumerate((5, 9, 20, 33))
+        rows = [(4 * trial + n, " ".join([*(f"own{n}x{pick.randrange(10**6)}" for _ in range(k)), *shared, *(f"end{n}x{k}x{trial}" for k in range(7))])) for n, k in offsets]
+        texts = brute(rows)
+        assert texts[rows[0][0]] == rows[0][1]
+        stays += [sum(w in set(shared) for w in texts[d].split()) for d, _ in rows[1:]]
+        if trial == 0:
+            found = substring_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+            assert {r.doc_id: r.text for r in found} == texts
+    assert sum(stays) / len(stays) < 20 and sum(s < 60 for s in stays) >= 0.98 * len(stays)
