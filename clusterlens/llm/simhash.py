@@ -74,9 +74,14 @@ def _mixed(hashes: np.ndarray, words: int) -> np.ndarray:
     return np.stack(columns, axis=1)
 
 
-def fingerprint(text: str, size: int, words: int = 1) -> np.ndarray:
-    """The fingerprint as unsigned 64-bit words: a bit is 1 if it is set in over half of the shingles' hashes."""
+def fingerprint(text: str, size: int, words: int = 1, distinct: bool = False) -> np.ndarray:
+    """The fingerprint as unsigned 64-bit words: a bit is 1 if it is set in over half of the shingles' hashes.
+
+    Repeated shingles count as often as they occur, or once with ``distinct``.
+    """
     hashes = np.frombuffer(shingle_digests(text, size), dtype=">u8").astype(np.uint64)
+    if distinct:
+        hashes = np.unique(hashes)
     counts = np.zeros(64 * words, dtype=np.int64)
     for at in range(0, len(hashes), _CHUNK):
         values = _mixed(hashes[at : at + _CHUNK], words).astype(">u8")
@@ -85,12 +90,12 @@ def fingerprint(text: str, size: int, words: int = 1) -> np.ndarray:
     return np.packbits(2 * counts > len(hashes)).view(">u8").astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, *, size: int, words: int, doc_id: str, text: str) -> DataFrame:
+def fingerprints(docs: DataFrame, *, size: int, words: int, doc_id: str, text: str, distinct: bool = False) -> DataFrame:
     """``doc_id``, ``text_hash``, ``node`` (the first word of the fingerprint, signed) and ``rest`` (the other words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [fingerprint(body, size, words) for body in batch.column(2).to_pylist()]
+            prints = [fingerprint(body, size, words, distinct) for body in batch.column(2).to_pylist()]
             matrix = np.array(prints, dtype=np.uint64).reshape(-1, words).view(np.int64)
             rest = pa.FixedSizeListArray.from_arrays(pa.array(matrix[:, 1:].ravel()), words - 1) if words > 1 else None
             lists = pa.array([[]] * len(prints), pa.list_(pa.int64())) if rest is None else rest.cast(pa.list_(pa.int64()))
@@ -320,13 +325,14 @@ def near_classes(
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """Like ``classes``, for shingles of ``size`` words and a Jaccard similarity of about ``similarity`` or more.
+    """Like ``classes``, for sets of shingles of ``size`` words and a Jaccard similarity of about ``similarity`` or more.
 
+    Shingles that repeat within a text count once, unlike in ``classes``, as the similarity is one of sets.
     The similarity is read off the Hamming distance of ``64 * words`` bits, whose standard error at 0.8 is 0.04 for 512
     bits. A pair at 0.8 shares one of the 126 keys with probability 0.92, at 0.85 with 0.99, and all that share a key are
     linked, however many hold it. Fingerprints that agree in their first 64 bits are one node.
     """
-    rows = settle(fingerprints(docs, size=size, words=words, doc_id=doc_id, text=text))
+    rows = settle(fingerprints(docs, size=size, words=words, doc_id=doc_id, text=text, distinct=True))
     nodes = settle(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("rest").alias("rest")))
     edges = _near_links(nodes, words, allowed_distance(similarity, 64 * words))
     return _with_component(rows, nodes.drop("rest"), edges)

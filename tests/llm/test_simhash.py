@@ -158,3 +158,12 @@ def test_a_key_with_unrelated_holders_links_all_that_are_near(spark, monkeypatch
     for holders in (simhash.COMPARED_HOLDERS if hasattr(simhash, "COMPARED_HOLDERS") else 0, 16):
         monkeypatch.setattr(simhash, "COMPARED_HOLDERS", holders, raising=False)
         assert {r.doc_id: r.component_id for r in simhash.near_classes(docs).collect()} == expected
+
+
+def test_a_repeated_line_does_not_outvote_different_bodies(spark):
+    pick = random.Random(9)
+    line = " ".join(f"line{n}" for n in range(7))
+    bodies = [" ".join(f"b{pick.randrange(10**6)}" for _ in range(100)) for _ in range(2)]
+    rows = [(n, f"{body} " + f"{line} " * 100) for n, body in enumerate(bodies)]
+    found = simhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == {0: 0, 1: 1}
