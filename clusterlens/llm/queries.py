@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterlens.llm import common, exact_dedup, language, packing, pieces, quality, simhash, substring_dedup, topk, toxicity, warc
+from clusterlens.llm import alignment, common, exact_dedup, language, packing, pieces, pii, quality, repair, simhash
+from clusterlens.llm import substring_dedup, topk, toxicity, warc
 from clusterlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +85,32 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, folder).drop("url", "payload")
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda span: span.base)
+
+    def counted(kind: str) -> Column:
+        return F.size(F.filter(base, lambda span: span.kind == kind)).cast("bigint").alias(f"n_{kind}")
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda span: F.concat_ws(":", span.kind, span.start, span.end)), ",")
+
+    return found.select(
+        "doc_id",
+        *map(counted, ("email", "ip", "card", "phone")),
+        F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damage(table(spark, sf_dir, "conversations")), exists=F.col("exists"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_exact_dedup": op2_exact_dedup,
@@ -95,6 +122,9 @@ QUERIES: dict[str, Query] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_topk": op9_topk,
     "op10_warc": op10_warc,
+    "op11_pii": op11_pii,
+    "op12_alignment": op12_alignment,
+    "op13_repair": op13_repair,
 }
 
 _A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
