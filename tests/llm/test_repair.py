@@ -1,0 +1,211 @@
+"""Conversation repair against exhaustive search over edits and against a plain table of best derivations."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import pytest
+
+from clusterlens.llm import queries, repair
+from clusterlens.llm.repair import Repair, Row
+
+INITIALS = {"system": "s", "user": "u", "assistant": "a", "tool": "t", "": ""}
+GOAL = re.compile(r"(s?(ua)+)?")
+
+
+def exhaustive(rows):
+    """Least (cost, audit) and output over all edits with up to three insertions between rows."""
+    inserts = [()] + [way for n in (1, 2, 3) for way in itertools.product("ua", repeat=n)]
+    best = None
+    for gaps in itertools.product(inserts, repeat=len(rows) + 1):
+        if sum(map(len, gaps)) > 3:
+            continue
+        for ways in itertools.product(("K", "Ru", "Ra", "D"), repeat=len(rows)):
+            cost, audit, output = 0, "", []
+            for n, gap in enumerate(gaps):
+                for initial in gap:
+                    cost, audit = cost + 5, audit + "I"
+                    output.append(({"u": "user", "a": "assistant"}[initial], ""))
+                if n == len(rows):
+                    break
+                row, way = rows[n], ways[n]
+                audit += way[0]
+                if way == "D":
+                    cost += 2
+                    continue
+                cost += (way != "K") + 5 * (row.fault == repair.TRUNCATED)
+                if row.fault in (repair.BLANK, repair.DUPLICATE):
+                    cost += 1000
+                output.append((row.role if way == "K" else {"u": "user", "a": "assistant"}[way[1]], row.text))
+            roles = [role for role, _ in output]
+            if "" not in roles and GOAL.fullmatch("".join(role[0] for role in roles)) and (best is None or (cost, audit) < best[:2]):
+                best = cost, audit, "\n".join(f"{role}:{text}" for role, text in output)
+    return best[0], best[1], hashlib.sha256(best[2].encode()).hexdigest()
+
+
+def tabled(rows):
+    """The same by a table over positions: for each state the least (cost, audit), insertions relaxed to the end."""
+    after = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}
+
+    def relaxed(table):
+        for _ in range(4):
+            for state, (cost, audit, output) in list(table.items()):
+                role = "assistant" if state == "u" else "user"
+                new = cost + 5, audit + "I", [*output, f"{role}:"]
+                target = after[state, role[0]]
+                if target not in table or new[:2] < table[target][:2]:
+                    table[target] = new
+        return table
+
+    table = relaxed({"": (0, "", [])})
+    for row in rows:
+        following = {}
+
+        def offer(state, value, following=following):
+            if state not in following or value[:2] < following[state][:2]:
+                following[state] = value
+
+        for state, (cost, audit, output) in table.items():
+            offer(state, (cost + 2, audit + "D", output))
+            if row.fault in (repair.BLANK, repair.DUPLICATE):
+                continue
+            extra = 5 * (row.fault == repair.TRUNCATED)
+            role = "assistant" if state == "u" else "user"
+            offer(after[state, role[0]], (cost + extra + 1, audit + "R", [*output, f"{role}:{row.text}"]))
+            if (state, row.role[:1]) in after:
+                offer(after[state, row.role[:1]], (cost + extra, audit + "K", [*output, f"{row.role}:{row.text}"]))
+        table = relaxed(following)
+    cost, audit, output = min(value for state, value in table.items() if state in ("", "a"))
+    return cost, audit, hashlib.sha256("\n".join(output).encode()).hexdigest()
+
+
+def found(rows, segment=512):
+    machine = Repair(segment)
+    for row in rows:
+        machine.add(row)
+    return machine.finish()
+
+
+def some_rows(pick, n, roles=("system", "user", "assistant", "user", "assistant", "tool", "")):
+    return [Row(pick.choice(roles), f"t{pick.randrange(3)}", pick.choice([0, 0, 0, 1, 2, 3])) for _ in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_against_all_edits(seed):
+    pick = random.Random(seed)
+    rows = some_rows(pick, pick.randrange(0, 4))
+    assert found(rows) == exhaustive(rows)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_against_a_table_in_any_segments(seed):
+    pick = random.Random(1000 + seed)
+    rows = some_rows(pick, pick.randrange(0, 40), pick.choice([("user",), ("assistant", "user"), ("system", "user", "assistant", "tool", "")]))
+    expected = tabled(rows)
+    for segment in (1, 2, 3, 7, 512):
+        assert found(rows, segment) == expected
+
+
+def test_short_forms_compare_like_the_audits():
+    pick = random.Random(3)
+    for _ in range(300):
+        audits = list({"".join(pick.choice("DIKR") for _ in range(4)) + "K" * 3 for _ in range(4)})
+        if pick.random() < 0.5:
+            audits = [a[len("DIKRK") :] if a.startswith("DIKRK") else a for a in audits]
+        short = repair.shortened(audits)
+        assert sorted(range(len(audits)), key=lambda i: audits[i]) == sorted(range(len(audits)), key=lambda i: short[i])
+    assert repair.shortened(["KKDDK", "KKRDD", "KKRDDI"]) == ["KD", "KR", "KRI"]
+    assert repair.shortened(["", "I", "II"]) == ["", "I", "II"]
+
+
+def test_long_conversations_stay_fast_where_lanes_never_meet():
+    rows = [Row("user", "x" * 20, 0)] * 30_001
+    cost, audit, _ = found(rows)
+    assert cost == 15_002 and len(audit) == 30_001 and audit == "D" + "KR" * 15_000
+
+
+WHITE = " \t\n\x0b\x0c\r"
+
+
+def brute(rows):
+    """Rows of the contract from damaged rows in order: (conv_id, turn, role, text)."""
+    report = {}
+    for conv_id, group in itertools.groupby(rows, key=lambda r: r[0]):
+        group = list(group)
+        seen, faults = set(), []
+        for _, _, role, text in group:
+            last = text.rstrip(WHITE)[-1:]
+            faults.append(1 if not last else 2 if (role, text) in seen else 3 if last not in ".!?" else 0)
+            seen.add((role, text))
+        turns = [t for _, t, _, _ in group if t is not None]
+        pairs = zip([r[2][:1] for r in group], [r[2][:1] for r in group[1:]], strict=False)
+        cost, audit, digest = tabled([Row(r[2], r[3], fault) for r, fault in zip(group, faults, strict=True)])
+        report[conv_id] = (
+            max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0, *(faults.count(n) for n in (1, 2, 3)),
+            sum(a + b not in ("su", "ua", "au") for a, b in pairs), cost, audit, digest,
+        )
+    return report
+
+
+def damaged(rows):
+    kept = []
+    for conv_id, turn, role, text in rows:
+        shown = [" " if value is None else str(value) for value in (conv_id, turn, role, text)]
+        kind = zlib.crc32(f"{shown[0]}:{shown[1]}".encode()) % 20
+        text = "" if kind == 1 else re.sub("[.!?]", "", shown[3]) if kind == 2 else shown[3]
+        kept += [(conv_id, turn, "user" if kind == 4 else shown[2], text)] * {0: 0, 3: 2}.get(kind, 1)
+    first = (lambda v: (v is not None, v or 0))
+    return sorted(kept, key=lambda r: (first(r[0]), first(r[1]), r[2], r[3]))
+
+
+def as_rows(found_):
+    return {r.conv_id: tuple(r)[1:] for r in found_.collect()}
+
+
+EMPTY = hashlib.sha256(b"").hexdigest()
+
+
+def expected_of(rows):
+    report = brute(damaged(rows))
+    return {conv_id: report.get(conv_id, (0, 0, 0, 0, 0, 0, "", EMPTY)) for conv_id in {r[0] for r in rows}}
+
+
+def test_the_query_against_brute_force(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    assert as_rows(queries.op13_repair(spark, sf_dir)) == expected_of(rows)
+
+
+def test_unusual_rows(spark, tmp_path):
+    pick = random.Random(8)
+    rows = []
+    for conv_id in [None, *range(150)]:
+        for _ in range(pick.randrange(1, 9)):
+            turn = pick.choice([None, 0, 1, 2, 3, 3, 9])
+            text = pick.choice(["Hi.", "Why? ", "cut", "", None, "　", "end!\n", " ", "Hi.", "x" * 5_000 + "."])
+            rows.append((conv_id, turn, pick.choice(["user", "assistant", "system", "user", "assistant", None, "tool", ""]), text))
+    for conv_id in range(1000, 1400):  # single turns, of which some are dropped and leave nothing
+        rows.append((conv_id, conv_id, "user", "Hi."))
+    frame = spark.createDataFrame([(*r, 1, "x") for r in rows], "conv_id long, turn long, role string, text string, fault int, exists string")
+    frame.write.parquet(str(tmp_path / "conversations.parquet"))
+    got = as_rows(queries.op13_repair(spark, str(tmp_path)))
+    assert got == expected_of(rows)
+    assert any(row[6] == "" and row[7] == EMPTY for row in got.values())
+    assert repair.repair(frame.limit(0)).count() == 0
+    small = repair.repair(repair.damage(frame), exists=repair.F.col("exists"), segment_rows=2)
+    assert as_rows(small) == got
+
+
+def test_the_repaired_turns_have_the_reported_hash(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    report = repair.repair(rows)
+    turns = {}
+    for r in repair.repaired_turns(rows, report).collect():
+        turns.setdefault(r.conv_id, []).append((r.position, f"{r.role}:{r.text}", r.role))
+    for r in report.collect():
+        found_ = sorted(turns.get(r.conv_id, []))
+        assert [p for p, _, _ in found_] == list(range(len(found_)))
+        assert hashlib.sha256("\n".join(t for _, t, _ in found_).encode()).hexdigest() == r.repaired_sha256
+        assert GOAL.fullmatch("".join(role[0] for _, _, role in found_))
