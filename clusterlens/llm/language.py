@@ -13,6 +13,7 @@ every one of them is scored, and their margins are averaged by length.
 from __future__ import annotations
 
 import sys
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,10 +26,8 @@ from clusterlens.llm import common
 from clusterlens.llm.sampling import draw
 
 # Bounds of the sample of labelled rows: texts to fit on, and landmarks among them (both in all, shared by languages).
-# A landmark is the first window of its text; all windows of the examples are fitted.
+# A landmark is one window of its text, chosen by a hash; all windows of the examples are fitted.
 EXAMPLES, LANDMARKS = 3_000, 160
-# Letters told apart; rarer ones share a symbol.
-ALPHABET = 94
 FOLDS, HELD_OUT = 4, 2
 RIDGE = 1e-3
 UNDETERMINED = "und"
@@ -49,76 +48,55 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
+# Places of the letters of an n-gram in its code, 21 bits for any code point, and marks for one and two letters.
+_SHIFT = np.uint64(21)
+_ONE, _TWO = np.uint64(3 << 62), np.uint64(1 << 63)
+
+
+def grams(text: str) -> np.ndarray:
+    """Sorted codes of the distinct n-grams; none for a text without letters."""
+    points = code_points(text)
+    marks = np.where(letter_table()[points] > 0, points, 0).astype(np.uint64)
+    marks = np.concatenate([np.zeros(1, np.uint64), marks, np.zeros(1, np.uint64)])
+    keep = np.ones(len(marks), dtype=bool)
+    keep[1:] = (marks[1:] > 0) | (marks[:-1] > 0)
+    marks = marks[keep]
+    if len(marks) < 3:
+        return np.zeros(0, np.uint64)
+    two = marks[:-1] << _SHIFT | marks[1:]
+    three = two[:-1] << _SHIFT | marks[2:]
+    return np.unique(np.concatenate([marks[marks > 0] | _ONE, two | _TWO, three]))
+
+
 @dataclass(frozen=True)
 class Kernel:
-    """N-gram presence against landmarks. ``letters``: code points with symbols of their own, from 2 upwards."""
+    """N-gram presence against landmarks, over the n-grams that any landmark has."""
 
-    letters: tuple[int, ...]
-    ngrams: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    ngrams: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     landmarks: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
 
-    @property
-    def base(self) -> int:
-        return len(self.letters) + 2
-
-    def symbols(self) -> np.ndarray:
-        """Symbol of every code point: 0 no letter, 1 any other letter."""
-        table = letter_table().copy()
-        table[list(self.letters)] = np.arange(2, self.base)
-        return table
-
-    def grams(self, text: str, symbols: np.ndarray) -> np.ndarray:
-        """Sorted codes of the distinct n-grams; none for a text without letters."""
-        marks = symbols[code_points(text)]
-        marks = np.concatenate([[0], marks, [0]]).astype(np.int64)
-        keep = np.ones(len(marks), dtype=bool)
-        keep[1:] = (marks[1:] > 0) | (marks[:-1] > 0)
-        marks = marks[keep]
-        if len(marks) < 3:
-            return np.zeros(0, np.int64)
-        base = self.base
-        two = marks[:-1] * base + marks[1:]
-        three = two[:-1] * base + marks[2:]
-        present = np.zeros(base + base**2 + base**3, dtype=bool)
-        present[marks] = True
-        present[0] = False
-        present[base + two] = True
-        present[base + base**2 + three] = True
-        return np.flatnonzero(present)
-
-    def rows(self, texts: list[str], symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Kernels of each text with the landmarks, and whether it has letters."""
-        index = np.full(self.base + self.base**2 + self.base**3, -1, dtype=np.int32)
-        index[self.ngrams] = np.arange(len(self.ngrams))
         presence = np.zeros((len(texts), len(self.ngrams)), dtype=np.float32)
         sizes = np.zeros(len(texts))
         for i, text in enumerate(texts):
-            grams = self.grams(text, symbols)
-            sizes[i] = len(grams)
-            at = index[grams]
-            presence[i, at[at >= 0]] = 1
+            found = grams(text)
+            sizes[i] = len(found)
+            at = np.searchsorted(self.ngrams, found)
+            at[at == len(self.ngrams)] = 0
+            presence[i, at[self.ngrams[at] == found] if len(self.ngrams) else []] = 1
         shared = presence @ self.landmarks.T
         return shared / np.sqrt(np.maximum(sizes, 1))[:, None], sizes > 0
 
 
 def kernel_of(texts: list[str]) -> Kernel:
     """A kernel with these texts as landmarks."""
-    counts: dict[int, int] = {}
-    table = letter_table()
-    for text in texts:
-        points, n = np.unique(code_points(text), return_counts=True)
-        for p, k in zip(points.tolist(), n.tolist(), strict=True):
-            if table[p]:
-                counts[p] = counts.get(p, 0) + k
-    letters = sorted(sorted(counts, key=lambda p: (-counts[p], p))[:ALPHABET])
-    bare = Kernel(tuple(letters))
-    symbols = bare.symbols()
-    grams = [bare.grams(text, symbols) for text in texts]
-    ngrams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.int64)
+    found = [grams(text) for text in texts]
+    ngrams = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
     landmarks = np.zeros((len(texts), len(ngrams)), dtype=np.float32)
-    for i, found in enumerate(grams):
-        landmarks[i, np.searchsorted(ngrams, found)] = 1 / np.sqrt(max(1, len(found)))
-    return Kernel(tuple(letters), ngrams, landmarks)
+    for i, codes in enumerate(found):
+        landmarks[i, np.searchsorted(ngrams, codes)] = 1 / np.sqrt(max(1, len(codes)))
+    return Kernel(ngrams, landmarks)
 
 
 @dataclass(frozen=True)
@@ -127,14 +105,14 @@ class Model:
     kernel: Kernel
     weights: np.ndarray  # landmarks by languages
 
-    def predict(self, texts: list[str], symbols: np.ndarray) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         if not self.languages:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
         owners, pieces = windows(texts)
         sums, weights = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
         for at in range(0, len(pieces), _BATCH):
             part = pieces[at : at + _BATCH]
-            rows, lettered = self.kernel.rows(part, symbols)
+            rows, lettered = self.kernel.rows(part)
             share = np.fromiter(map(len, part), np.float64, len(part)) * lettered
             np.add.at(sums, owners[at : at + _BATCH], rows @ self.weights * share[:, None])
             np.add.at(weights, owners[at : at + _BATCH], share)
@@ -163,45 +141,69 @@ def fit(docs: DataFrame) -> Model:
     rows = docs.where((common.fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull())
     rows = rows.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang")
     drawn = common.settle(draw(rows, EXAMPLES, by=F.col("lang")))
+    missing = _languages(rows) - _languages(drawn)
+    if missing:
+        raise ValueError(f"the sample has no texts of {sorted(missing)}, but there are such texts")
     lands = sorted(draw(drawn, LANDMARKS, by=F.col("lang"), salt=1).collect(), key=lambda r: (r.lang, r.doc_id, r.text))
+    kernel = kernel_of([landmark(r.text) for r in lands])
     if not lands:
-        return Model((), kernel_of([]), np.zeros((0, 0)))
-    kernel = kernel_of([windows([r.text])[1][0] for r in lands])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols = kernel.symbols()
-        for batch in batches:
-            for at in range(0, batch.num_rows, _BATCH):
-                part = batch.slice(at, _BATCH)
-                owners, pieces = windows(part.column(1).to_pylist())
-                values, lettered = kernel.rows(pieces, symbols)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), values.shape[1]).cast(pa.list_(pa.float64()))
-                columns = [part.column(0).take(pa.array(owners)), part.column(2).take(pa.array(owners)), lists]
-                found = pa.RecordBatch.from_arrays(columns, names=["id", "lang", "row"])
-                yield found.filter(pa.array(lettered))
-
-    found = drawn.select("doc_id", "text", "lang").mapInArrow(run, "id bigint, lang string, row array<double>").collect()
-    found.sort(key=lambda r: (r.id, r.lang, r.row))
-    languages = tuple(sorted({r.lang for r in found}))
-    if not languages:
+        return Model((), kernel, np.zeros((0, 0)))
+    languages = tuple(sorted(_languages(drawn)))
+    sums, n = _normal_equations(drawn, kernel, languages)
+    if not n:
         return Model((), kernel, np.zeros((len(lands), 0)))
     # Nyström: regression on K(texts, landmarks) with K(landmarks, landmarks) as penalty
-    across = np.array([r.row for r in found])
     among = kernel.landmarks.astype(float) @ kernel.landmarks.astype(float).T
-    targets = np.array([[1.0 if r.lang == name else -1.0 for name in languages] for r in found])
-    gram = across.T @ across + RIDGE * len(found) * among + 1e-8 * len(found) * np.eye(len(lands))
-    return Model(languages, kernel, np.linalg.solve(gram, across.T @ targets))
+    gram = sums[:, : len(lands)] + RIDGE * n * among + 1e-8 * n * np.eye(len(lands))
+    return Model(languages, kernel, np.linalg.solve(gram, sums[:, len(lands) :]))
+
+
+def _languages(rows: DataFrame) -> set[str]:
+    return {r.lang for r in rows.select("lang").distinct().collect()}
+
+
+def landmark(text: str) -> str:
+    """One window of the text, chosen by a hash of it."""
+    pieces = windows([text])[1]
+    return pieces[zlib.crc32(text.encode("utf-8", "surrogatepass")) % len(pieces)]
+
+
+def _normal_equations(drawn: DataFrame, kernel: Kernel, languages: tuple[str, ...]) -> tuple[np.ndarray, int]:
+    """Sums over all windows with letters of ``k' [k, t]`` for their kernels k and targets t, and how many windows.
+
+    Each task adds up its own windows; only the sums are shuffled, and only one matrix of sums comes to the driver.
+    """
+    size = len(kernel.landmarks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((size, size + len(languages))), 0
+        for batch in batches:
+            names = batch.column(1).to_pylist()
+            owners, pieces = windows(batch.column(0).to_pylist())
+            for at in range(0, len(pieces), _BATCH):
+                across, lettered = kernel.rows(pieces[at : at + _BATCH])
+                across = across[lettered].astype(float)
+                of = [names[i] for i in owners[at : at + _BATCH][lettered].tolist()]
+                targets = np.array([[1.0 if name == lang else -1.0 for lang in languages] for name in of]).reshape(len(of), len(languages))
+                total += across.T @ np.hstack([across, targets])
+                n += len(of)
+        places = np.arange(total.size + 1, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(np.append(total.ravel(), n))], names=["place", "value"])
+
+    parts = drawn.select("text", "lang").mapInArrow(run, "place int, value double")
+    found = sorted(parts.groupBy("place").agg(F.sum("value").alias("value")).collect())
+    values = np.array([r.value for r in found])
+    return values[:-1].reshape(size, size + len(languages)), int(values[-1])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id``, ``lang_pred`` and ``score`` for every row; ``und`` and 0 if the text is NULL or has no letter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols = model.kernel.symbols()
         for batch in batches:
             for at in range(0, batch.num_rows, _BATCH):
                 part = batch.slice(at, _BATCH)
-                names, scores = model.predict(part.column(1).to_pylist(), symbols)
+                names, scores = model.predict(part.column(1).to_pylist())
                 columns = [part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score"])
 

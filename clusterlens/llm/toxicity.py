@@ -154,7 +154,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     sizes = {r.known: r.n for r in sample.groupBy("known").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_p, n_u = sizes.get(True, 0), sizes.get(False, 0)
-    if not n_p or not n_u:
+    if not n_u and not texts.isEmpty():
+        raise ValueError("the sample of unlabelled texts is empty, but there are such texts")
+    if not n_p or not n_u:  # the confirmed examples are of no document at hand
         return Model({}, 0.0)
     is_known = F.col("known").cast("double")
     counted = sample.select(is_known.alias("k"), F.explode("terms").alias("term")).groupBy("term").agg(

@@ -129,7 +129,7 @@ def test_the_risk_estimator_learns_from_unlabelled_text():
 def test_kernels_count_shared_ngrams():
     texts = ["abc abd", "xyz", "ab"]
     kernel = language.kernel_of(texts)
-    rows, lettered = kernel.rows([*texts, "", "12"], kernel.symbols())
+    rows, lettered = kernel.rows([*texts, "", "12"])
 
     def grams(text):
         padded = "".join(" " + w for w in text.split()) + " "
