@@ -10,14 +10,13 @@ from clusterlens.llm import queries, topk
 
 
 def brute(rows, k, every):
-    vectors = {}
-    for name, vector in rows:
-        if name is not None and vector is not None:
-            vectors[name] = max(vectors.get(name, vector), vector)
+    usable = [(name, vector) for name, vector in rows if name is not None and vector is not None]
     found = []
-    for q in sorted(vectors):
+    for q in sorted({name for name, _ in usable}):
         if q % every == 0:
-            scored = sorted((-sum(x * y for x, y in zip(vectors[q], v)), n) for n, v in vectors.items() if n != q)
+            scored = sorted(
+                (-sum(x * y for x, y in zip(own, v)), n) for name, own in usable if name == q for n, v in usable if n != q
+            )
             found += [(q, rank, n, -s) for rank, (s, n) in enumerate(scored[:k], start=1)]
     return found
 
@@ -29,6 +28,9 @@ def test_against_brute_force(spark, monkeypatch, largest):
     pick = random.Random(largest)
     rows = [(n, [pick.randint(-largest, largest) for _ in range(6)]) for n in range(-20, 400)]
     rows += [(None, [1] * 6), (900, None), (17, [0] * 6), (17, [0] * 6)]
+    # candidates and queries that repeat an id, with other vectors and with the same
+    rows += [(n, [pick.randint(-largest, largest) for _ in range(6)]) for n in (3, 3, 20, 40, 40)]
+    rows += [rows[25]] * 5 + [rows[60]] * 2 + [(7, [largest] * 6)] * 30
     vectors = spark.createDataFrame(rows, "id long, vector array<long>")
     found = topk.top_k(vectors, F.col("id") % 10 == 0, k=9).collect()
     assert sorted(map(tuple, found)) == brute(rows, 9, 10)
@@ -63,3 +65,12 @@ def test_the_query_equals_its_sql(spark):
     connection.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf_dir}/embeddings.parquet'")
     expected = connection.execute(f"SELECT query_id, rank, vec_id, score FROM ({queries.ORACLE_SQL['op9_topk']})").fetchall()
     assert sorted(map(tuple, queries.op9_topk(spark, sf_dir).collect())) == sorted(expected)
+
+
+def test_repeated_ids_equal_the_sql(spark):
+    rows = [(1, [5.0, 0.0]), (1, [3.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (20, [1.0, 1.0]), (20, [2.0, 0.5]), (20, [1.0, 1.0]), (40, [0.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    scaled = vectors.select(F.col("vec_id").alias("id"), topk.scaled(F.col("embedding"), 64.0).alias("vector"))
+    embeddings = vectors.toPandas()  # noqa: F841
+    expected = duckdb.connect().execute(f"SELECT query_id, rank, vec_id, score FROM ({queries.ORACLE_SQL['op9_topk']})").fetchall()
+    assert sorted(map(tuple, topk.top_k(scaled, F.col("id") % 20 == 0).collect())) == sorted(expected)
