@@ -9,7 +9,6 @@ from tokenizers import Tokenizer
 from clusterlens.llm import packing, queries
 
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-TOKENIZER.encode_special_tokens = True
 
 
 @pytest.mark.parametrize("tokens", [1, 2, 3, 2047, 2048, 2049, 5000, 2048 * 3])
@@ -48,7 +47,7 @@ def test_ids_equal_those_of_the_tokenizer(spark):
 
 def test_unusual_texts(spark):
     rows = [
-        (1, ""), (2, None), (3, "  two  spaces \n\n\ttab  "), (4, "<|endoftext|> don't   漢字 🙂"), (5, "a" * 30_000),
+        (1, ""), (2, None), (3, "  two  spaces \n\n\ttab  "), (4, "<|endoftext|> don't   漢字 🙂"), (5, "a" * 30_000), (9, "x<|endoftext|><|endoftext|>\n <|endoftext| "), (8, "<|endoftext|>"),
         (6, " " * 5_000), (None, "no id"), (7, "word " * 40_000),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS start", "'x' AS ids")
