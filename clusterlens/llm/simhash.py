@@ -20,7 +20,9 @@ Equal fingerprints become one node first, so exact copies never form pairs.
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -191,15 +193,14 @@ def _key_rows(nodes: DataFrame, words: int) -> DataFrame:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 node = part.column(0).to_numpy()
-                rest = part.column(1).flatten().to_numpy().reshape(len(node), words - 1)
-                values = np.concatenate([node[:, None], rest], axis=1).astype(">i8")
+                values = part.column(1).flatten().to_numpy().reshape(len(node), words).astype(">i8")
                 bit = np.unpackbits(values.view(np.uint8).reshape(len(node), -1), axis=1)
                 cut = bit[:, orders].reshape(len(node), cuts * SHUFFLES, KEY_BITS)
                 keys = cut.astype(np.int64) @ weights + prefixes
                 columns = [pa.array(keys.ravel()), pa.array(np.repeat(node, cuts * SHUFFLES))]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "node"])
 
-    return nodes.select("node", "rest").mapInArrow(run, "key bigint, node bigint")
+    return nodes.select("node", "bits").mapInArrow(run, "key bigint, node bigint")
 
 
 def _shared(keys: DataFrame) -> DataFrame:
@@ -246,36 +247,34 @@ def _forest(bits: np.ndarray, most: int) -> np.ndarray:
 def _compared(rows: DataFrame, words: int, most: int) -> DataFrame:
     """Links between nodes under one ``key`` that connect all those within ``most`` bits of their whole fingerprints."""
 
-    def links(bits: np.ndarray) -> pa.RecordBatch:
-        ends = bits[:, 0].view(np.int64)[_forest(bits, most)]
+    def links(held: np.ndarray) -> pa.RecordBatch:
+        """``held``: the node and the words of its fingerprint."""
+        ends = held[:, 0].view(np.int64)[_forest(held[:, 1:], most)]
         return pa.RecordBatch.from_arrays([pa.array(ends.max(axis=1)), pa.array(ends.min(axis=1))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, np.empty((0, words), np.uint64)
+        key, held = None, np.empty((0, 1 + words), np.uint64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rest = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, words - 1)
-            bits = np.concatenate([batch.column(1).to_numpy()[:, None], rest], axis=1).view(np.uint64)
+            found = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, words)
+            rows_ = np.concatenate([batch.column(1).to_numpy()[:, None], found], axis=1).view(np.uint64)
             keys = np.concatenate([np.full(len(held), key, np.int64), batch.column(0).to_numpy()]) if len(held) else batch.column(0).to_numpy()
-            bits = np.concatenate([held, bits])
+            rows_ = np.concatenate([held, rows_])
             starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            found = [links(bits[start:end]) for start, end in zip(starts[:-1], starts[1:], strict=True)]
+            found = [links(rows_[start:end]) for start, end in zip(starts[:-1], starts[1:], strict=True)]
             yield from pa.Table.from_batches(found).combine_chunks().to_batches() if found else []
-            key, held = keys[-1], bits[starts[-1] :]
+            key, held = keys[-1], rows_[starts[-1] :]
         if len(held):
             yield links(held)
 
-    ordered = rows.select("key", "node", "rest").repartition("key").sortWithinPartitions("key", "node")
+    ordered = rows.select("key", "node", "bits").repartition("key").sortWithinPartitions("key", "node")
     return ordered.mapInArrow(run, "a bigint, b bigint")
 
 
-def _apart(rest: Column, other: Column, other_rest: Column, words: int) -> Column:
-    """Hamming distance of whole fingerprints: of ``node`` and ``rest``, and of the others."""
-    apart = _distance(F.col("node"), other)
-    for i in range(words - 1):
-        apart = apart + _distance(rest[i], other_rest[i])
-    return apart
+def _apart(bits: Column, other: Column, words: int) -> Column:
+    """Hamming distance of whole fingerprints."""
+    return reduce(operator.add, [_distance(bits[i], other[i]) for i in range(words)])
 
 
 def _in_cells(members: DataFrame, words: int, most: int) -> DataFrame:
@@ -285,33 +284,33 @@ def _in_cells(members: DataFrame, words: int, most: int) -> DataFrame:
     link to the pivot does not replace only to a y farther than ``most`` from the pivot, and y is at most e + ``most``
     away from it. Holders with e + ``most`` below the nearest such y are settled; the others meet pairwise in cells.
     """
-    pivots = members.groupBy("key").agg(F.min(F.struct("node", "rest")).alias("pivot"))
+    pivots = members.groupBy("key").agg(F.min(F.struct("node", "bits")).alias("pivot"))
     placed = spread_join(members, pivots, "key")
-    apart = _apart(F.col("rest"), F.col("pivot.node"), F.col("pivot.rest"), words)
-    placed = settle(placed.select("key", "node", "rest", F.col("pivot.node").alias("_pivot"), apart.alias("_apart")))
+    apart = _apart(F.col("bits"), F.col("pivot.bits"), words)
+    placed = settle(placed.select("key", "node", "bits", F.col("pivot.node").alias("_pivot"), apart.alias("_apart")))
     star = placed.where((F.col("_apart") <= most) & (F.col("node") != F.col("_pivot")))
     star = star.select(F.greatest("node", "_pivot").alias("a"), F.least("node", "_pivot").alias("b"))
 
     beyond = placed.where(F.col("_apart") > most).groupBy("key").agg(F.min("_apart").alias("_nearest"))
     left = spread_join(placed, beyond, "key").where(F.col("_apart") >= F.col("_nearest") - most)
-    left = settle(left.select("key", "node", "rest"))
+    left = settle(left.select("key", "node", "bits"))
     blocks = left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(COMPARED_HOLDERS)).cast("int").alias("_blocks"))
     mine = F.pmod(F.xxhash64("node"), F.col("_blocks").cast("bigint")).cast("int")
     dealt = spread_join(left, blocks, "key").withColumn("_mine", mine)
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     # two cells that share a hash are compared as one
     cell = F.xxhash64("key", F.least("_mine", "_other"), F.greatest("_mine", "_other"))
-    return star.unionByName(_compared(dealt.select(cell.alias("key"), "node", "rest"), words, most))
+    return star.unionByName(_compared(dealt.select(cell.alias("key"), "node", "bits"), words, most))
 
 
 def _near_links(nodes: DataFrame, words: int, most: int) -> DataFrame:
-    """Edges within ``most`` bits that connect all ``node``, ``rest`` so close that share a key."""
+    """Edges within ``most`` bits that connect all ``node`` with ``bits`` so close that share a key."""
     shared = settle(_shared(_key_rows(nodes, words)))
     held = settle(shared.groupBy("key").agg(F.count(F.lit(1)).alias("holders")))
-    members = spread_join(shared, held, "key").join(nodes.select("node", "rest"), "node")
+    members = spread_join(shared, held, "key").join(nodes.select("node", "bits"), "node")
     links = _compared(members.where(F.col("holders") <= COMPARED_HOLDERS), words, most)
     if not held.where(F.col("holders") > COMPARED_HOLDERS).isEmpty():
-        many = settle(members.where(F.col("holders") > COMPARED_HOLDERS).select("key", "node", "rest"))
+        many = settle(members.where(F.col("holders") > COMPARED_HOLDERS).select("key", "node", "bits"))
         links = links.unionByName(_in_cells(many, words, most))
     return links.distinct()
 
@@ -330,12 +329,14 @@ def near_classes(
     Shingles that repeat within a text count once, unlike in ``classes``, as the similarity is one of sets.
     The similarity is read off the Hamming distance of ``64 * words`` bits, whose standard error at 0.8 is 0.04 for 512
     bits. A pair at 0.8 shares one of the 126 keys with probability 0.92, at 0.85 with 0.99, and all that share a key are
-    linked, however many hold it. Fingerprints that agree in their first 64 bits are one node.
+    linked, however many hold it. Texts whose fingerprints agree in all bits are one node, known by a hash of these.
     """
-    rows = settle(fingerprints(docs, size=size, words=words, doc_id=doc_id, text=text, distinct=True))
-    nodes = settle(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("rest").alias("rest")))
+    found = fingerprints(docs, size=size, words=words, doc_id=doc_id, text=text, distinct=True)
+    bits = F.concat(F.array("node"), "rest")
+    rows = settle(found.select("doc_id", "text_hash", F.xxhash64(bits).alias("node"), bits.alias("bits")))
+    nodes = settle(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("bits").alias("bits")))
     edges = _near_links(nodes, words, allowed_distance(similarity, 64 * words))
-    return _with_component(rows, nodes.drop("rest"), edges)
+    return _with_component(rows.drop("bits"), nodes.drop("bits"), edges)
 
 
 def drop_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -167,3 +167,12 @@ def test_a_repeated_line_does_not_outvote_different_bodies(spark):
     rows = [(n, f"{body} " + f"{line} " * 100) for n, body in enumerate(bodies)]
     found = simhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in found} == {0: 0, 1: 1}
+
+
+def test_texts_that_share_the_first_word_of_their_fingerprints_only(spark, monkeypatch):
+    """The second agrees with the first in 64 bits of 512, the third in all, the fourth in all but one."""
+    bits = [(5, [3] * 7), (5, [-4] * 7), (5, [3] * 7), (5, [3] * 6 + [2])]
+    made = spark.createDataFrame([(n, 100 + n, *b) for n, b in enumerate(bits)], "doc_id long, text_hash long, node long, rest array<long>")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, **options: made)
+    found = simhash.near_classes(made).collect()
+    assert {r.doc_id: r.component_id for r in found} == {0: 0, 1: 1, 2: 0, 3: 0}
