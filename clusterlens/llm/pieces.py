@@ -3,7 +3,7 @@
 A text is a lattice: an edge for every vocabulary piece at every place where it fits, and its score is the sum of the
 edges' scores. A forward Viterbi pass gives the best score from the start to every place. That is the exact remainder
 for a search that walks backward from the end, so A-star by known suffix plus best prefix pops complete segmentations in
-falling order of score and never expands more than it must.
+falling order of score, each after at most one descent through the text.
 
 The lattice of a text is cut where no piece of the vocabulary spans, mostly at word boundaries. Words repeat, so each
 worker keeps what the forward pass found for those it has seen: the best segmentation, and how much the second best
@@ -79,15 +79,12 @@ class Vocabulary:
             if model.is_byte(i):
                 self.byte_ids[int(piece[3:5], 16)] = i
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                self.pieces[piece] = (int(model.get_score(i)), struct.pack("<I", i))
-        # a trie of tuples: what may follow, then score and ids of the piece that ends here, if one does
-        self.root: Node = {}
-        for piece in sorted(self.pieces):
-            here = self.root
-            for character in piece[:-1]:
-                here = here.setdefault(character, ({}, None, b""))[0]
-            followers = here[piece[-1]][0] if piece[-1] in here else {}
-            here[piece[-1]] = (followers, *self.pieces[piece])
+                score = model.get_score(i)
+                if score != int(score):
+                    raise ValueError("the scores of this vocabulary are no whole numbers, as those of BPE are")
+                self.pieces[piece] = (int(score), struct.pack("<I", i))
+        self.root, self.backward = self._trie(1), self._trie(-1)
+        self.longest = max(map(len, self.pieces), default=1)
         self.joined = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
         if any(pair[1] == SPACE != pair[0] for pair in self.joined):
             raise ValueError("a piece of this vocabulary spans words")
@@ -95,24 +92,54 @@ class Vocabulary:
         self.unknown = min(spoken, default=0) - UNKNOWN_PENALTY
         self._words = Cache()
 
+    def _trie(self, step: int) -> Node:
+        """A trie of tuples over the pieces, forward or backward: what may follow, then score and ids of the piece that
+        ends here, if one does."""
+        root: Node = {}
+        for text, piece in sorted((piece[::step], piece) for piece in self.pieces):
+            here = root
+            for character in text[:-1]:
+                here = here.setdefault(character, ({}, None, b""))[0]
+            followers = here[text[-1]][0] if text[-1] in here else {}
+            here[text[-1]] = (followers, *self.pieces[piece])
+        return root
+
     def spelled(self, character: str) -> bytes:
         return struct.pack(f"<{len(character.encode())}I", *[self.byte_ids[b] for b in character.encode()])
 
-    def edges(self, part: str, start: int) -> list[tuple[int, int, bytes]]:
-        """End, score and ids of every edge that starts here."""
+    def edges_to(self, part: str, end: int) -> list[tuple[int, int, bytes]]:
+        """Start, score and ids of every edge that ends here."""
         found: list[tuple[int, int, bytes]] = []
-        if part[start] not in self.pieces:
-            found.append((start + 1, self.unknown, self.spelled(part[start])))
-        here = self.root
-        for end in range(start + 1, len(part) + 1):
-            step = here.get(part[end - 1])
+        if part[end - 1] not in self.pieces:
+            found.append((end - 1, self.unknown, self.spelled(part[end - 1])))
+        here = self.backward
+        for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
+            step = here.get(part[start])
             if step is None:
                 break
             here, gain, ids = step
             if gain is not None:
-                found.append((end, gain, ids))
+                found.append((start, gain, ids))
         return found
 
+    def prefixes(self, part: str) -> list[int]:
+        """The best score of every prefix."""
+        best, pieces = [0] + [_NEVER] * len(part), self.pieces
+        for start in range(len(part)):
+            score = best[start]
+            if part[start] not in pieces and score + self.unknown > best[start + 1]:
+                best[start + 1] = score + self.unknown
+            here, end = self.root, start
+            for character in part[start : start + self.longest]:
+                step = here.get(character)
+                if step is None:
+                    break
+                here, gain, _ = step
+                end += 1
+                if gain is not None and score + gain > best[end]:
+                    best[end] = score + gain
+        return best
+
     def forward(self, part: str) -> Best:
         """Viterbi with the best and the second best score of every place."""
         size, root = len(part), self.root
@@ -129,7 +156,7 @@ class Vocabulary:
                 elif total > second[end]:
                     second[end] = total
             here, end = root, start
-            for character in part[start:]:
+            for character in part[start : start + self.longest]:
                 step = here.get(character)
                 if step is None:
                     break
@@ -144,28 +171,27 @@ class Vocabulary:
                         back[end] = start, ids
                     elif total > second[end]:
                         second[end] = total
-        ids, place = b"", size
+        found, place = [], size
         while place:
             place, piece_ids = back[place]
-            ids = piece_ids + ids
+            found.append(piece_ids)
+        ids = b"".join(reversed(found))
         loss = first[size] - second[size]
         return first[size], ids, loss if loss < _NONE else _NONE
 
     def segmentations(self, part: str, n: int) -> Segmentations:
-        """The ``n`` best of a stretch of text, best first, or all if there are fewer."""
-        size = len(part)
-        best = [0] + [_NEVER] * size
-        ending: list[list[tuple[int, int, bytes]]] = [[] for _ in range(size + 1)]
-        for start in range(size):
-            for end, gain, ids in self.edges(part, start):
-                ending[end].append((start, gain, ids))
-                best[end] = max(best[end], best[start] + gain)
-        # backward: negated score of the best whole path through a suffix, tie-breaker, place, suffix score, suffix
+        """The ``n`` best of a stretch of text, best first, or all if there are fewer.
+
+        The forward scores are exact, so every suffix that is popped is part of a segmentation of just its value. Of equal
+        values the one nearest to the start goes first, so each of the ``n`` is reached in at most one descent.
+        """
+        size, best = len(part), self.prefixes(part)
+        # backward: negated score of the best whole path through a suffix, place, order made, suffix score, suffix
         found: Segmentations = []
         made = 0
-        heap: list[tuple[int, int, int, int, tuple | None]] = [(-best[size], 0, size, 0, None)]
+        heap: list[tuple[int, int, int, int, tuple | None]] = [(-best[size], size, 0, 0, None)]
         while heap and len(found) < n:
-            _, _, place, score, suffix = heapq.heappop(heap)
+            _, place, _, score, suffix = heapq.heappop(heap)
             if not place:
                 ids = []
                 while suffix is not None:
@@ -173,9 +199,9 @@ class Vocabulary:
                     suffix = suffix[1]
                 found.append((score, b"".join(ids)))
                 continue
-            for start, gain, ids in ending[place]:
+            for start, gain, ids in self.edges_to(part, place):
                 made += 1
-                heapq.heappush(heap, (-score - gain - best[start], made, start, score + gain, (ids, suffix)))
+                heapq.heappush(heap, (-score - gain - best[start], start, made, score + gain, (ids, suffix)))
         return found
 
     def parts(self, word: str) -> list[str]:
@@ -233,14 +259,15 @@ class Vocabulary:
         """Best-first over the alternatives of the words in ``open_at``; all others are at their best."""
         found: Segmentations = []
         made = 0
-        heap: list[tuple[int, int, tuple[int, ...]]] = [(0, 0, ())]
+        # of equal losses the one with most words decided goes first, so ties do not multiply
+        heap: list[tuple[int, int, int, tuple[int, ...]]] = [(0, 0, 0, ())]
         while heap and len(found) < n:
-            loss, _, picks = heapq.heappop(heap)
+            loss, _, _, picks = heapq.heappop(heap)
             if len(picks) < len(open_at):
                 here = options[len(picks)]
                 for pick, (points, _) in enumerate(here):
                     made += 1
-                    heapq.heappush(heap, (loss + here[0][0] - points, made, (*picks, pick)))
+                    heapq.heappush(heap, (loss + here[0][0] - points, -len(picks), made, (*picks, pick)))
                 continue
             for at, here, pick in zip(open_at, options, picks, strict=True):
                 ids[at] = here[pick][1]

@@ -1,6 +1,7 @@
 """SentencePiece segmentation against brute force, and exact round trips."""
 
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -44,6 +45,26 @@ def test_against_brute_force(n):
         assert all(SURFACES.decode(ids) == text for _, ids in found)
 
 
+@pytest.mark.parametrize("n", [2, 5])
+@pytest.mark.parametrize("character", ["-", " ", "a", "x", "漢", "=", "▂"])
+def test_runs_of_one_character_against_brute_force(character, n):
+    """Runs have many segmentations of equal score."""
+    for size in range(1, 12):
+        best, found = every_segmentation(character * size), VOCABULARY.encode(character * size, n)
+        assert [score for score, _ in found] == [score for score, _ in best[:n]]
+        assert len({ids for _, ids in found}) == len(found) and all(one in best for one in found)
+
+
+@pytest.mark.parametrize("n", [2, 8])
+@pytest.mark.parametrize("text", ["-" * 10_000, " " * 10_000, "a" * 200_000, "漢" * 200_000, "x" * 1_600, "ab" * 5_000, "- " * 4_000])
+def test_long_runs_end(text, n):
+    begun = time.monotonic()
+    found = VOCABULARY.encode(text, n)
+    assert time.monotonic() - begun < 20
+    assert all(SURFACES.decode(ids) == text for _, ids in found)
+    assert [score for score, _ in found] == sorted([score for score, _ in found], reverse=True)
+
+
 def test_a_long_text_without_spaces():
     text = "the" * 20_000
     [(score, ids)] = VOCABULARY.encode(text, 1)
