@@ -81,8 +81,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{common.shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     written = warc.write(table(spark, sf_dir, "pages"), folder)
     if not written.agg(F.sum("n_records")).first()[0]:
-        return spark.createDataFrame([], warc.READ_SCHEMA).drop("url", "payload")
-    return warc.read(spark, folder).drop("url", "payload")
+        return spark.createDataFrame([], warc.READ_SCHEMA).drop("url", "payload", "record_id")
+    return warc.read(spark, folder).drop("url", "payload", "record_id")
 
 
 def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,6 +141,19 @@ ORACLE_SQL: dict[str, str] = {
                text_sha256
         FROM hashed
     """,
+    # base 32 of a digest: eight parts of twenty bits, each four characters
+    "op10_warc": """
+        WITH sized AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS hex FROM pages),
+        grouped AS (SELECT *, max(page_id) OVER (PARTITION BY hex, n) AS first FROM sized)
+        SELECT page_id, n::BIGINT AS payload_bytes,
+               array_to_string([
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((('0x' || hex[1 + 5 * (i // 4):5 + 5 * (i // 4)])::INTEGER
+                                                            >> (15 - 5 * (i % 4))) & 31)]
+                   FOR i IN range(32)], '') AS payload_digest,
+               IF(first IS NULL OR page_id = first, 'response', 'revisit') AS record_type,
+               IF(page_id = first, NULL, first) AS refers_to
+        FROM grouped
+    """,
     "op9_topk": """
         WITH usable AS (
             SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS v

@@ -5,6 +5,9 @@ it decompresses to a WARC header, and owns the records that start inside its ran
 first record on it goes from member to member, so magic bytes inside compressed data are never looked at. Members and
 ranges need no index, and a lost task is simply read again.
 
+Archives of others are read as well: every type of record of any version, also several records in one gzip member, with
+the digest and length of the payload computed where the record is whole.
+
 Writing: of records with equal payloads, the one with the largest page id carries the payload, and the others are
 revisits that refer to it by digest and record id. The groups are found on digests; page texts are shuffled only where
 the list of revisits is too long to broadcast. Each task writes one file under a temporary name and renames it when it
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,6 +31,9 @@ from pyspark.sql import functions as F
 from clusterlens.llm import common
 
 VERSION = b"WARC/1.1"
+_VERSION_LINE = re.compile(rb"WARC/[0-9]+\.[0-9]+[ \t]*\r?\n")
+_VERSION_LIMIT = 32
+_END_OF_HEADER = re.compile(rb"\r?\n\r?\n")
 MAGIC = b"\x1f\x8b\x08"
 # Every record carries this date unless the caller has a column of dates: output must not depend on the time of writing.
 DATE = "1970-01-01T00:00:00Z"
@@ -69,11 +76,27 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to
     return press.compress(head + block + b"\r\n\r\n") + press.flush()
 
 
-def _parse(record: bytes) -> tuple[dict[str, str], bytes]:
-    head, _, block = record.partition(b"\r\n\r\n")
-    lines = [line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:]]
-    headers = {k.strip().lower(): v.strip() for k, _, v in lines}
-    return headers, block[: int(headers["content-length"])]
+def _without_header(block: bytes) -> tuple[bytes, bytes]:
+    """What lies before and after the first empty line; all of it before if there is none."""
+    found = _END_OF_HEADER.search(block)
+    return (block[: found.start()], block[found.end() :]) if found else (block, b"")
+
+
+def _named(head: bytes) -> dict[str, str]:
+    """Header fields by name in lower case; lines that begin with white space go on with the field before."""
+    lines = re.sub(r"\r?\n[ \t]+", " ", head.decode("utf-8", "replace")).splitlines()[1:]
+    return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+
+
+def parsed(member: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields and block of every record of a member. Without a length the block is all that is left."""
+    while _VERSION_LINE.match(member):
+        head, rest = _without_header(member)
+        headers = _named(head)
+        size = headers.get("content-length", "")
+        block = rest[: int(size)] if size.isdigit() else rest
+        yield headers, block
+        member = rest[len(block) :].lstrip(b"\r\n")
 
 
 def _page_of(urn: str | None) -> int | None:
@@ -159,7 +182,7 @@ class _Window:
 
 
 def _member(window: _Window, at: int) -> tuple[bytes, int] | None:
-    """The record that starts at ``at`` and the position after it; None if no WARC member starts there."""
+    """The member that starts at ``at``, unpacked, and the position after it; None if no WARC member starts there."""
     if window.at(at, len(MAGIC)) != MAGIC:
         return None
     press = zlib.decompressobj(31)
@@ -173,20 +196,20 @@ def _member(window: _Window, at: int) -> tuple[bytes, int] | None:
             parts.append(press.decompress(piece))
             position += len(piece)
             before, seen = seen, seen + len(parts[-1])
-            if before < len(VERSION) <= seen and not b"".join(parts).startswith(VERSION + b"\r\n"):
+            if before < _VERSION_LIMIT <= seen and not _VERSION_LINE.match(b"".join(parts)):
                 return None
-            if before < _HEADER_LIMIT <= seen and b"\r\n\r\n" not in b"".join(parts):
+            if before < _HEADER_LIMIT <= seen and not _END_OF_HEADER.search(b"".join(parts)):
                 return None
     except zlib.error:
         return None
     record = b"".join(parts)
-    if not record.startswith(VERSION + b"\r\n"):
+    if not _VERSION_LINE.match(record):
         return None
     return record, position - len(press.unused_data)
 
 
 def records_of_range(stream: pa.NativeFile, start: int, end: int, size: int) -> Iterator[bytes]:
-    """The records whose members start in ``[start, end)``."""
+    """The unpacked members that start in ``[start, end)``."""
     window = _Window(stream, start, size)
     at = start
     while at < min(end, size):
@@ -203,7 +226,12 @@ def records_of_range(stream: pa.NativeFile, start: int, end: int, size: int) ->
 
 def read(spark: SparkSession, folder: str, *, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Every record below ``folder``: ``page_id``, ``url``, ``record_type``, ``refers_to``, ``payload_digest``,
-    ``payload_bytes`` and ``payload`` (NULL for a revisit).
+    ``payload_bytes``, ``payload`` (NULL for a revisit) and ``record_id``.
+
+    The payload of HTTP messages is what follows their header; that of other records, as ``warcinfo`` and ``metadata``, is
+    the whole block. Records that ``write`` has not written have no ``page_id``, and revisits only the digest and length
+    that they state. A field that a record lacks is NULL. A payload that contradicts the digest under which ``write``
+    stored it is an error.
 
     Spark lists the files; their sizes give the ranges, which are dealt out evenly.
     """
@@ -220,9 +248,9 @@ def read(spark: SparkSession, folder: str, *, split_bytes: int = SPLIT_BYTES) ->
                 with store.open_input_file(name) as stream:
                     rows: list[tuple] = []
                     held = 0
-                    for record in records_of_range(stream, start, start + split_bytes, size):
-                        rows.append(_row(record))
-                        held += len(record)
+                    for member in records_of_range(stream, start, start + split_bytes, size):
+                        rows += [_row(headers, block) for headers, block in parsed(member)]
+                        held += len(member)
                         if held > SPLIT_BYTES:
                             yield _rows(rows)
                             rows, held = [], 0
@@ -233,7 +261,8 @@ def read(spark: SparkSession, folder: str, *, split_bytes: int = SPLIT_BYTES) ->
 
 
 READ_SCHEMA = (
-    "page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint, payload binary"
+    "page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint, payload binary,"
+    " record_id string"
 )
 _ARROW = pa.schema(
     [
@@ -244,22 +273,26 @@ _ARROW = pa.schema(
         ("payload_digest", pa.string()),
         ("payload_bytes", pa.int64()),
         ("payload", pa.binary()),
+        ("record_id", pa.string()),
     ]
 )
 
 
-def _row(record: bytes) -> tuple:
-    headers, block = _parse(record)
-    digest = headers["warc-payload-digest"].removeprefix("sha1:")
-    kind = headers["warc-type"]
-    payload = None
-    length = int(headers["x-payload-length"])
-    if kind == "response":
-        payload = block.partition(b"\r\n\r\n")[2]
-        if payload_digest(payload) != digest or len(payload) != length:
-            raise ValueError(f"payload of {headers['warc-record-id']} does not match its digest")
-    page, first = _page_of(headers["warc-record-id"]), _page_of(headers.get("warc-refers-to"))
-    return page, headers["warc-target-uri"], kind, first, digest, length, payload
+def _row(headers: dict[str, str], block: bytes) -> tuple:
+    kind = headers.get("warc-type", "").lower() or None
+    stated, size = headers.get("warc-payload-digest", ""), headers.get("x-payload-length", "")
+    digest = stated.removeprefix("sha1:") if stated.startswith("sha1:") else None
+    length, payload = int(size) if size.isdigit() else None, None
+    if kind != "revisit":
+        is_message = headers.get("content-type", "").lower().startswith("application/http")
+        payload = _without_header(block)[1] if is_message else block
+        found = payload_digest(payload)
+        if length is not None and (digest, length) != (found, len(payload)):
+            raise ValueError(f"payload of {headers.get('warc-record-id')} does not match its digest")
+        digest, length = found, len(payload)
+    name = headers.get("warc-record-id")
+    page, first = _page_of(name), _page_of(headers.get("warc-refers-to"))
+    return page, headers.get("warc-target-uri"), kind, first, digest, length, payload, name
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

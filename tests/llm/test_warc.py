@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import random
 
+import duckdb
 import pyarrow as pa
 import pytest
 
@@ -69,6 +70,54 @@ def test_other_gzip_members_are_no_records():
     assert len(list(warc.records_of_range(pa.BufferReader(data), 0, len(data), len(data)))) == 1
 
 
+def foreign(kind, block, version=b"WARC/1.0", line=b"\r\n", **fields):
+    head = [version, b"WARC-Type: " + kind, b"WARC-Record-ID: <urn:uuid:" + kind + b">", b"Content-Length: %d" % len(block)]
+    head += [name.replace("_", "-").encode() + b": " + value for name, value in fields.items()]
+    return line.join(head) + line * 2 + block + b"\r\n\r\n"
+
+
+def sha1(data):
+    return base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+def test_archives_of_others_cut_anywhere(spark, tmp_path):
+    message = b"HTTP/1.1 200 OK\nX: y\n\npage\r\n\r\nmore"
+    records = [
+        foreign(b"warcinfo", b"software: x\r\n", Content_Type=b"application/warc-fields"),
+        foreign(b"request", b"GET / HTTP/1.1\r\n\r\n", Content_Type=b"application/http; msgtype=request", WARC_Target_URI=b"http://a"),
+        foreign(b"metadata", b"fetchTimeMs: 7", Content_Type=b"application/warc-\r\n fields"),
+        foreign(b"response", message, b"WARC/1.1", Content_Type=b"application/http;msgtype=response", WARC_Target_URI=b"http://a"),
+        foreign(b"resource", b"data", line=b"\n", Content_Type=b"text/plain", WARC_Payload_Digest=b"sha1:stated"),
+        foreign(b"revisit", b"HTTP/1.1 200 OK\r\n\r\n", Content_Type=b"application/http", WARC_Payload_Digest=b"sha1:" + sha1(b"page").encode()),
+        foreign(b"response", b"HTTP/1.1 204 No Content\r\n", Content_Type=b"application/http"),
+        b"WARC/1.0\r\nwithout: length\r\n\r\nrest",
+    ]
+    expected = [
+        ("warcinfo", sha1(b"software: x\r\n"), 13, None), ("request", sha1(b""), 0, "http://a"), ("metadata", sha1(b"fetchTimeMs: 7"), 14, None),
+        ("response", sha1(b"page\r\n\r\nmore"), 12, "http://a"), ("resource", sha1(b"data"), 4, None), ("revisit", sha1(b"page"), None, None),
+        ("response", sha1(b""), 0, None), (None, sha1(b"rest"), 4, None),
+    ]
+    data = b"".join(map(gzip.compress, [*records[:5], records[5] + records[6], records[7]]))
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    for split in (len(data), 100, 37):
+        found = warc.read(spark, str(tmp_path), split_bytes=split).select("record_type", "payload_digest", "payload_bytes", "url", "page_id")
+        assert sorted(map(tuple, found.collect()), key=str) == sorted([(*row, None) for row in expected], key=str)
+    stream = pa.BufferReader(data)
+    whole = list(warc.records_of_range(stream, 0, len(data), len(data)))
+    for cut in range(len(data) + 1):
+        first = list(warc.records_of_range(stream, 0, cut, len(data)))
+        assert first + list(warc.records_of_range(stream, cut, len(data), len(data))) == whole
+
+
+def test_the_query_equals_its_sql(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf_dir}/pages.parquet'")
+    columns = "page_id, payload_bytes, payload_digest, record_type, refers_to"
+    rows = connection.execute(f"SELECT {columns} FROM ({queries.ORACLE_SQL['op10_warc']})").fetchall()
+    assert digests(queries.op10_warc(spark, sf_dir)) == sorted(rows, key=str)
+
+
 def test_archives_are_plain_gzip(spark, tmp_path):
     pages = spark.createDataFrame(ROWS[:3], "page_id long, url string, html string").coalesce(1)
     [row] = warc.write(pages, str(tmp_path / "b")).collect()
