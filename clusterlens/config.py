@@ -18,7 +18,8 @@ DEFAULT_VM_THRESHOLDS = MappingProxyType({"D": 5, "E": 5, "F": 2, "L": 3, "M": 2
 
 @dataclass(frozen=True)
 class AnalysisConfig:
-    """``as_of`` stands in for the current date, so that a run can be repeated."""
+    """``as_of`` stands in for the current date, so that a run can be repeated. ``exact_costs`` keeps up to 18 decimals of a
+    cost where the product of two long decimal types would keep six."""
 
     as_of: date = field(default_factory=date.today)
     lookback_days: int = 30
@@ -31,6 +32,7 @@ class AnalysisConfig:
     io_wait_threshold: int = 10
     memory_threshold: int = 80
     swap_threshold: int = 1
+    exact_costs: bool = False
     output_catalog: str | None = None
     output_schema: str | None = None
 
@@ -71,6 +73,10 @@ class AnalysisConfig:
                 thresholds[letter] = int(value)
             elif name == "as_of":
                 values[name] = date.fromisoformat(value) if isinstance(value, str) else value
+            elif types.get(name) == "bool":
+                if str(value).lower() not in ("true", "false"):
+                    raise ValueError(f"{name} must be true or false, got {value!r}")
+                values[name] = str(value).lower() == "true"
             elif types.get(name) == "int":
                 values[name] = int(value)
             elif name in types and name != "vm_thresholds":

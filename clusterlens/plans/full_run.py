@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from clusterlens.config import AnalysisConfig
 from clusterlens.operators.pricing import cluster_costs
 from clusterlens.operators.spend import AMOUNTS
-from clusterlens.operators.telemetry import worker_utilization
+from clusterlens.operators.telemetry import utilization_of
 from clusterlens.plans.drivers import driver_sizing_summary, oversized_driver_detail
 from clusterlens.plans.runtime import outdated_runtime_detail, runtime_distribution
 from clusterlens.plans.summary import executive_summary
@@ -47,7 +47,7 @@ SHARED_FLAGS = ("has_costs", "has_stats")
 def _per_cluster(t: InputTables, cfg: AnalysisConfig) -> DataFrame:
     """Costs and utilization side by side, with flags for which of the two a cluster has."""
     costs = cluster_costs(t, cfg).withColumn("has_costs", F.lit(True))
-    stats = worker_utilization(t.node_timeline, cfg).withColumn("has_stats", F.lit(True))
+    stats = utilization_of(t, cfg).withColumn("has_stats", F.lit(True))
     return costs.join(stats, "cluster_id", "full")
 
 

@@ -23,7 +23,7 @@ from clusterlens.operators.inventory import RECORD_ORDER, live_clusters
 from clusterlens.operators.joins import splittable_join
 from clusterlens.operators.pricing import cluster_costs, round_costs
 from clusterlens.operators.spend import amounts, factored, share_of_total, weighted_sum
-from clusterlens.operators.telemetry import worker_utilization
+from clusterlens.operators.telemetry import utilization_of
 from clusterlens.sources.tables import InputTables
 
 
@@ -60,7 +60,7 @@ def high_cpu_clusters(
     latest_only: bool = False,
 ) -> DataFrame:
     """Clusters whose average worker CPU, once rounded, reaches the threshold."""
-    stats = worker_utilization(t.node_timeline, cfg) if stats is None else stats
+    stats = utilization_of(t, cfg) if stats is None else stats
     shown = ["avg_cpu_percent", "max_cpu_percent"]
     found = _rounded(stats, *shown).select("cluster_id", *shown, "days_active")
     found = found.where(F.col("avg_cpu_percent") >= cfg.cpu_threshold)
@@ -86,7 +86,7 @@ def high_io_wait_clusters(
     latest_only: bool = False,
 ) -> DataFrame:
     """Clusters whose average worker I/O wait, not rounded, reaches the threshold."""
-    stats = worker_utilization(t.node_timeline, cfg) if stats is None else stats
+    stats = utilization_of(t, cfg) if stats is None else stats
     shown = ["avg_io_wait_percent", "max_io_wait_percent", "avg_cpu_percent"]
     found = _rounded(stats.where(F.col("avg_io_wait_percent") >= cfg.io_wait_threshold), *shown)
     advice = io_recommendation(F.col("avg_io_wait_percent"), cfg)
@@ -104,7 +104,7 @@ def high_memory_clusters(
     latest_only: bool = False,
 ) -> DataFrame:
     """Clusters whose average worker memory or swap, not rounded, reaches its threshold."""
-    stats = worker_utilization(t.node_timeline, cfg) if stats is None else stats
+    stats = utilization_of(t, cfg) if stats is None else stats
     memory, swap = F.col("avg_memory_percent"), F.col("avg_swap_percent")
     shown = ["avg_memory_percent", "max_memory_percent", "avg_swap_percent", "max_swap_percent"]
     found = _rounded(stats.where(memory_bound(memory, swap, cfg)), *shown)
@@ -124,7 +124,7 @@ def bottleneck_summary(
 ) -> DataFrame:
     """Live records with telemetry and their cost per bottleneck; counts records, not distinct clusters."""
     costs = cluster_costs(t, cfg) if costs is None else costs
-    stats = worker_utilization(t.node_timeline, cfg) if stats is None else stats
+    stats = utilization_of(t, cfg) if stats is None else stats
     live = live_clusters(t.clusters, cfg, latest_only=latest_only).where(F.col("cluster_id").isNotNull())
     bottleneck = bottleneck_type(
         F.col("avg_cpu_percent"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from clusterlens import schemas
 from clusterlens.config import AnalysisConfig
+from clusterlens.operators.ranges import Ranges
 
 # Where a metastore keeps the five inputs.
 DEFAULT_NAMES = MappingProxyType(
@@ -67,7 +68,9 @@ class InputTables:
     ``small`` may hold ``node_types``, ``list_prices`` and ``daily_prices`` (prices spelled out by day of the window, for
     a SKU with very many of them). ``from_frames`` and ``from_catalog`` measure; the plain constructor does not, and then
     no dimension gets a broadcast hint and joins take the shuffled path, unless the optimizer's own size check decides
-    otherwise.
+    otherwise. ``no_samples_from`` is a day from which on telemetry is known to have no samples. ``price_ranges`` are the
+    ranges by which usage and prices are joined where prices are not small; where they are not given, each report that
+    needs them measures them.
     """
 
     clusters: DataFrame
@@ -77,6 +80,8 @@ class InputTables:
     list_prices: DataFrame
     lts: DataFrame
     small: frozenset[str] = frozenset()
+    no_samples_from: date | None = None
+    price_ranges: Ranges | None = None
 
     @classmethod
     def from_catalog(
@@ -100,14 +105,20 @@ class InputTables:
 
         With a configuration, only the prices that can be valid in its window count, as only they are broadcast.
         """
-        from clusterlens.operators.pricing import active_prices, by_day
+        from clusterlens.operators.pricing import active_prices, by_day, price_ranges
+        from clusterlens.operators.telemetry import first_later_day, no_samples_from
 
         prices = self.list_prices.withColumnRenamed("sku_name", "price_sku") if cfg is None else active_prices(self.list_prices, cfg)
-        small = set()
+        small, ranges = set(), None
         if fits_broadcast(self.node_types, "node_type"):
             small.add("node_types")
         if fits_broadcast(prices, "price_sku"):
             small.add("list_prices")
         elif cfg is not None and fits_broadcast(by_day(prices, cfg), "price_sku", "price_day"):
             small.add("daily_prices")
-        return replace(self, small=frozenset(small))
+        elif cfg is not None:
+            ranges = price_ranges(self.list_prices, cfg)
+        until = None if cfg is None else first_later_day(cfg)
+        if until is not None and not no_samples_from(self.node_timeline, until):
+            until = None
+        return replace(self, small=frozenset(small), no_samples_from=until, price_ranges=ranges)

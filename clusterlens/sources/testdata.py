@@ -5,7 +5,7 @@ Clusters come from customers, usage from line items, telemetry from events; node
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 from decimal import Decimal
 from functools import cached_property
 
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clusterlens import schemas
+from clusterlens.operators.ranges import Ranges
 from clusterlens.sources.tables import lts_support
 
 AS_OF = date(2026, 12, 1)
@@ -157,6 +158,21 @@ def list_prices(spark: SparkSession) -> DataFrame:
     return local.select([F.col(f.name).cast(f.dataType) for f in schemas.LIST_PRICES])
 
 
+def quoted_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A long price list made from line items, with overlaps, ties, open and invalid intervals: one SKU per part, and one
+    with a third of all prices."""
+    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    hot, start = F.col("l_orderkey") % 3 == 0, F.col("l_shipdate").cast("timestamp")
+    days = F.when(hot, F.col("l_partkey") % 3).otherwise(F.col("l_partkey") % 40 - 1)
+    end = F.when(hot | (F.col("l_partkey") % 50 != 0), F.timestamp_add("DAY", days.cast("int"), start))
+    return lineitem.select(
+        F.when(hot, "hot").otherwise(F.concat(F.lit("P-"), F.col("l_partkey").cast("string"))).alias("sku_name"),
+        start.alias("price_start_time"),
+        end.cast("timestamp").alias("price_end_time"),
+        F.struct(F.col("l_extendedprice").cast("decimal(18,4)").alias("default")).alias("pricing"),
+    )
+
+
 class SampleTables:
     """The inputs as ``InputTables`` holds them, each derived when first used.
 
@@ -165,9 +181,12 @@ class SampleTables:
     """
 
     small = frozenset({"node_types", "list_prices"})
+    price_ranges = None
 
-    def __init__(self, spark: SparkSession, sf_dir: str, small: frozenset[str] = small) -> None:
-        self._spark, self._sf_dir, self.small = spark, sf_dir, small
+    def __init__(
+        self, spark: SparkSession, sf_dir: str, small: frozenset[str] = small, price_ranges: Ranges | None = None
+    ) -> None:
+        self._spark, self._sf_dir, self.small, self.price_ranges = spark, sf_dir, small, price_ranges
 
     @cached_property
     def clusters(self) -> DataFrame:
@@ -181,6 +200,11 @@ class SampleTables:
     def node_timeline(self) -> DataFrame:
         return node_timeline(self._spark, self._sf_dir)
 
+    @cached_property
+    def no_samples_from(self) -> date | None:
+        last = self.node_timeline.agg(F.max(F.to_date("start_time"))).first()[0]
+        return last and last + timedelta(days=1)
+
     @cached_property
     def usage(self) -> DataFrame:
         return usage(self._spark, self._sf_dir)

@@ -87,6 +87,17 @@ def test_telemetry_filters_and_columns_reach_the_scan(stored):
     assert len(re.findall("Exchange hashpartitioning", plan(io_only, "simple"))) == 1
 
 
+def test_telemetry_is_shuffled_once_also_for_days(stored, settings):
+    settings(spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__enabled="false")
+    for t, aggregate in ((stored, "ObjectHashAggregate"), (stored.measured(CFG), "HashAggregate")):
+        text = plan(REPORTS["high_cpu_clusters"](t, CFG, ordered=False), "simple").splitlines()
+        [scan] = [n for n, line in enumerate(text) if "cpu_user_percent" in line and "FileScan" in line]
+        join = max(n for n in range(scan) if "Join" in text[n])
+        above = "\n".join(text[join:scan])
+        assert above.count("Exchange") == 1 and "SortAggregate" not in above
+        assert len(re.findall(rf"\b{aggregate}\(", above)) == 2 and "days_active" in above
+
+
 def test_measured_prices_are_broadcast_and_others_are_not(stored, settings):
     settings(spark__sql__autoBroadcastJoinThreshold="-1")
     assert stored.small == SMALL
@@ -96,7 +107,7 @@ def test_measured_prices_are_broadcast_and_others_are_not(stored, settings):
     )
     text = plan(priced_usage(unmeasured, CFG), "simple")
     assert "Broadcast" not in text
-    assert re.search(r"hashpartitioning\(sku_name\S*, usage_day", text)
+    assert re.search(r"hashpartitioning\(sku_name\S*, \d+\)", text)
 
 
 def force_skew_handling(settings):

@@ -1,11 +1,14 @@
 import random
+from dataclasses import replace
 from datetime import datetime, timedelta
-from decimal import Decimal
+from decimal import ROUND_HALF_UP, Decimal, localcontext
 
 import pytest
 from pyspark.sql import functions as F
 
-from clusterlens.operators.pricing import cluster_costs, overlapping_prices, priced_usage
+from clusterlens.config import AnalysisConfig
+from clusterlens.operators.pricing import active_prices, by_range, cluster_costs, overlapping_prices, price_ranges, priced_usage
+from clusterlens.operators.ranges import MIN_WEIGHT, chosen_cuts, equal_ranges, sampled_ranges
 from clusterlens.sources import tables as sources
 from clusterlens.sources.tables import InputTables, fits_broadcast
 from tests.frames import CFG, SMALL, at, price, tables, used, values
@@ -148,8 +151,32 @@ def test_overlaps_against_brute_force(spark):
             for q in valid
         )
     )
-    found = values(overlapping_prices(tables(spark, prices=prices).list_prices), "sku_name", "price_start_time")
-    assert sorted(found) == expected
+    for options in ({}, {"min_weight": 1}, {"min_weight": 5, "places": 20}):
+        found = values(overlapping_prices(tables(spark, prices=prices).list_prices, **options), "sku_name", "price_start_time")
+        assert sorted(found) == expected
+
+
+def test_overlapping_ties_and_copies(spark):
+    prices = [price("01-01", "02-01")] * 3 + [price("01-01", "03-01"), price("01-01", None, sku="T"), price("03-01", "03-02")]
+    prices += [price("01-05", "01-05"), price(None, "01-01"), price("01-01", "02-01", sku=None), price("01-02", "02-01", sku=None)]
+    found = values(overlapping_prices(tables(spark, prices=prices).list_prices), "*")
+    assert sorted(found, key=str) == sorted(
+        [("S", at("01-01"), at("02-01"), 2), ("S", at("01-01"), at("03-01"), 1), (None, at("01-02"), at("02-01"), 1)], key=str
+    )
+
+
+def test_a_dense_sku_is_spread(spark):
+    """A third of all prices in one SKU and day: no range holds more than a small part of them."""
+    n = F.col("id")
+    made = spark.range(90_000).select(
+        F.when(n % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (n % 997).cast("string"))).alias("sku_name"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + n % 86_400).alias("price_start_time"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + n % 86_400 + 1).alias("price_end_time"),
+    )
+    ranges = sampled_ranges(made, "sku_name", F.col("price_start_time"))
+    largest = ranges.added_to(made, "sku_name", range=(F.col("price_start_time"), True)).groupBy("sku_name", "range").count()
+    assert largest.agg(F.max("count")).first()[0] < 1_000
+    assert overlapping_prices(made).agg(F.sum("n_prices")).first()[0] == 90_000 - made.distinct().count()
 
 
 @BOTH_PATHS
@@ -164,3 +191,120 @@ def test_long_decimals_keep_the_engine_scale(spark, small):
     row = cluster_costs(t, CFG).first()
     assert row.total_dbus == Decimal("0.000000370370367000")
     assert row.total_cost_usd == 0 and cluster_costs(t, CFG).schema["total_cost_usd"].dataType.scale == 6
+
+
+def _long_and_short(n_long, n_short):
+    """Prices of one SKU over a year: long ones, begun here and there and mostly open, and short ones after one another."""
+    pick, first, prices = random.Random(3), datetime(2025, 12, 1), []
+    for n in range(n_long):
+        row = price(None, None, f"{1 + n % 7}")
+        row["price_start_time"] = first + timedelta(minutes=pick.randrange(-10_000, 365 * 1440))
+        row["price_end_time"] = None if n % 3 else row["price_start_time"] + timedelta(days=300)
+        prices.append(row)
+    for n in range(n_short):
+        row = price(None, None, "2")
+        row["price_start_time"] = first + timedelta(minutes=200 * n)
+        row["price_end_time"] = row["price_start_time"] + timedelta(minutes=200)
+        prices.append(row)
+    return prices
+
+
+@pytest.mark.parametrize("n_long, n_short", [(5_000, 0), (0, 2_500), (300, 2_000), (10, 30)])
+def test_ranges_repeat_each_price_once_on_average_at_most(spark, n_long, n_short):
+    year = replace(CFG, lookback_days=365)
+    prices = [*_long_and_short(n_long, n_short), price("01-01", None, sku="T")]
+    t = tables(spark, prices=prices, small=frozenset())
+    ranges = price_ranges(t.list_prices, year)
+    active = active_prices(t.list_prices, year)
+    spread = by_range(active, ranges)
+    assert active.count() <= spread.count() <= 2 * active.count()
+    per_range = spread.where("price_sku = 'S'").groupBy("price_range").count().agg(F.max("count")).first()[0]
+    if n_short > 1_000:
+        assert len(ranges.cuts["S"]) > 3 and per_range < active.count() / 2
+    assert n_long + n_short > MIN_WEIGHT or not ranges.cuts
+
+    pick = random.Random(4)
+    usage = []
+    for n in range(40):
+        row = used(f"c{n}", "1", pick.choice("SST"))
+        row["usage_start_time"] = pick.choice(
+            [pick.choice(prices)["price_start_time"], datetime(2025, 12, 1) + timedelta(minutes=pick.randrange(365 * 1440))]
+        )
+        usage.append(row)
+    usage[0]["usage_start_time"] = datetime(2025, 12, 1)
+    made = replace(tables(spark, usage=usage, prices=prices, small=frozenset()), price_ranges=ranges)
+    got = priced_usage(made, year).groupBy("cluster_id").agg(F.count(F.lit(1)), F.sum("cost_usd")).collect()
+    expected = {}
+    for u in usage:
+        at = u["usage_start_time"]
+        hits = [
+            p["pricing"]["default"] for p in prices
+            if p["sku_name"] == u["sku_name"] and p["price_start_time"] <= at and (p["price_end_time"] is None or at < p["price_end_time"])
+        ]
+        if at >= datetime(2025, 12, 1):
+            expected[u["usage_metadata"]["cluster_id"]] = len(hits) or 1, sum(hits)
+    assert {r[0]: (r[1], r[2]) for r in got} == expected
+
+
+def test_small_ranges_against_brute_force(spark, monkeypatch):
+    """Every instant as a place, every cut allowed that pays: the search in blocks and the count behind it."""
+    pick = random.Random(9)
+    for _ in range(3):
+        rows = []
+        for _ in range(400):
+            start = pick.randrange(300)
+            rows.append((pick.choice("ab"), start, pick.choice([None, start + pick.randrange(1, 90)])))
+        at = F.col("s").cast("timestamp"), F.col("e").cast("timestamp")
+        frame_ = spark.createDataFrame(rows, "k string, s long, e long")
+        ranges = equal_ranges(frame_, "k", *at, min_weight=1, places=10_000)
+        for key in "ab":
+            starts = sorted({s for k, s, _ in rows if k == key})
+            weights = []
+            for before, cut in zip([None, *starts], starts, strict=False):
+                since = sum(k == key and s < cut and (before is None or s >= before) for k, s, _ in rows)
+                across = sum(k == key and s < cut and (e is None or cut < e) for k, s, e in rows)
+                weights.append((cut * 10**6, since, across))
+            assert ranges.cuts.get(key, ()) == chosen_cuts(weights, 1)
+        placed = ranges.added_to(frame_, "k", first=(at[0], True), last=(at[1], False)).collect()
+        for row in placed:
+            cuts = [c // 10**6 for c in ranges.cuts.get(row.k, ())]
+            assert row.first == sum(c <= row.s for c in cuts)
+            assert row["last"] == (len(cuts) if row.e is None else sum(c < row.e for c in cuts))
+
+
+def test_unmeasured_and_measured_ranges(spark, monkeypatch):
+    prices = _long_and_short(0, 200)
+    monkeypatch.setattr(sources, "BROADCAST_MAX_ROWS_PER_KEY", 0)
+    t = tables(spark, usage=[used("c", "3")], prices=[*prices, price("01-01", None)], small=frozenset()).measured(CFG)
+    assert t.small == frozenset() and t.price_ranges is not None
+    assert values(cluster_costs(t, CFG), "total_cost_usd") == values(cluster_costs(replace(t, price_ranges=None), CFG), "total_cost_usd")
+    assert equal_ranges(spark.createDataFrame([], "k string, s timestamp, e timestamp"), "k", F.col("s"), F.col("e")).cuts == {}
+
+
+@pytest.mark.parametrize("small", [SMALL, frozenset()], ids=["broadcast", "shuffled"])
+def test_exact_costs_equal_pythons_decimals(spark, small):
+    wide, pick = "decimal(38,18)", random.Random(6)
+
+    def some():
+        digits = pick.choice([1, 5, 8])
+        return pick.choice([1, -1]) * Decimal(pick.randrange(10**digits * 10**18)).scaleb(-18 - pick.choice([0, 3, 9])).quantize(Decimal(1).scaleb(-18))
+
+    amounts = [(some(), some()) for _ in range(300)] + [(Decimal(0), some()), (Decimal("0.5"), Decimal("-0.000000000000000001"))]
+    usage = [used(f"c{n}", "1", f"S{n}") for n in range(len(amounts))]
+    prices = [price("01-01", None, "1", f"S{n}") for n in range(len(amounts))]
+    t = tables(spark, usage=usage, prices=prices, small=small)
+    table = spark.createDataFrame([(f"S{n}", *pair) for n, pair in enumerate(amounts)], f"sku string, q {wide}, p {wide}")
+    usage_ = t.usage.join(table, F.col("sku_name") == F.col("sku")).select(*[F.col("q").alias(c) if c == "usage_quantity" else c for c in t.usage.columns])
+    prices_ = t.list_prices.join(table, F.col("sku_name") == F.col("sku")).select("sku_name", "price_start_time", "price_end_time", F.struct(F.col("p").alias("default")).alias("pricing"))
+    t = replace(t, usage=usage_, list_prices=prices_)
+    with localcontext() as context:
+        context.prec = 80
+        expected = {f"c{n}": (q * p).quantize(Decimal(1).scaleb(-18), ROUND_HALF_UP) for n, (q, p) in enumerate(amounts)}
+    exact = replace(CFG, exact_costs=True)
+    assert dict(values(cluster_costs(t, exact), "cluster_id", "total_cost_usd")) == expected
+    assert cluster_costs(t, CFG).schema["total_cost_usd"].dataType.scale == 6
+    plain = tables(spark, usage=[used("c", "2.5")], prices=[price("01-01", None, "0.25")], small=small)
+    assert values(cluster_costs(plain, exact), "*") == values(cluster_costs(plain, CFG), "*")
+    assert AnalysisConfig.from_params({"exact_costs": "TRUE"}).exact_costs
+    with pytest.raises(ValueError, match="true or false"):
+        AnalysisConfig.from_params({"exact_costs": "yes"})

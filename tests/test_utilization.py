@@ -1,11 +1,13 @@
+import random
 from dataclasses import replace
+from datetime import datetime, timedelta
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from clusterlens.functions.utilization import cpu_recommendation, io_recommendation, memory_recommendation
-from clusterlens.operators.telemetry import worker_utilization
+from clusterlens.operators.telemetry import first_later_day, no_samples_from, utilization_of, worker_utilization
 from clusterlens.plans.utilization import bottleneck_summary, high_cpu_clusters, high_io_wait_clusters, high_memory_clusters
 from tests.frames import CFG, at, cluster, sample, tables, used, values
 
@@ -120,3 +122,34 @@ def test_thresholds(spark, option, value):
 
 def test_shares_without_any_cost(spark):
     assert values(bottleneck_summary(averages(spark, "cpu", [1.0]), CFG), "pct_of_total_cost") == [(None,)]
+
+
+def test_days_are_counted_as_a_set_in_one_shuffle(spark):
+    """Days over several words, their edges, and days after the window, against a plain count."""
+    long = replace(CFG, lookback_days=200)
+    first = datetime.combine(long.window_start, datetime.min.time())
+    pick = random.Random(5)
+    days = [0, 62, 63, 125, 126, 188, 189, 200, 251, 252, 400] + [pick.randrange(0, 300) for _ in range(60)]
+    samples = [sample(pick.choice("ab"), start_time=first + timedelta(days=d, hours=pick.randrange(24))) for d in days]
+    samples += [sample("none", start_time=first - timedelta(hours=1)), sample("driver", driver=True)]
+    timeline = tables(spark, samples=samples).node_timeline
+    expected = {}
+    for row in samples[:-2]:
+        expected.setdefault(row["cluster_id"], set()).add(row["start_time"].date())
+    stats = worker_utilization(timeline, long)
+    assert dict(values(stats, "cluster_id", "days_active")) == {c: len(d) for c, d in expected.items()}
+    assert not no_samples_from(timeline, first_later_day(long))
+    early = timeline.where(F.col("start_time") < F.lit(first_later_day(long)))
+    assert no_samples_from(early, first_later_day(long))
+    known = worker_utilization(early, long, last_known=True)
+    assert sorted(values(known, "*")) == sorted(values(worker_utilization(early, long), "*"))
+    assert first_later_day(long) == long.window_start + timedelta(days=252)
+
+
+def test_measured_tables_know_their_last_samples(spark):
+    t = tables(spark, samples=[sample()])
+    assert t.no_samples_from is None and t.measured().no_samples_from is None
+    assert t.measured(CFG).no_samples_from == first_later_day(CFG)
+    late = tables(spark, samples=[sample(start_time=datetime(2028, 1, 1))])
+    assert late.measured(CFG).no_samples_from is None
+    assert values(utilization_of(late.measured(CFG), CFG), "days_active") == [(1,)]
