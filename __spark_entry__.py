@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
+from datetime import timedelta
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,16 +19,17 @@ import oracle_queries  # noqa: E402
 from clusterlens.config import AnalysisConfig  # noqa: E402
 from clusterlens.functions import drivers, runtime, utilization, vm  # noqa: E402
 from clusterlens.operators.inventory import live_clusters, workspace_ids  # noqa: E402
-from clusterlens.operators.pricing import cluster_costs, priced_usage  # noqa: E402
+from clusterlens.operators.pricing import cluster_costs, overlapping_prices, price_ranges, priced_usage  # noqa: E402
 from clusterlens.operators.specs import with_node_specs  # noqa: E402
 from clusterlens.operators.spend import AMOUNTS, share_of_total, spend_by_group  # noqa: E402
 from clusterlens.operators.support import with_support  # noqa: E402
-from clusterlens.operators.telemetry import worker_utilization  # noqa: E402
+from clusterlens.operators.telemetry import utilization_of  # noqa: E402
 from clusterlens.plans import drivers as driver_reports  # noqa: E402
 from clusterlens.plans import runtime as runtime_reports  # noqa: E402
-from clusterlens.plans import summary, utilization as utilization_reports  # noqa: E402
+from clusterlens.plans import full_run, summary, utilization as utilization_reports  # noqa: E402
 from clusterlens.plans import vm as vm_reports  # noqa: E402
 from clusterlens.sources import testdata  # noqa: E402
+from clusterlens.sources.sink import report_history, save_report  # noqa: E402
 from clusterlens.sources.tables import InputTables  # noqa: E402
 
 try:  # the operators for training text are optional; only their absence is passed over
@@ -132,14 +136,14 @@ def _oversized_driver(t: InputTables, cfg: AnalysisConfig) -> DataFrame:
 
 
 def _worker_utilization(t: InputTables, cfg: AnalysisConfig) -> DataFrame:
-    stats = worker_utilization(t.node_timeline, cfg)
+    stats = utilization_of(t, cfg)
     return stats.select([F.round(c, 2).alias(c) if c.endswith("_percent") else F.col(c) for c in stats.columns])
 
 
 def _bottleneck_type(t: InputTables, cfg: AnalysisConfig) -> DataFrame:
     averages = [F.col(f"avg_{m}_percent") for m in ("cpu", "io_wait", "memory", "swap")]
     bottleneck = utilization.bottleneck_type(*averages, cfg)
-    return worker_utilization(t.node_timeline, cfg).select("cluster_id", bottleneck.alias("bottleneck_type"))
+    return utilization_of(t, cfg).select("cluster_id", bottleneck.alias("bottleneck_type"))
 
 
 def _share_of_total(t: InputTables, cfg: AnalysisConfig) -> DataFrame:
@@ -202,6 +206,7 @@ BY_PATH: dict[str, tuple[str, str]] = {
     "executive_summary_shuffled": ("executive_summary", "shuffled"),
     "oversized_driver_detail_shuffled": ("oversized_driver_detail", "shuffled"),
 }
+RANGED = ("priced_usage", "cluster_costs", "executive_summary")
 # And with other parameters than the defaults.
 PARAMS = {
     "workspace_filter": "ws-4", "lookback_days": "7", "driver_cpu_threshold": "8", "driver_memory_gb_threshold": "32",
@@ -237,16 +242,78 @@ def _query(
     return lambda spark, sf_dir: _comparable(report(testdata.SampleTables(spark, sf_dir, small), cfg))
 
 
+def _overlapping_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _comparable(overlapping_prices(testdata.quoted_prices(spark, sf_dir)))
+
+
+def _ranged(report: Report) -> Callable[[SparkSession, str], DataFrame]:
+    """With usage and prices cut into as many ranges of time as their rule allows."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ranges = price_ranges(testdata.list_prices(spark), CONFIG, min_weight=1)
+        return _comparable(report(testdata.SampleTables(spark, sf_dir, frozenset(), ranges), CONFIG))
+
+    return query
+
+
+# All reports from one full run, saved while its shared table exists, and read back from their histories.
+FULL_RUN = tuple([*full_run.COST_REPORTS, "executive_summary", *full_run.UTILIZATION_REPORTS])
+_runs: dict[tuple[str, str], AnalysisConfig] = {}
+
+
+def _new_schema(spark: SparkSession, cfg: AnalysisConfig) -> AnalysisConfig:
+    schema = f"clusterlens_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {schema}")
+    return replace(cfg, output_schema=schema)
+
+
+def _saved_run(spark: SparkSession, sf_dir: str) -> AnalysisConfig:
+    """Where the reports of the session's full run over these tables are kept; the first caller makes the run."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _runs:
+        cfg = _new_schema(spark, CONFIG)
+        with full_run.all_reports(testdata.SampleTables(spark, sf_dir), cfg, ordered=False) as reports:
+            for name, report in reports.items():
+                save_report(report, name, cfg)
+        left = spark.sql(f"SHOW TABLES IN {cfg.output_schema} LIKE 'clusterlens_run_*'")
+        if not left.isEmpty():
+            raise RuntimeError("the shared table of the full run is still there")
+        _runs[key] = cfg
+    return _runs[key]
+
+
+def _from_full_run(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        saved = report_history(spark, name, _saved_run(spark, sf_dir)).drop("as_of")
+        shown = dict(zip(saved.columns, oracle_queries.SHOWN_NAMES.get(name, saved.columns), strict=True))
+        return _comparable(saved.withColumnsRenamed(shown))
+
+    return query
+
+
+def _report_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two dates of a report, the first of them saved twice."""
+    tables, cfg = testdata.SampleTables(spark, sf_dir), _new_schema(spark, CONFIG)
+    for days in (0, 1, 0):
+        dated = replace(cfg, as_of=cfg.as_of + timedelta(days=days))
+        save_report(driver_reports.driver_sizing_summary(tables, dated, ordered=False), "driver_sizing_summary", dated)
+    return _comparable(report_history(spark, "driver_sizing_summary", cfg))
+
+
 def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     tuned = AnalysisConfig.from_params({**PARAMS, "as_of": testdata.AS_OF})
     queries = {name: _query(report) for name, report in REPORTS.items()}
     queries |= {name: _query(REPORTS[base], small=PATHS[path]) for name, (base, path) in BY_PATH.items()}
+    queries |= {f"{name}_full_run": _from_full_run(name) for name in FULL_RUN} | {"report_history": _report_history}
+    queries |= {f"{name}_ranged": _ranged(REPORTS[name]) for name in RANGED} | {"overlapping_prices": _overlapping_prices}
     return queries | {f"{name}_tuned": _query(REPORTS[name], tuned) for name in TUNED}
 
 
 def _own_sql() -> dict[str, str]:
     sql, tuned = oracle_queries.all_queries(), oracle_queries.all_queries(params=PARAMS)
-    return sql | {name: sql[base] for name, (base, _) in BY_PATH.items()} | {f"{name}_tuned": tuned[name] for name in TUNED}
+    others = {name: sql[base] for name, (base, _) in BY_PATH.items()} | {f"{name}_full_run": sql[name] for name in FULL_RUN}
+    others |= {f"{name}_ranged": sql[name] for name in RANGED}
+    return sql | others | {f"{name}_tuned": tuned[name] for name in TUNED}
 
 
 def entry(spark: SparkSession) -> DataFrame:

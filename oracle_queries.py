@@ -23,7 +23,7 @@ _WINDOW = _param("window_start")
 
 # Defaults of the parameters that reports take, under the names that jobs pass them by.
 _DEFAULTS = {
-    "lookback_days": "30", "workspace_filter": "ALL", "driver_cpu_threshold": "16", "driver_memory_gb_threshold": "64",
+    "as_of": "2026-12-01", "lookback_days": "30", "workspace_filter": "ALL", "driver_cpu_threshold": "16", "driver_memory_gb_threshold": "64",
     "cpu_threshold": "70", "io_wait_threshold": "10", "memory_threshold": "80", "swap_threshold": "1",
     "vm_threshold_D": "5", "vm_threshold_E": "5", "vm_threshold_F": "2", "vm_threshold_L": "3", "vm_threshold_M": "2",
     "vm_threshold_N": "1", "vm_threshold_default": "5",
@@ -37,11 +37,16 @@ def _values(given: Mapping[str, str]) -> dict[str, str]:
     least = ", ".join(f"('{n[-1]}', {p[n]})" for n in p if re.fullmatch("vm_threshold_[A-Z]", n))
     return {
         "params": f"""
-    SELECT CAST({_TODAY} - CAST({p["lookback_days"]} AS INT) AS TIMESTAMP) AS window_start,
+    SELECT CAST(DATE '{p["as_of"]}' - CAST({p["lookback_days"]} AS INT) AS TIMESTAMP) AS window_start,
            '{p["workspace_filter"]}' AS workspace, {numbers}""",
         "minimum": f"SELECT * FROM (VALUES {least}) AS minimum(letter, least_gen)",
     }
 
+# Columns of reports that are stored under other names.
+SHOWN_NAMES = {
+    "executive_summary": ("Issue Category", "Affected Clusters", "Total DBUs", "Total Cost (USD)", "Recommendation")
+}
+
 # Inputs and intermediate steps: name -> (steps it needs, SQL).
 _STEPS: dict[str, tuple[tuple[str, ...], str]] = {}
 
@@ -486,6 +491,39 @@ def all_queries(given: frozenset[str] = frozenset(), params: Mapping[str, str] |
                 FROM loaded GROUP BY bottleneck_type""",
         ),
     }
+    queries["overlapping_prices"] = """
+        WITH quoted AS (
+            SELECT IF(l_orderkey % 3 = 0, 'hot', 'P-' || l_partkey) AS sku_name, CAST(l_shipdate AS TIMESTAMP) AS starts,
+                   CASE WHEN l_orderkey % 3 = 0 THEN starts + to_days(CAST(l_partkey % 3 AS INTEGER))
+                        WHEN l_partkey % 50 <> 0 THEN starts + to_days(CAST(l_partkey % 40 - 1 AS INTEGER)) END AS ends
+            FROM lineitem
+        ),
+        counted AS (
+            SELECT sku_name, starts, ends, COUNT(*) AS n FROM quoted WHERE ends IS NULL OR starts < ends GROUP BY ALL
+        ),
+        followed AS (
+            SELECT *, MAX(coalesce(ends, TIMESTAMP '9999-12-31')) OVER (
+                       PARTITION BY sku_name ORDER BY starts, ends NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING
+                   ) AS covered
+            FROM counted
+        )
+        SELECT sku_name, CAST(starts AS VARCHAR) AS price_start_time, CAST(ends AS VARCHAR) AS price_end_time,
+               IF(starts < covered, n, n - 1) AS n_prices
+        FROM followed WHERE IF(starts < covered, n, n - 1) > 0"""
+    dated = []
+    for day in ("2026-12-01", "2026-12-02"):
+        at_day = _values({**(params or {}), "as_of": day})
+        sizing = _query(
+            "sized",
+            f"""SELECT driver_node_type, core_count AS driver_vcpus, {_rd('gb', 1)} AS driver_memory_gb,
+                       COUNT(DISTINCT cluster_id) AS cluster_count, {_SUMS}, {_SHARE} AS pct_of_total_cost,
+                       recommendation, '{day}' AS as_of
+                FROM sized WHERE oversized GROUP BY driver_node_type, core_count, gb, recommendation""",
+            given,
+            at_day,
+        )
+        dated.append(f"SELECT * FROM ({sizing})")
+    queries["report_history"] = " UNION ALL ".join(dated)
     queries["spend_by_group_wide"] = query(
         "billed",
         f"""SELECT dbr_version, COUNT(DISTINCT cluster_id) AS cluster_count, COUNT(*) AS record_count,

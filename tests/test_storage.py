@@ -1,12 +1,16 @@
 from dataclasses import replace
 from datetime import timedelta
 from decimal import Decimal
+from pathlib import Path
+from uuid import uuid4
 
 import pytest
+from pyspark.sql import functions as F
 
 from clusterlens.plans.full_run import all_reports
 from clusterlens.plans.runtime import outdated_runtime_detail
-from clusterlens.sources.sink import save_report
+from clusterlens.sources import sink
+from clusterlens.sources.sink import report_history, save_report
 from clusterlens.sources.tables import InputTables
 from tests.frames import CFG, SMALL, cluster, sample, tables, used, values
 
@@ -86,3 +90,35 @@ def test_the_table_of_a_failed_run_is_dropped(spark, schema):
     with pytest.raises(RuntimeError), all_reports(tables(spark, clusters=[cluster("a")]), OUT):
         raise RuntimeError
     assert spark.sql("SHOW TABLES IN history LIKE 'clusterlens_run_*'").count() == 0
+
+
+def test_a_failed_save_leaves_the_date_as_it_was(spark, schema, monkeypatch):
+    def saved():
+        return values(spark.table("history.swapped").orderBy("id"), "id", "as_of")
+
+    save_report(spark.range(3), "swapped", OUT)
+    before = saved()
+    assert before == [(n, OUT.as_of) for n in range(3)]
+    wrong = spark.range(4).select(F.when(F.col("id") < 3, F.col("id")).otherwise(F.raise_error(F.lit("broken"))).cast("bigint").alias("id"))
+    with pytest.raises(Exception, match="broken"):
+        save_report(wrong, "swapped", OUT)
+    assert saved() == before
+
+    monkeypatch.setattr(sink, "_sums", lambda columns: [F.lit(uuid4().hex).alias("n_rows"), F.count(F.lit(1)).alias("checksum")])
+    with pytest.raises(RuntimeError, match="was written"):
+        save_report(spark.range(4), "swapped", OUT)
+    assert saved() == before
+    monkeypatch.undo()
+
+    reader = spark.table("history.swapped")
+    for rows in (5, 6, 7):
+        save_report(spark.range(rows), "swapped", OUT)
+        later = replace(OUT, as_of=OUT.as_of + timedelta(days=1))
+        save_report(spark.range(1), "swapped", later)
+    assert report_history(spark, "swapped", OUT).groupBy("as_of").count().orderBy("as_of").collect() == [(OUT.as_of, 7), (later.as_of, 1)]
+    assert reader.schema == spark.table("history.swapped").schema
+    [location] = [r.data_type for r in spark.sql("DESCRIBE TABLE EXTENDED history.swapped").collect() if r.col_name == "Location"]
+    runs = sorted(p.name[:10] for p in Path(location.removeprefix("file:"), "_runs").iterdir())
+    assert runs == [str(OUT.as_of)] * 2 + [str(later.as_of)] * 2
+    save_report(spark.range(0), "swapped", OUT)
+    assert saved() == [(0, later.as_of)]
