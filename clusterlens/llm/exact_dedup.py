@@ -2,13 +2,14 @@
 
 Texts are equal when they are identical after lower-casing A-Z; NULL counts as empty. Only built-in functions are used.
 
-1. One scan reduces every document to its length in bytes and a hash of its first characters.
-2. Lengths that occur once are dropped, then pairs of length and prefix that occur once.
-3. A second scan marks the documents whose pair survived and hashes the full text of those alone.
-
-Text is never shuffled. The surviving pairs are counted first: while they fit the broadcast bound they are broadcast, so
-the second scan knows which texts to hash; beyond it the scan hashes every text, and 32 bytes meet the pairs in a
-shuffled join instead of the text. Hot groups of copies are combined before each shuffle.
+1. A first scan counts the documents of every length in bytes.
+2. A second one hashes the first characters of documents whose length another one has, and counts these pairs.
+3. A third one marks the documents whose pair another one has, and hashes the full text of those alone.
+
+``copies`` shuffles no text, ``drop_copies`` only the rows of documents that have a copy and stay. Surviving lengths and
+pairs are counted first: while they fit the broadcast bound they are broadcast, so the next scan knows which texts to
+hash; beyond it the scan hashes every text, and the hashes meet the survivors in a shuffled join instead of the text.
+Hot groups of copies are combined before each shuffle.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from clusterlens.llm import common
 
 PREFIX_CHARS = 128
-_PAIR_BYTES, _GROUP_BYTES = 48, 160
+_LENGTH_BYTES, _PAIR_BYTES, _GROUP_BYTES = 32, 48, 160
 
 
 def normalised(text: Column) -> Column:
@@ -38,15 +39,19 @@ def _pair(text: Column, prefix_chars: int) -> Column:
     return F.xxhash64(_length(text), prefix)
 
 
-def surviving_pairs(docs: DataFrame, text: str, prefix_chars: int) -> DataFrame:
+def surviving_pairs(docs: DataFrame, text: str, prefix_chars: int, *, broadcast: bool | None = None) -> DataFrame:
     """Pairs of length and prefix hash that more than one document has, among lengths that more than one has."""
-    light = common.settle(
-        docs.select(_length(F.col(text)).alias("_length"), _pair(F.col(text), prefix_chars).alias("_pair"))
-        .groupBy("_length", "_pair")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    lengths = light.groupBy("_length").agg(F.sum("_n").alias("_of_length")).where("_of_length > 1")
-    return light.where("_n > 1").join(lengths, "_length", "left_semi").select("_pair")
+    texts = docs.select(_length(F.col(text)).alias("_length"), F.col(text).alias("_text"))
+    lengths = texts.groupBy("_length").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_length")
+    lengths = common.settle(lengths)
+    small = common.fits_broadcast(lengths.count(), _LENGTH_BYTES) if broadcast is None else broadcast
+    pair = _pair(F.col("_text"), prefix_chars).alias("_pair")
+    if small:
+        hashed = texts.join(F.broadcast(lengths), "_length", "left_semi").select("_length", pair)
+    else:
+        hashed = texts.select("_length", pair)
+    pairs = hashed.groupBy("_length", "_pair").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return pairs.join(lengths, "_length", "left_semi").select("_pair")
 
 
 def copies(
@@ -67,7 +72,7 @@ def copies(
     """
     carry = dict(carry or {})
     body, full = F.col(text), F.sha2(normalised(F.col(text)).cast("binary"), 256)
-    pairs = common.settle(surviving_pairs(docs, text, prefix_chars))
+    pairs = common.settle(surviving_pairs(docs, text, prefix_chars, broadcast=broadcast))
     small = common.fits_broadcast(pairs.count(), _PAIR_BYTES) if broadcast is None else broadcast
     base = [F.col(doc_id).alias("doc_id"), _pair(body, prefix_chars).alias("_pair")]
     carried = [value.alias(name) for name, value in carry.items()]

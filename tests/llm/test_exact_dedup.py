@@ -60,3 +60,18 @@ def keeps():
 def test_an_empty_table(spark):
     assert exact_dedup.copies(docs(spark).limit(0)).count() == 0
     assert exact_dedup.drop_copies(docs(spark).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("broadcast", [True, None])
+def test_prefixes_are_hashed_only_where_a_length_repeats(spark, monkeypatch, broadcast):
+    pair = exact_dedup._pair
+
+    def refusing(text, chars):
+        return F.when(F.octet_length(text) == 5, F.raise_error(F.lit("hashed")).cast("bigint")).otherwise(pair(text, chars))
+
+    monkeypatch.setattr(exact_dedup, "_pair", refusing)
+    rows = [(1, "aa"), (2, "AA"), (3, "bb"), (4, "ccc"), (5, "ddd"), (6, "alone"), (7, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert exact_dedup.surviving_pairs(frame, "text", 128, broadcast=broadcast).count() == 1
+    with pytest.raises(Exception, match="hashed"):
+        exact_dedup.surviving_pairs(frame, "text", 128, broadcast=False).count()
