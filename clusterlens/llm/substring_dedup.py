@@ -32,7 +32,8 @@ from clusterlens.llm.common import fits_broadcast, settle, spread_join
 RUN, LONGEST, MIN_WORDS = 2, 16, 10
 # A long sentence is cut after one in so many words, or in twice as many characters of a script without spaces.
 CUT_EVERY = 8
-_CUT_BYTES = 160
+# Of a document's cuts in a broadcast table: key, headers and pointers, and each place.
+_CUT_BYTES, _PLACE_BYTES = 104, 4
 
 # Thai, Lao, Burmese, Khmer, kana and Han
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
@@ -160,7 +161,8 @@ def drop_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     column for the number of sentences taken out. A NULL text stays NULL.
     """
     cuts = settle(repeats(docs, doc_id=doc_id, text=text))
-    if fits_broadcast(cuts.count(), _CUT_BYTES):
+    n, places = cuts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("at")), F.lit(0))).first()
+    if fits_broadcast(1, n * _CUT_BYTES + places * _PLACE_BYTES):
         cuts = F.broadcast(cuts)
     same = F.col(f"_d.{doc_id}").cast("bigint").eqNullSafe(F.col("_c.cut_id")) & (F.col("_hash") == F.col("_c.cut_hash"))
     joined = docs.withColumn("_hash", _text_hash(text)).alias("_d").join(cuts.alias("_c"), same, "left")
