@@ -129,6 +129,101 @@ QUERIES: dict[str, Query] = {
 
 _A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+def _repair_sql() -> str:
+    """The damage, the faults, and the cheapest edits by a fold over the rows: for each state of the output, cost and audit
+    in one text that sorts like both."""
+    blanks = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+    def plus(lane: str, cost: str, edit: str) -> str:
+        return f"(lpad(CAST(CAST(left({lane}, 18) AS BIGINT) + {cost} AS VARCHAR), 18, '0') || substr({lane}, 19) || '{edit}')"
+
+    def at_best(*lanes: str) -> str:
+        return f"least({', '.join(lanes)})"
+
+    def renamed(*lanes: str) -> str:
+        return f"IF(w.f IN (1, 2), NULL, {at_best(*[plus(lane, '1 + IF(w.f = 3, 5, 0)', 'R') for lane in lanes], 'NULL::VARCHAR')})"
+
+    def kept(initial: str, *lanes: str) -> str:
+        either = at_best(*[plus(lane, "IF(w.f = 3, 5, 0)", "K") for lane in lanes], "NULL::VARCHAR")
+        return f"IF(w.f IN (1, 2) OR w.i <> '{initial}', NULL, {either})"
+
+    def deleted(lane: str) -> str:
+        return plus(lane, "2", "D")
+
+    step = f"""{{'n': {deleted("l.n")}, 's': {at_best(deleted("l.s"), kept("s", "l.n"))},
+                 'u': {at_best(deleted("l.u"), renamed("l.n", "l.s", "l.a"), kept("u", "l.n", "l.s", "l.a"))},
+                 'a': {at_best(deleted("l.a"), renamed("l.u"), kept("a", "l.u"))}}}"""
+    user = at_best("x.u", *[plus(f"x.{lane}", "5", "I") for lane in "nsa"])
+    inserted = f"""list_transform(list_transform([{{0}}], lambda x: {{{{'n': x.n, 's': x.s, 'u': {user}, 'a': x.a}}}}),
+                   lambda y: {{{{'n': y.n, 's': y.s, 'u': y.u, 'a': least(y.a, {plus("y.u", "5", "I")})}}}})[1]"""
+    start = "{'n': repeat('0', 18), 's': NULL::VARCHAR, 'u': NULL::VARCHAR, 'a': NULL::VARCHAR}"
+    wanted = "IF(p.q = 'u', 'assistant', 'user')"
+    role = f"IF(edit = 'K', rows[p.k].r, {wanted})"
+    text = "IF(edit = 'I', '', rows[p.k].t)"
+    return f"""
+        WITH named AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+            FROM conversations
+        ),
+        numbered AS (  -- crc32, bit by bit
+            SELECT *, xor(list_reduce(
+                       [ord(c) FOR c IN string_split(name, '')],
+                       lambda crc, byte: list_reduce(
+                           range(8), lambda part, i: xor(part >> 1, 3988292384 * (part & 1)), xor(crc, byte::BIGINT)),
+                       4294967295::BIGINT), 4294967295) % 20 AS kind
+            FROM named
+        ),
+        damaged AS (
+            SELECT conv_id, turn, IF(kind = 4, 'user', role) AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                   unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+            FROM numbered
+        ),
+        placed AS (
+            SELECT *, rtrim(text, {blanks}) AS trimmed,
+                   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS occurrence
+            FROM damaged
+        ),
+        judged AS (
+            SELECT *, CASE WHEN trimmed = '' THEN 1 WHEN occurrence > 1 THEN 2
+                           WHEN right(trimmed, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault
+            FROM placed
+        ),
+        grouped AS (
+            SELECT conv_id,
+                   list({{'r': role, 't': text, 'i': left(role, 1), 'f': fault}}
+                        ORDER BY turn NULLS FIRST, role, text, occurrence) AS rows,
+                   coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                   count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+                   count(*) FILTER (fault = 3) AS truncated
+            FROM judged GROUP BY conv_id
+        ),
+        derived AS (
+            SELECT *, list_reduce(rows, lambda l, w: {inserted.format(step)}, {inserted.format(start)}) AS lanes
+            FROM grouped
+        ),
+        decided AS (SELECT *, least(lanes.n, lanes.a) AS best, substr(best, 19) AS audit FROM derived),
+        repaired AS (
+            SELECT *, list_reduce(
+                       [edit FOR edit IN string_split(audit, '') IF edit <> ''],
+                       lambda p, edit: {{
+                           'q': IF(edit = 'D', p.q, left({role}, 1)), 'k': p.k + IF(edit = 'I', 0, 1),
+                           'out': IF(edit = 'D', p.out, list_append(p.out, {role} || ':' || {text}))}},
+                       {{'q': 'n', 'k': 1, 'out': []::VARCHAR[]}}) AS replayed
+            FROM decided
+        )
+        SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+               coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+               coalesce(len([n FOR n IN range(1, len(rows)) IF rows[n].i || rows[n + 1].i NOT IN ('su', 'ua', 'au')]), 0)::BIGINT
+                   AS illegal,
+               coalesce(CAST(left(best, 18) AS BIGINT), 0) AS cost, coalesce(audit, '') AS audit,
+               sha256(coalesce(array_to_string(replayed.out, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c
+        LEFT JOIN repaired r ON c.conv_id IS NOT DISTINCT FROM r.conv_id
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": f"""
         WITH hashed AS (
@@ -170,4 +265,5 @@ ORACLE_SQL: dict[str, str] = {
         FROM scored
         QUALIFY rank <= 20
     """,
+    "op13_repair": _repair_sql(),
 }

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import pytest
 
 from clusterlens.llm import queries, repair
@@ -164,6 +165,13 @@ def as_rows(found_):
     return {r.conv_id: tuple(r)[1:] for r in found_.collect()}
 
 
+def by_sql(path):
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW conversations AS SELECT * FROM '{path}'")
+    names = "conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256"
+    return {row[0]: row[1:] for row in connection.execute(f"SELECT {names} FROM ({queries.ORACLE_SQL['op13_repair']})").fetchall()}
+
+
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -175,7 +183,8 @@ def expected_of(rows):
 def test_the_query_against_brute_force(spark):
     sf_dir = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
-    assert as_rows(queries.op13_repair(spark, sf_dir)) == expected_of(rows)
+    found_ = as_rows(queries.op13_repair(spark, sf_dir))
+    assert found_ == expected_of(rows) == by_sql(f"{sf_dir}/conversations.parquet")
 
 
 def test_unusual_rows(spark, tmp_path):
@@ -191,7 +200,7 @@ def test_unusual_rows(spark, tmp_path):
     frame = spark.createDataFrame([(*r, 1, "x") for r in rows], "conv_id long, turn long, role string, text string, fault int, exists string")
     frame.write.parquet(str(tmp_path / "conversations.parquet"))
     got = as_rows(queries.op13_repair(spark, str(tmp_path)))
-    assert got == expected_of(rows)
+    assert got == expected_of(rows) == by_sql(str(tmp_path / "conversations.parquet/*.parquet"))
     assert any(row[6] == "" and row[7] == EMPTY for row in got.values())
     assert repair.repair(frame.limit(0)).count() == 0
     small = repair.repair(repair.damage(frame), exists=repair.F.col("exists"), segment_rows=2)
