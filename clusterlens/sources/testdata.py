@@ -173,6 +173,9 @@ def quoted_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_last_samples: dict[tuple[str, str], date | None] = {}
+
+
 class SampleTables:
     """The inputs as ``InputTables`` holds them, each derived when first used.
 
@@ -202,7 +205,11 @@ class SampleTables:
 
     @cached_property
     def no_samples_from(self) -> date | None:
-        last = self.node_timeline.agg(F.max(F.to_date("start_time"))).first()[0]
+        """Measured once per session and folder."""
+        key = self._spark.sparkContext.applicationId, self._sf_dir
+        if key not in _last_samples:
+            _last_samples[key] = self.node_timeline.agg(F.max(F.to_date("start_time"))).first()[0]
+        last = _last_samples[key]
         return last and last + timedelta(days=1)
 
     @cached_property
