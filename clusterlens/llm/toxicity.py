@@ -32,6 +32,8 @@ TERMS, SUPPORT, EVIDENCE, LIFT = 2_000, 3, 8.0, 10.0
 DEPTH = 4
 PREFIXES = (4, 5)
 FOLDS = 5
+# A term counts for the estimate of the prior if so large a part of the examples has it; the prior if none does.
+COMMON, DEFAULT_PRIOR = 0.1, 0.05
 
 STEPS, RATE, PENALTY = 300, 0.1, 1e-4
 
@@ -132,10 +134,24 @@ def _presence(rows: DataFrame, vocabulary: list[str]) -> DataFrame:
     return rows.mapInArrow(run, "id bigint, known boolean, at array<int>")
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
+def estimated_prior(counted: DataFrame, n_positive: int) -> float:
+    """Share of the class in unlabelled text, if no row is labelled otherwise.
+
+    A term is at least as frequent in unlabelled text as its share in confirmed examples times that of the class, so the
+    least ratio of the two, over terms that enough examples have, is an upper bound, and close where a term is the class's own.
+    """
+    common_enough = counted.where(F.col("support") >= max(SUPPORT, COMMON * n_positive))
+    least = common_enough.agg(F.min(F.col("u") * n_positive / F.col("support"))).first()[0]
+    return DEFAULT_PRIOR if least is None else least
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, prior: float | None = None) -> Model:
     """Learn from ``labels.toxic`` of the rows whose crc32 of the id, modulo ``FOLDS``, is not 0, and from the text of
     such rows of ``docs``. Rows without an id or without a label teach nothing. Without a confirmed example the model
     has no terms, and scores everything 0.
+
+    ``prior`` is the share of toxic texts. If it is not given, it is their share among the labelled rows, or where these
+    are all toxic, ``estimated_prior``.
     """
     learnable = common.fold(F.col("doc_id"), FOLDS) != 0
     known = labels.where(learnable).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic IS NOT NULL")
@@ -143,7 +159,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     n, toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") == 1).cast("int")), F.lit(0))).first()
     if not toxic:
         return Model({}, 0.0)
-    prior = min(0.9, max(0.001, toxic / n))
+    if prior is None and toxic < n:
+        prior = toxic / n
     texts = docs.where(learnable).select(F.col("doc_id").cast("bigint").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     confirmed = draw(known.where("toxic = 1"), POSITIVES).select(F.col("doc_id").cast("bigint").alias("id"))
     positive = texts.join(F.broadcast(confirmed), "id").select("id", F.lit(True).alias("known"), "text")
@@ -162,6 +179,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     counted = sample.select(is_known.alias("k"), F.explode("terms").alias("term")).groupBy("term").agg(
         (F.sum(1 - F.col("k")) / n_u).alias("u"), F.sum("k").alias("support")
     )
+    if prior is None:
+        prior = estimated_prior(counted, n_p)
+    prior = min(0.9, max(0.001, prior))
     support, share = F.col("support"), F.col("support") / n_p
     chance = F.greatest(F.col("u") * n_p, F.lit(0.5))
     evidence = support * F.log(support / chance) - support + chance

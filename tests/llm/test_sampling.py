@@ -63,3 +63,13 @@ def test_samples_that_the_bound_cuts(spark, monkeypatch):
     scored = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels.where("toxic IS NOT NULL"), "doc_id")
     rates = {r.toxic: r.rate for r in scored.groupBy("toxic").agg(F.avg((F.col("score") >= 0.5).cast("int")).alias("rate")).collect()}
     assert rates[1] > 0.9 and rates[0] < 0.05
+
+
+def test_confirmed_examples_alone_suffice(spark):
+    """No row is labelled harmless: the prior comes from unlabelled text."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = toxicity.fit(docs, labels.where("toxic = 1"))
+    scored = toxicity.score(docs, model).join(labels.where("toxic IS NOT NULL"), "doc_id")
+    rates = {r.toxic: r.rate for r in scored.groupBy("toxic").agg(F.avg((F.col("score") >= 0.5).cast("int")).alias("rate")).collect()}
+    assert rates[1] > 0.9 and rates[0] < 0.05
