@@ -140,3 +140,55 @@ def test_kernels_count_shared_ngrams():
             expected = len(grams(a) & grams(b)) / np.sqrt(len(grams(a)) * len(grams(b)))
             assert rows[i, j] == pytest.approx(expected, abs=1e-6)
     assert lettered.tolist() == [True, True, True, False, False]
+
+
+def test_the_quality_fit_equals_plain_ridge_on_collected_rows(spark):
+    """All normal equations, the ridge and the calibration against numpy over the rows themselves."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    stats = quality.measured(docs)
+    model = quality.fit(stats, labels)
+    known = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 and r.quality is not None}
+    rows = [r for r in stats.collect() if r.doc_id in known]
+    waves = model.features(np.array([r.stats for r in rows]))
+    label = np.array([float(known[r.doc_id]) for r in rows])
+    penalty = np.eye(waves.shape[1]) * quality.RIDGE
+    penalty[-1, -1] = 1e-9
+    weights = np.linalg.solve(waves.T @ waves + penalty, waves.T @ label)
+    assert np.allclose(waves @ weights, waves @ model.weights, atol=1e-4)
+    scores = {r.doc_id: r.score for r in quality.score(stats, model).collect()}
+    order = np.argsort(waves @ model.weights)
+    fitted = np.array([scores[rows[i].doc_id] for i in order])
+    assert (np.diff(fitted) >= -1e-9).all() and fitted.min() >= 0 and fitted.max() <= 1
+    assert abs(fitted.mean() - label.mean()) < 0.05
+
+
+def test_the_language_fit_equals_plain_regression_on_collected_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(docs)
+    across, names = [], []
+    for row in docs.select("doc_id", "text", "lang").collect():
+        if row.lang is not None and row.text is not None and zlib.crc32(str(row.doc_id).encode()) % 4 != 2:
+            for at in range(0, max(1, len(row.text)), language.WINDOW):
+                values, lettered = model.kernel.rows([row.text[at : at + language.WINDOW]])
+                if lettered[0]:
+                    across.append(values[0])
+                    names.append(row.lang)
+    k = np.array(across, float)
+    landmarks = model.kernel.landmarks.astype(float)
+    targets = np.array([[1.0 if name == lang else -1.0 for lang in model.languages] for name in names])
+    gram = k.T @ k + language.RIDGE * len(k) * landmarks @ landmarks.T + 1e-8 * len(k) * np.eye(k.shape[1])
+    assert np.allclose(k @ np.linalg.solve(gram, k.T @ targets), k @ model.weights, atol=1e-4)
+
+
+def test_ngrams_of_any_script_are_told_apart():
+    kernel = language.kernel_of(["漢字仮名", "한글문자", "abcdef", "абвгде", "ああああ"])
+    values, lettered = kernel.rows(["漢字", "한글", "abc", "абв", "ああ"])
+    assert lettered.all() and (values.argmax(axis=1) == np.arange(5)).all()
+    assert (np.sort(values, axis=1)[:, :-1] < 1e-6).all()
+
+
+def test_a_landmark_may_be_any_window():
+    texts = ["".join(chr(97 + (n + k) % 26) for k in range(3 * language.WINDOW)) for n in range(40)]
+    places = {language.windows([text])[1].index(language.landmark(text)) for text in texts}
+    assert places == {0, 1, 2}

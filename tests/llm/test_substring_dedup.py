@@ -113,3 +113,37 @@ def test_a_passage_without_sentence_ends_at_unequal_offsets(spark):
             found = substring_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
             assert {r.doc_id: r.text for r in found} == texts
     assert sum(stays) / len(stays) < 20 and sum(s < 60 for s in stays) >= 0.98 * len(stays)
+
+
+def plainly(rows):
+    """The same from the definition alone, for texts of short lines that end in a period: no function of the library."""
+    seen, left = set(), {}
+    for doc_id, text in sorted(rows):
+        lines = text.splitlines(keepends=True)
+        words = [line.lower().split() for line in lines]
+
+        def enough(i, j, words=words):
+            return j - i >= 2 and sum(map(len, words[i:j])) >= 10
+
+        n = len(lines)
+        from_each = {(i, min(j for j in range(i, n + 1) if enough(i, j))) for i in range(n) if enough(i, n)}
+        up_to_each = {(max(i for i in range(j) if enough(i, j)), j) for j in range(1, n + 1) if enough(0, j)}
+        gone = set()
+        for i, j in sorted(from_each | up_to_each):
+            run = " ".join(word for line in words[i:j] for word in line)
+            if run in seen:
+                gone.update(range(i, j))
+            seen.add(run)
+        left[doc_id] = "".join(line for k, line in enumerate(lines) if k not in gone)
+    return left
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_against_the_definition(spark, seed):
+    pick = random.Random(seed)
+    pool = [" ".join(pick.choice(["Red", "blue", "green", "old", "new"]) for _ in range(pick.choice([1, 2, 4, 7, 12]))) + ".\n" for _ in range(25)]
+    rows = [(n, "".join(pick.choice(pool) for _ in range(pick.randrange(0, 14)))) for n in range(120)]
+    expected = plainly(rows)
+    found = substring_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in found.collect()} == expected
+    assert sum(len(text) for _, text in rows) > sum(map(len, expected.values())) > 0
