@@ -2,7 +2,7 @@
 
 Both tokenizers encode the whole text. Where a token of either ends at the same byte and the next token of either begins
 with a space, the document is split: such verified anchors cut it into windows of a few tokens, whose alignment depends
-on their ids alone and is remembered by them. Tokens whose bytes overlap are linked; places where both end form groups.
+on their ids alone and is remembered by them; texts are taken many at a time, so a window that repeats is looked up once. Tokens whose bytes overlap are linked; places where both end form groups.
 
 The links of a document are kept as distinct pairs of ids with their number, in a table in the shared folder. How many
 documents hold a pair is then a plain aggregate over that table. Pairs held by many documents, at most
@@ -16,7 +16,7 @@ import base64
 import hashlib
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
@@ -34,9 +34,10 @@ FREQUENT_PAIRS = 1 << 19
 _CODE_BITS = 15  # of the second id in the code of a pair, which fits 31 bits
 _MEMO_WINDOWS = 150_000
 _MEMO_TOKENS = 64  # longer windows are aligned anew each time
-_BATCH_BYTES = 4 * 1024 * 1024
+_BATCH_CHARACTERS = 2_000_000
 
-Window = tuple[str, int, tuple[int, ...]]
+Key = tuple[int, ...]  # ids of the first side, -1, ids of the second
+Window = tuple[str, int, bytes]  # text of the groups, their number, and the codes of the links as 32-bit numbers
 
 
 @dataclass
@@ -53,10 +54,23 @@ class Tokenizers:
             raise ValueError("the vocabularies are too large for the code of a pair")
         self.lengths_a = np.array([len(token) for token in self.bytes_a], np.int64)
         self.lengths_b = np.array([len(token) for token in self.bytes_b], np.int64)
+        self.flat_a, self.flat_b = (np.frombuffer(b"".join(table), np.uint8) for table in (self.bytes_a, self.bytes_b))
+        self.begins_a, self.begins_b = np.cumsum(self.lengths_a) - self.lengths_a, np.cumsum(self.lengths_b) - self.lengths_b
+        # every id as text with what follows it: inside and at the end of its side of a group
+        sides = ((len(self.bytes_a), ",|"), (len(self.bytes_b), ",;"))
+        self.parts = [f"{token}{mark}" for size, marks in sides for token in range(size) for mark in marks]
         self.marked_a = np.array([token.startswith(b" ") for token in self.bytes_a])
         self.marked_b = np.array([token.startswith(b" ") for token in self.bytes_b])
 
 
+def _covers(ids: np.ndarray, lengths: np.ndarray, begins: np.ndarray, flat: np.ndarray, expected: np.ndarray) -> bool:
+    """Whether the bytes of the ids are the expected ones."""
+    sizes = lengths[ids]
+    if sizes.sum() != len(expected):
+        return False
+    return bool((flat[np.repeat(begins[ids], sizes) + _in_window(sizes)] == expected).all())
+
+
 def _piece_bytes(model: sentencepiece.SentencePieceProcessor, piece: int) -> bytes:
     text = model.id_to_piece(piece)
     return bytes([int(text[1:-1], 16)]) if model.is_byte(piece) else text.replace("▁", " ").encode()
@@ -76,47 +90,67 @@ def load(path_a: str, path_b: str) -> Tokenizers:
         for token, rank in ranks.items():
             bytes_a[rank] = token
         bytes_b = [_piece_bytes(model, piece) for piece in range(model.get_piece_size())]
-        _loaded[path_a, path_b] = Tokenizers(bpe.encode_ordinary, model.encode, bytes_a, bytes_b)
+        _loaded[path_a, path_b] = Tokenizers(bpe.encode_to_numpy, model.encode, bytes_a, bytes_b)
     return _loaded[path_a, path_b]
 
 
-def align_window(ids_a: tuple[int, ...], ids_b: tuple[int, ...], t: Tokenizers) -> Window:
-    """Text of the groups, their number, and the codes of all links, for ids that cover the same bytes."""
-    groups, codes = [], []
-    i = j = from_i = from_j = 0
-    end_a, end_b = len(t.bytes_a[ids_a[0]]), len(t.bytes_b[ids_b[0]])
-    while True:
-        codes.append(ids_a[i] << _CODE_BITS | ids_b[j])
-        step_a, step_b = end_a <= end_b, end_b <= end_a
-        if step_a and step_b:
-            left, right = ids_a[from_i : i + 1], ids_b[from_j : j + 1]
-            groups.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-            from_i, from_j = i + 1, j + 1
-            if from_i == len(ids_a):
-                return ";".join(groups), len(groups), tuple(codes)
-        if step_a:
-            i += 1
-            end_a += len(t.bytes_a[ids_a[i]])
-        if step_b:
-            j += 1
-            end_b += len(t.bytes_b[ids_b[j]])
-
-
-def _starts(ids: np.ndarray, lengths: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the tokens that begin with a space, but the first, and the bytes where they begin."""
-    places = np.flatnonzero(marked[ids])
-    places = places[places > 0]
-    return places, np.cumsum(lengths[ids])[places - 1]
-
-
-def windows(ids_a: list[int], ids_b: list[int], t: Tokenizers) -> Iterator[tuple[tuple[int, ...], tuple[int, ...]]]:
-    places_a, bytes_a = _starts(np.array(ids_a), t.lengths_a, t.marked_a)
-    places_b, bytes_b = _starts(np.array(ids_b), t.lengths_b, t.marked_b)
-    _, at_a, at_b = np.intersect1d(bytes_a, bytes_b, assume_unique=True, return_indices=True)
-    i = j = 0
-    for next_i, next_j in zip([*places_a[at_a].tolist(), len(ids_a)], [*places_b[at_b].tolist(), len(ids_b)], strict=True):
-        yield tuple(ids_a[i:next_i]), tuple(ids_b[j:next_j])
-        i, j = next_i, next_j
+def align_windows(keys: list[Key], t: Tokenizers) -> list[Window]:
+    """Alignment of each window; both sides of a window cover the same bytes.
+
+    Between two neighbouring ends of tokens of either side lies a part of one token of each, which are linked. Ends of
+    both sides end a group.
+    """
+    sizes = np.fromiter(map(len, keys), np.int64, len(keys))
+    flat = np.fromiter(chain.from_iterable(keys), np.int64, sizes.sum())
+    middle = np.flatnonzero(flat < 0)
+    size_a = middle - (np.cumsum(sizes) - sizes)
+    second = _in_window(sizes) > np.repeat(size_a, sizes)
+    ids_a, ids_b = flat[~second & (flat >= 0)], flat[second]
+    ends_a, ends_b = np.cumsum(t.lengths_a[ids_a]), np.cumsum(t.lengths_b[ids_b])
+    ends, shared = np.union1d(ends_a, ends_b), np.intersect1d(ends_a, ends_b, assume_unique=True)
+    links = ids_a[np.searchsorted(ends_a, ends)] << _CODE_BITS | ids_b[np.searchsorted(ends_b, ends)]
+    codes = links.astype(np.int32).tobytes()
+
+    # the text of a group: its ids of one side and then of the other, each with what follows it
+    group_a, group_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
+    parts = np.empty(len(ids_a) + len(ids_b), np.int64)
+    parts[np.arange(len(ids_a)) + np.searchsorted(group_b, group_a)] = 2 * ids_a + (ends_a == shared[group_a])
+    last_b = 2 * (len(t.bytes_a) + ids_b) + (ends_b == shared[group_b])
+    parts[np.arange(len(ids_b)) + np.searchsorted(group_a, group_b, "right")] = last_b
+    texts = list(map(t.parts.__getitem__, parts.tolist()))
+
+    window_ends = ends_a[np.cumsum(size_a) - 1]
+    upto_text = np.cumsum(sizes - 1).tolist()
+    upto_code = (4 * np.searchsorted(ends, window_ends, "right")).tolist()
+    upto_group = np.searchsorted(shared, window_ends, "right")
+    n_groups = np.diff(upto_group, prepend=0).tolist()
+    cuts = zip([0, *upto_text], upto_text, [0, *upto_code], upto_code, n_groups, strict=False)
+    return [("".join(texts[i:k])[:-1], n, codes[j:m]) for i, k, j, m, n in cuts]
+
+
+@dataclass
+class Memo:
+    """Alignments by the ids of their windows, in two generations: what is met again outlives the next, and no more than
+    ``2 * size`` are held. A worker keeps it over its tasks."""
+
+    size: int = _MEMO_WINDOWS
+    young: dict[Key, Window] = field(default_factory=dict)
+    old: dict[Key, Window] = field(default_factory=dict)
+
+    def aligned(self, keys: list[Key], t: Tokenizers) -> list[Window]:
+        found = list(map(self.young.get, keys))
+        unknown = [n for n, window in enumerate(found) if window is None]
+        for n in unknown:
+            found[n] = self.old.get(keys[n])
+        missing = [n for n in unknown if found[n] is None]
+        for n, window in zip(missing, align_windows([keys[n] for n in missing], t) if missing else [], strict=True):
+            found[n] = window
+        for n in unknown:
+            if len(keys[n]) <= _MEMO_TOKENS:
+                if len(self.young) >= self.size:
+                    self.young, self.old = {}, self.young
+                self.young[keys[n]] = found[n]
+        return found
 
 
 @dataclass
@@ -125,55 +159,128 @@ class Aligned:
     n_b: int = 0
     n_groups: int = 0
     n_links: int = 0
-    groups: list[str] | None = None
-    codes: np.ndarray | None = None
-    times: np.ndarray | None = None
+    groups: str = ""
+    codes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    times: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
 
 
-def align(text: str | None, t: Tokenizers, memo: dict[tuple, Window]) -> Aligned:
-    """Alignment of one text; without tokens if it is empty or the bytes of either side are not those of space and text."""
+def encoded(text: str | None, t: Tokenizers) -> tuple[np.ndarray, np.ndarray] | None:
+    """Ids of both sides; None if the text is empty or the bytes of either side are not those of space and text."""
     if not text:
-        return Aligned()
+        return None
     whole = " " + text
-    ids_a, ids_b = t.encode_a(whole), t.encode_b(text)
-    expected = whole.encode()
-    for ids, table in ((ids_a, t.bytes_a), (ids_b, t.bytes_b)):
-        if b"".join(map(table.__getitem__, ids)) != expected:
-            return Aligned()
-    found = []
-    for key in windows(ids_a, ids_b, t):
-        window = memo.get(key)
-        if window is None:
-            window = align_window(*key, t)
-            if len(key[0]) + len(key[1]) <= _MEMO_TOKENS:
-                if len(memo) >= _MEMO_WINDOWS:
-                    memo.clear()
-                memo[key] = window
-        found.append(window)
-    texts, counts, links = zip(*found, strict=True)
-    n_links = len(ids_a) + len(ids_b) - sum(counts)
-    codes, times = np.unique(np.fromiter(chain.from_iterable(links), np.int32), return_counts=True)
-    return Aligned(len(ids_a), len(ids_b), sum(counts), n_links, list(texts), codes, times)
+    ids_a, ids_b = t.encode_a(whole).astype(np.int32), np.array(t.encode_b(text), np.int32)
+    expected = np.frombuffer(whole.encode(), np.uint8)
+    if not _covers(ids_b, t.lengths_b, t.begins_b, t.flat_b, expected):
+        return None
+    return (ids_a, ids_b) if _covers(ids_a, t.lengths_a, t.begins_a, t.flat_a, expected) else None
+
+
+@dataclass
+class Windows:
+    """Windows over the ids of several texts: where each begins and how many ids it has, on both sides."""
+
+    ids_a: np.ndarray
+    ids_b: np.ndarray
+    from_a: np.ndarray
+    from_b: np.ndarray
+    size_a: np.ndarray
+    size_b: np.ndarray
+
+    def keys(self, chosen: np.ndarray) -> list[Key]:
+        size_a, size_b = self.size_a[chosen], self.size_b[chosen]
+        ends = np.cumsum(size_a + 1 + size_b)
+        begins = ends - size_a - 1 - size_b
+        flat = np.full(ends[-1], -1, np.int32)
+        in_a, in_b = _in_window(size_a), _in_window(size_b)
+        flat[np.repeat(begins, size_a) + in_a] = self.ids_a[np.repeat(self.from_a[chosen], size_a) + in_a]
+        flat[np.repeat(ends - size_b, size_b) + in_b] = self.ids_b[np.repeat(self.from_b[chosen], size_b) + in_b]
+        ids = flat.tolist()
+        return [tuple(ids[i:k]) for i, k in zip(begins.tolist(), ends.tolist(), strict=True)]
+
+
+def windows(ids_a: np.ndarray, ids_b: np.ndarray, t: Tokenizers) -> Windows:
+    """Cut where tokens of both sides begin with a space at the same byte, as the first ones of every text do."""
+    starts, places = [], []
+    for ids, lengths, marked in ((ids_a, t.lengths_a, t.marked_a), (ids_b, t.lengths_b, t.marked_b)):
+        found = np.flatnonzero(marked[ids])
+        sizes = lengths[ids]
+        places.append(found)
+        starts.append((np.cumsum(sizes) - sizes)[found])
+    _, at_a, at_b = np.intersect1d(*starts, assume_unique=True, return_indices=True)
+    from_a, from_b = places[0][at_a], places[1][at_b]
+    return Windows(ids_a, ids_b, from_a, from_b, np.diff(from_a, append=len(ids_a)), np.diff(from_b, append=len(ids_b)))
+
+
+_MIX = np.random.default_rng(42).integers(1, 1 << 63, 8192, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _in_window(sizes: np.ndarray) -> np.ndarray:
+    """Position of every id in its window."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _same(ids: np.ndarray, begins: np.ndarray, sizes: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Whether each window has the ids of the window ``of`` it."""
+    others = np.minimum(np.arange(len(ids)) + np.repeat(begins[of] - begins, sizes), len(ids) - 1)
+    return (sizes == sizes[of]) & np.logical_and.reduceat(ids == ids[others], begins)
+
+
+def distinct_windows(w: Windows) -> tuple[np.ndarray, np.ndarray]:
+    """One window of each kind, and the kind of every window. Windows meet by a hash, and their ids are then compared."""
+    hashes = w.size_a.astype(np.uint64) * _MIX[0] + w.size_b.astype(np.uint64) * _MIX[1]
+    for ids, begins, sizes, shift in ((w.ids_a, w.from_a, w.size_a, 2), (w.ids_b, w.from_b, w.size_b, 4096)):
+        mixed = (ids.astype(np.uint64) + np.uint64(1)) * _MIX[shift + _in_window(sizes) % 4000]
+        hashes += np.add.reduceat(mixed ^ (mixed >> np.uint64(32)), begins)
+    _, chosen, kinds = np.unique(hashes, return_index=True, return_inverse=True)
+    of = chosen[kinds]
+    unlike = np.flatnonzero(~(_same(w.ids_a, w.from_a, w.size_a, of) & _same(w.ids_b, w.from_b, w.size_b, of)))
+    kinds[unlike] = len(chosen) + np.arange(len(unlike))
+    return np.concatenate([chosen, unlike]), kinds
+
+
+def align(texts: list[str | None], t: Tokenizers, memo: Memo) -> list[Aligned]:
+    """Alignments of texts. Their windows are looked up together, those that repeat once."""
+    found = [Aligned() for _ in texts]
+    usable = [(n, *ids) for n, text in enumerate(texts) if (ids := encoded(text, t))]
+    if not usable:
+        return found
+    w = windows(np.concatenate([a for _, a, _ in usable]), np.concatenate([b for _, _, b in usable]), t)
+    chosen, kinds = distinct_windows(w)
+    groups, counts, links = zip(*memo.aligned(w.keys(chosen), t), strict=True)
+
+    sizes = np.fromiter(map(len, links), np.int64, len(links)) // 4
+    begins, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(links), np.int32)
+    per_window = sizes[kinds]
+    codes = flat[np.repeat(begins[kinds], per_window) + _in_window(per_window)]
+    ends = np.concatenate([[0], np.cumsum(per_window)])
+    n_groups = np.concatenate([[0], np.cumsum(np.array(counts)[kinds])])
+    order = kinds.tolist()
+    upto = np.searchsorted(w.from_a, np.cumsum([len(a) for _, a, _ in usable])).tolist()  # windows up to the end of each text
+    for (n, ids_a, ids_b), low, high in zip(usable, [0, *upto], upto, strict=False):
+        pairs, times = np.unique(codes[ends[low] : ends[high]], return_counts=True)
+        text = ";".join([groups[kind] for kind in order[low:high]])
+        n_links = int(ends[high] - ends[low])
+        found[n] = Aligned(len(ids_a), len(ids_b), int(n_groups[high] - n_groups[low]), n_links, text, pairs, times)
+    return found
 
 
 _SCHEMA = (
     "doc_id {0}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, codes array<int>, times array<int>"
 )
-_EMPTY = np.zeros(0, np.int32)
+_NAMES = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "codes", "times"]
 
 
-def _batch(names: list, rows: list[tuple[Aligned, str]], kind: pa.DataType) -> pa.RecordBatch:
+def _batch(names: list, found: list[Aligned], kind: pa.DataType) -> pa.RecordBatch:
     def lists(parts: list[np.ndarray]) -> pa.Array:
         offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([_EMPTY, *parts]).astype(np.int32)))
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).astype(np.int32)))
 
-    found = [row for row, _ in rows]
     columns = [pa.array(names, kind)]
-    columns += [pa.array([getattr(a, n) for a in found], pa.int64()) for n in ("n_a", "n_b", "n_groups", "n_links")]
-    columns.append(pa.array([digest for _, digest in rows], pa.string()))
-    columns += [lists([_EMPTY if a.codes is None else getattr(a, n) for a in found]) for n in ("codes", "times")]
-    names_ = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "codes", "times"]
-    return pa.RecordBatch.from_arrays(columns, names_)
+    columns += [pa.array([getattr(a, n) for a in found], pa.int64()) for n in _NAMES[1:5]]
+    columns.append(pa.array([hashlib.sha256(a.groups.encode()).hexdigest() if a.groups else "" for a in found], pa.string()))
+    columns += [lists([a.codes for a in found]), lists([a.times for a in found])]
+    return pa.RecordBatch.from_arrays(columns, _NAMES)
 
 
 def token_links(
@@ -189,27 +296,24 @@ def token_links(
     path_b = path_b or public_tokenizers.path(PIECE_VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizers, memo = load(path_a, path_b), {}
+        tokenizers, memo = load(path_a, path_b), _memos.setdefault((path_a, path_b), Memo())
         for batch in batches:
-            names, rows, held = [], [], 0
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = align(body, tokenizers, memo)
-                digest = hashlib.sha256(";".join(found.groups).encode()).hexdigest() if found.groups else ""
-                found.groups = None
-                names.append(name)
-                rows.append((found, digest))
-                held += len(body or "")
-                if held > _BATCH_BYTES:
-                    yield _batch(names, rows, batch.schema.field(0).type)
-                    names, rows, held = [], [], 0
-            if rows:
-                yield _batch(names, rows, batch.schema.field(0).type)
+            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            begin = held = 0
+            for n, text in enumerate(texts, start=1):
+                held += len(text or "")
+                if held > _BATCH_CHARACTERS or n == len(texts):
+                    yield _batch(names[begin:n], align(texts[begin:n], tokenizers, memo), batch.schema.field(0).type)
+                    begin, held = n, 0
 
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return rows.mapInArrow(run, _SCHEMA.format(kind))
 
 
+_memos: dict[tuple[str, str], Memo] = {}
+
+
 def ids_of(code: F.Column) -> tuple[F.Column, F.Column]:
     """The ids of both sides in the code of a pair."""
     return F.shiftright(code, _CODE_BITS), code.bitwiseAND(F.lit((1 << _CODE_BITS) - 1))
