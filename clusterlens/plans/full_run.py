@@ -69,7 +69,8 @@ def all_reports(
     rows = _per_cluster(t, cfg).repartition(buckets, "cluster_id")
     try:
         rows.write.format("parquet").bucketBy(buckets, "cluster_id").saveAsTable(table)
-        shared = spark.table(table)
+        # the files are far smaller than the rows in them, so their size would have one row per cluster broadcast
+        shared = spark.table(table).hint("merge")
         costs = shared.where("has_costs").select("cluster_id", *AMOUNTS)
         others = [c for c in shared.columns if c not in (*AMOUNTS, *SHARED_FLAGS, "cluster_id")]
         stats = shared.where("has_stats").select("cluster_id", *others)

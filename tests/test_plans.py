@@ -183,6 +183,23 @@ def test_shared_aggregates_keep_their_partitioning(stored, settings):
         assert "max_cpu_percent" not in scans_of_shared(reports["bottleneck_summary"])
 
 
+def test_the_shared_table_is_not_broadcast_by_the_size_of_its_files(stored, settings):
+    settings(spark__sql__autoBroadcastJoinThreshold="1g", spark__sql__adaptive__enabled="false")
+    with all_reports(stored, CFG) as reports:
+        for name, report in reports.items():
+            lines = plan(report, "simple").splitlines()
+            for n, line in enumerate(lines):
+                if "clusterlens_run_" in line:
+                    depth = len(re.match(r"[ :+-]*", line).group(0))
+                    for upper in reversed(lines[:n]):
+                        upper_depth = len(re.match(r"[ :+-]*", upper).group(0))
+                        if upper_depth < depth:
+                            depth = upper_depth
+                            assert "BroadcastExchange" not in upper, (name, "\n".join(lines))
+                            if "Join" in upper:
+                                break
+
+
 def scans_of_shared(df):
     blocks = [b for b in re.split(r"\n\n+", plan(df)) if "clusterlens_run_" in b and "ReadSchema" in b]
     return " ".join(re.search(r"ReadSchema: (.*)", b).group(1) for b in blocks)
