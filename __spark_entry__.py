@@ -29,7 +29,7 @@ from clusterlens.plans import runtime as runtime_reports  # noqa: E402
 from clusterlens.plans import full_run, summary, utilization as utilization_reports  # noqa: E402
 from clusterlens.plans import vm as vm_reports  # noqa: E402
 from clusterlens.sources import testdata  # noqa: E402
-from clusterlens.sources.sink import report_history, save_report  # noqa: E402
+from clusterlens.sources.sink import report_history, save_report, save_reports  # noqa: E402
 from clusterlens.sources.tables import InputTables  # noqa: E402
 
 try:  # the operators for training text are optional; only their absence is passed over
@@ -273,8 +273,7 @@ def _saved_run(spark: SparkSession, sf_dir: str) -> AnalysisConfig:
     if key not in _runs:
         cfg = _new_schema(spark, CONFIG)
         with full_run.all_reports(testdata.SampleTables(spark, sf_dir), cfg, ordered=False) as reports:
-            for name, report in reports.items():
-                save_report(report, name, cfg)
+            save_reports(reports, cfg)
         left = spark.sql(f"SHOW TABLES IN {cfg.output_schema} LIKE 'clusterlens_run_*'")
         if not left.isEmpty():
             raise RuntimeError("the shared table of the full run is still there")

@@ -1,3 +1,4 @@
+import threading
 from dataclasses import replace
 from datetime import timedelta
 from decimal import Decimal
@@ -8,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from clusterlens.plans.full_run import all_reports
-from clusterlens.plans.runtime import outdated_runtime_detail
+from clusterlens.plans.runtime import outdated_runtime_detail, runtime_distribution
 from clusterlens.sources import sink
-from clusterlens.sources.sink import report_history, save_report
+from clusterlens.sources.sink import history_table, report_history, save_report, save_reports
 from clusterlens.sources.tables import InputTables
 from tests.frames import CFG, SMALL, cluster, sample, tables, used, values
 
@@ -122,3 +123,26 @@ def test_a_failed_save_leaves_the_date_as_it_was(spark, schema, monkeypatch):
     assert runs == [str(OUT.as_of)] * 2 + [str(later.as_of)] * 2
     save_report(spark.range(0), "swapped", OUT)
     assert saved() == [(0, later.as_of)]
+
+
+def test_reports_are_saved_at_the_same_time(spark, schema, monkeypatch):
+    meeting = threading.Barrier(3)
+
+    def met(report, name, cfg):
+        meeting.wait(60)
+        return save_report(report, name, cfg)
+
+    monkeypatch.setattr(sink, "save_report", met)
+    t = tables(spark, clusters=[cluster("a"), cluster("b")])
+    reports = {name: runtime_distribution(t, OUT).where("cluster_count = 2").withColumn("n", F.lit(n)) for n, name in enumerate("xyz")}
+    assert save_reports(reports, OUT) == [history_table(name, OUT) for name in "xyz"]
+    assert [[row.n for row in report_history(spark, name, OUT).collect()] for name in "xyz"] == [[0], [1], [2]]
+    assert save_reports({}, OUT) == []
+
+
+def test_others_are_saved_if_one_report_fails(spark, schema):
+    good = runtime_distribution(tables(spark, clusters=[cluster("a")]), OUT)
+    bad = good.withColumn("status", F.raise_error(F.lit("broken")).cast("string"))
+    with pytest.raises(Exception, match="broken"):
+        save_reports({"bad": bad, "good": good}, OUT, at_once=1)
+    assert report_history(spark, "good", OUT).count() == 1
