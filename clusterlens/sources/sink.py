@@ -113,7 +113,7 @@ def save_report(report: DataFrame, name: str, cfg: AnalysisConfig) -> str:
     report = storable(report)
     spark = report.sparkSession
     if not spark.catalog.tableExists(table):
-        empty = spark.createDataFrame([], report.schema).withColumn("as_of", F.lit(cfg.as_of))
+        empty = report.where(F.lit(False)).withColumn("as_of", F.lit(cfg.as_of))
         empty.write.mode("ignore").partitionBy("as_of").saveAsTable(table)
     stored = {f.name: f.dataType for f in spark.table(table).schema if f.name != "as_of"}
     offered = {f.name: f.dataType for f in report.schema}

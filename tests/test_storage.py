@@ -146,3 +146,14 @@ def test_others_are_saved_if_one_report_fails(spark, schema):
     with pytest.raises(Exception, match="broken"):
         save_reports({"bad": bad, "good": good}, OUT, at_once=1)
     assert report_history(spark, "good", OUT).count() == 1
+
+
+def test_a_new_table_is_made_by_one_empty_task(spark, schema, monkeypatch):
+    monkeypatch.setattr(sink, "_swap_in", lambda *_: None)
+    report, tracker = runtime_distribution(tables(spark, clusters=[cluster("a")]), OUT), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("new-table", "")
+    save_report(report, "made", OUT)
+    spark.sparkContext._jsc.clearJobGroup()
+    stages = [stage for job in tracker.getJobIdsForGroup("new-table") for stage in tracker.getJobInfo(job).stageIds]
+    assert sum(tracker.getStageInfo(stage).numTasks for stage in stages) <= 1
+    assert spark.table("history.made").columns == [*report.columns, "as_of"]
