@@ -1,6 +1,8 @@
 """Alignment of two tokenizers over the same bytes.
 
-Both tokenizers encode the whole text. Where a token of either ends at the same byte and the next token of either begins
+Both tokenizers begin anew at a single space between two other characters, so a text is a sequence of words that are
+encoded and aligned once and remembered; what is new to a batch is encoded as one text. Where the words cannot be told,
+both tokenizers encode the whole text. Where a token of either ends at the same byte and the next token of either begins
 with a space, the document is split: such verified anchors cut it into windows of a few tokens, whose alignment depends
 on their ids alone and is remembered by them; texts are taken many at a time, so a window that repeats is looked up once. Tokens whose bytes overlap are linked; places where both end form groups.
 
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -35,6 +38,8 @@ _CODE_BITS = 15  # of the second id in the code of a pair, which fits 31 bits
 _MEMO_WINDOWS = 150_000
 _MEMO_TOKENS = 64  # longer windows are aligned anew each time
 _BATCH_CHARACTERS = 2_000_000
+# A single space between two other characters begins a token on both sides, whatever else is in the text.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 Key = tuple[int, ...]  # ids of the first side, -1, ids of the second
 Window = tuple[str, int, bytes]  # text of the groups, their number, and the codes of the links as 32-bit numbers
@@ -59,6 +64,8 @@ class Tokenizers:
         # every id as text with what follows it: inside and at the end of its side of a group
         sides = ((len(self.bytes_a), ",|"), (len(self.bytes_b), ",;"))
         self.parts = [f"{token}{mark}" for size, marks in sides for token in range(size) for mark in marks]
+        # merges of the second side stay inside a word if no piece has a space after another character
+        self.by_words = not any(b" " in token.lstrip(b" ") for token in self.bytes_b)
         self.marked_a = np.array([token.startswith(b" ") for token in self.bytes_a])
         self.marked_b = np.array([token.startswith(b" ") for token in self.bytes_b])
 
@@ -136,6 +143,8 @@ class Memo:
     size: int = _MEMO_WINDOWS
     young: dict[Key, Window] = field(default_factory=dict)
     old: dict[Key, Window] = field(default_factory=dict)
+    words: dict[str, Key] = field(default_factory=dict)
+    old_words: dict[str, Key] = field(default_factory=dict)
 
     def aligned(self, keys: list[Key], t: Tokenizers) -> list[Window]:
         found = list(map(self.young.get, keys))
@@ -152,6 +161,22 @@ class Memo:
                 self.young[keys[n]] = found[n]
         return found
 
+    def keys_of(self, words: list[str], t: Tokenizers) -> list[Key]:
+        """``word_keys``, remembered likewise."""
+        found = list(map(self.words.get, words))
+        unknown = [n for n, key in enumerate(found) if key is None]
+        for n in unknown:
+            found[n] = self.old_words.get(words[n])
+        missing = [n for n in unknown if found[n] is None]
+        for n, key in zip(missing, word_keys([words[n] for n in missing], t), strict=True):
+            found[n] = key
+        for n in unknown:
+            if len(words[n]) <= _MEMO_TOKENS:
+                if len(self.words) >= self.size:
+                    self.words, self.old_words = {}, self.words
+                self.words[words[n]] = found[n]
+        return found
+
 
 @dataclass
 class Aligned:
@@ -239,8 +264,57 @@ def distinct_windows(w: Windows) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([chosen, unlike]), kinds
 
 
+def word_keys(words: list[str], t: Tokenizers) -> list[Key]:
+    """Each word with a space before it as a window of its own, all encoded as one text; empty where the tokenizers do
+    not cover its bytes."""
+    ids = encoded(" ".join(words), t)
+    if ids is None:
+        if len(words) < 2:
+            return [()] * len(words)
+        half = len(words) // 2
+        return word_keys(words[:half], t) + word_keys(words[half:], t)
+    sizes = np.array([len(word.encode()) + 1 for word in words])
+    begins, places = np.cumsum(sizes) - sizes, []
+    for side, lengths in zip(ids, (t.lengths_a, t.lengths_b), strict=True):
+        starts = np.cumsum(lengths[side]) - lengths[side]
+        places.append(np.searchsorted(starts, begins))
+        if (starts[np.minimum(places[-1], len(starts) - 1)] != begins).any():
+            raise ValueError("a token spans words")
+    (ids_a, ids_b), (from_a, from_b) = ids, places
+    w = Windows(ids_a, ids_b, from_a, from_b, np.diff(from_a, append=len(ids_a)), np.diff(from_b, append=len(ids_b)))
+    return w.keys(np.arange(len(words)))
+
+
 def align(texts: list[str | None], t: Tokenizers, memo: Memo) -> list[Aligned]:
-    """Alignments of texts. Their windows are looked up together, those that repeat once."""
+    """Alignments of texts: by their words where these can be told, else whole.
+
+    Between words lies a single space, at which both tokenizers begin anew, so their alignments follow one another.
+    """
+    split = [_CUT.split(text) if t.by_words and text and "▁" not in text and text == text.strip() else None for text in texts]
+    distinct = list(dict.fromkeys(chain.from_iterable(words for words in split if words)))
+    keys = {word: key for word, key in zip(distinct, memo.keys_of(distinct, t), strict=True) if key}
+    known = {}
+    for (word, key), (groups, n_groups, codes) in zip(keys.items(), memo.aligned(list(keys.values()), t), strict=True):
+        n_a = key.index(-1)
+        known[word] = groups, codes, n_a, len(key) - n_a - 1, n_groups
+    found: list[Aligned | None] = []
+    for words in split:
+        parts = list(map(known.get, words)) if words else [None]
+        if None in parts:
+            found.append(None)
+            continue
+        groups, codes, n_a, n_b, n_groups = zip(*parts, strict=True)
+        links = np.frombuffer(b"".join(codes), np.int32)
+        pairs, times = np.unique(links, return_counts=True)
+        found.append(Aligned(sum(n_a), sum(n_b), sum(n_groups), len(links), ";".join(groups), pairs, times))
+    whole = [n for n, aligned in enumerate(found) if aligned is None]
+    for n, aligned in zip(whole, align_whole([texts[n] for n in whole], t, memo), strict=True):
+        found[n] = aligned
+    return found
+
+
+def align_whole(texts: list[str | None], t: Tokenizers, memo: Memo) -> list[Aligned]:
+    """Alignments of texts, each encoded as a whole. Their windows are looked up together, those that repeat once."""
     found = [Aligned() for _ in texts]
     usable = [(n, *ids) for n, text in enumerate(texts) if (ids := encoded(text, t))]
     if not usable:

@@ -1,5 +1,6 @@
 """Token alignment: groups, links and counts against sets of byte places over the plain tokenizers."""
 
+import dataclasses
 import hashlib
 import json
 import random
@@ -172,3 +173,17 @@ def test_the_query(spark):
     found = queries.op12_alignment(spark, "/root/testdata/sf0.001")
     assert tuple(found.columns) == COLUMNS and found.count() == 200
     assert found.where("n_a > 0 AND (n_best > n_links OR count_sum < n_links)").count() == 0
+
+
+def test_words_are_encoded_once_and_follow_one_another():
+    t, memo, read = loaded(), alignment.Memo(), []
+    counted = dataclasses.replace(t, encode_a=lambda text: read.append(len(text)) or t.encode_a(text))
+    text = "The naïve cat's 12 hats, and the cat's  hats\n and\x1cthe cat 猫 — it's <0x41>"
+    texts = [text, text * 3, f"{text} {text}", f" {text}", f"{text} ", f"{text} ▁ x", "a  b", "x", "퟿ 1 2", None, ""]
+    first = alignment.align(texts, counted, memo)
+    for one, other in zip(first, alignment.align_whole(texts, t, alignment.Memo()), strict=True):
+        assert (one.n_a, one.n_b, one.n_groups, one.n_links, one.groups) == (other.n_a, other.n_b, other.n_groups, other.n_links, other.groups)
+        assert one.codes.tolist() == other.codes.tolist() and one.times.tolist() == other.times.tolist()
+    read.clear()
+    alignment.align([f"{text} {text}"] * 50, counted, memo)
+    assert sum(read) < len(text)
